@@ -19,6 +19,7 @@ from ..functions.text import prefix_match
 from .ranges import range_join
 from .skew import BROADCAST_MAX_ROWS, broadcast_if_small, salted_join
 from .stats import ScoreStats
+from ..session import materialize
 
 DEFAULT_ROOT = "/workspace"
 _U = ["seq", "name", "node_type", "category", "scope_path", "class_scope", "start_col",
@@ -29,6 +30,9 @@ def point_lookup(probes: DataFrame, symbols: DataFrame, usage_only: bool, block:
     """Q-1 (usages only) / Q-2 (any category): the one symbol on the probe's line
     whose span covers the column, ends included (FN-5).  Ties: narrowest span,
     then start column, then emission order.  Probes without a hit are dropped."""
+    # the probe table is written once and broadcast when its size is checked small;
+    # otherwise the binned join shuffles both sides with bounded groups
+    probes, _ = broadcast_if_small(materialize(probes, "probes"))
     s = symbols.filter(F.col("category") == "usage") if usage_only else symbols
     s = s.select("file_id", "line", *[F.col(c).alias("u_" + c) for c in _U])
     j = range_join(probes, s, ["file_id", "line"], "col", "u_start_col", "u_end_col", block=block)
@@ -107,6 +111,9 @@ def _candidates(spark, probe_side: DataFrame, index: DataFrame, keys: list[tuple
 
     The probe side is broadcast when its row count is checked to be small;
     otherwise both sides shuffle and hot index keys are salted (J-2 skew)."""
+    # materialise the probe side once: it is counted for the broadcast decision
+    # and then joined, without computing it twice
+    probe_side = materialize(probe_side, "probe-side")
     ps, small = broadcast_if_small(probe_side, BROADCAST_MAX_ROWS)
     if small:
         cond = None
@@ -123,31 +130,62 @@ def _candidates(spark, probe_side: DataFrame, index: DataFrame, keys: list[tuple
     return out
 
 
+def scope_key(col: str = "scope_path") -> Column:
+    """Exact string key of a scope path (size-prefixed, so [] and [''] differ)."""
+    return F.concat(F.size(col).cast("string"), F.lit(":"), F.array_join(col, "\u0001"))
+
+
 def _search(spark: SparkSession, u: DataFrame, index: DataFrame, stats: ScoreStats,
             clauses: Column, directions: list[str], category: str | None,
             same_file: bool, limit: int) -> DataFrame:
+    """Score and rank candidates by *scope group* instead of by symbol.
+
+    A candidate's score and its required-scope test depend only on its node type
+    and scope path.  The index is therefore pre-aggregated into groups (name,
+    node_type, scope path [, file]) with a member count; probes are joined to these
+    groups (a common name collapses to a handful of groups, which removes the name
+    skew), scored once per group, and only groups that can still reach the top
+    ``limit`` are kept: those with fewer than ``limit`` candidates scoring strictly
+    higher.  Each kept group expands to its first ``limit`` members in tie order,
+    precomputed per group with a partial window limit.  The result equals ranking
+    every (probe, symbol) pair.
+    """
     wc = _weighted_clauses(u, clauses, stats)
     probe_side = _allowed_types(spark, u, directions, stats).join(wc, "probe_id", "left") \
         .withColumn("clauses", F.coalesce("clauses", F.array().cast(
             "array<struct<pos:int,term:string,required:boolean,w:double>>")))
+    extra = [c for c in probe_side.columns if c.startswith("p_") and c != "p_file_id"]
     probe_side = probe_side.select(
         "probe_id", F.col("file_id").alias("p_file_id"), "u_name", "match_type",
-        "multiplicity", "type_idf", "clauses", *[c for c in probe_side.columns if c.startswith("p_") and c != "p_file_id"])
+        "multiplicity", "type_idf", "clauses", *extra)
+
     idx = index.filter(F.col("category") == category) if category else index
+    idx = idx.withColumn("scope_key", scope_key())
+    gkeys = (["file_id"] if same_file else []) + ["name", "node_type", "scope_key"]
+    groups = idx.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"), F.first("scope_path").alias("scope_path"))
+    tie = Window.partitionBy(*gkeys).orderBy("file_id", "line", "start_col", "seq")
+    members = idx.withColumn("_m", F.row_number().over(tie)).filter(F.col("_m") <= limit).drop("_m", "scope_path")
+
     keys = [("u_name", "name"), ("match_type", "node_type")]
     if same_file:
         keys = [("p_file_id", "file_id")] + keys
-    cand = _candidates(spark, probe_side, idx, keys)
-    cand = cand.filter(_required_ok())
-    scored = cand.withColumn("score", F.round(_score(stats), 6))
-    return _top_k(scored, limit)
+    pg = _candidates(spark, probe_side, groups, keys)
+    pg = pg.filter(_required_ok()).withColumn("score", F.round(_score(stats), 6))
+    by_score = Window.partitionBy("probe_id").orderBy(F.col("score").desc()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("probe_id", "score")
+    pg = pg.withColumn("_higher", F.sum("n").over(by_score) - F.sum("n").over(same)) \
+        .filter(F.col("_higher") < limit)
+    pg = pg.select("probe_id", "score", *extra, *gkeys)
+    cand = pg.join(members, gkeys, "inner")
+    return _top_k(cand, limit)
 
 
 def find_definitions(spark: SparkSession, probes: DataFrame, index: DataFrame, stats: ScoreStats,
                      limit: int = rules.DEFINITION_LIMIT) -> DataFrame:
     """Q-3: assignments with the probe's name, a compatible type and the scope rule of
     the usage type; BM25 score; top ``limit`` per probe."""
-    u = point_lookup(probes, index, usage_only=True)
+    u = materialize(point_lookup(probes, index, usage_only=True), "lookup")
     return _search(spark, u, index, stats, definition_clauses(), ["usage"], "assignment",
                    same_file=False, limit=limit)
 
@@ -156,7 +194,7 @@ def find_references(spark: SparkSession, probes: DataFrame, index: DataFrame, st
                     limit: int = rules.REFERENCE_LIMIT) -> DataFrame:
     """Q-4: symbols of the probed file with the same name, a type allowed by either
     map (counted per map) and the scope rule; top ``limit`` per probe."""
-    u = point_lookup(probes, index, usage_only=False)
+    u = materialize(point_lookup(probes, index, usage_only=False), "lookup")
     u = u.withColumn("p_new_name", F.col("new_name")) if "new_name" in probes.columns else u
     return _search(spark, u, index, stats, reference_clauses(), ["usage", "assignment"], None,
                    same_file=True, limit=limit)

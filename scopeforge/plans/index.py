@@ -1,20 +1,38 @@
-"""The symbol index of a data directory, written once per session to the shared folder."""
+"""The symbol index of a data directory, written once to the shared folder,
+with its score statistics stored next to it (AGG-1 per index version)."""
 
 from __future__ import annotations
 
 import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import path_exists, shared_dir
+from ..operators.stats import ScoreStats, field_stats, idf, term_stats
+from ..session import shared_dir, write_once
 from ..sinks.index import write_symbols
 from ..sources import fixtures as fx
 
-INDEX_FORMAT = "v1"
 
+def _code_version() -> str:
+    """Hash of the modules that decide the index contents, so a changed mapping
+    never reuses an index written by older code."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for rel in ("rules.py", "sources/fixtures.py", "operators/extract.py", "functions/text.py",
+                "operators/stats.py", "sinks/index.py"):
+        with open(os.path.join(here, rel), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:12]
 
-def _key(sf_dir: str) -> str:
-    return hashlib.sha1(f"{INDEX_FORMAT}:{sf_dir.rstrip('/')}".encode()).hexdigest()[:16]
+
+CODE_VERSION = _code_version()
+
+
+def index_path(spark: SparkSession, sf_dir: str) -> str:
+    key = hashlib.sha1(f"{CODE_VERSION}:{sf_dir.rstrip('/')}".encode()).hexdigest()[:16]
+    return f"{shared_dir(spark)}/symbol_index/{key}"
 
 
 def symbol_index(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> DataFrame:
@@ -23,9 +41,20 @@ def symbol_index(spark: SparkSession, sf_dir: str, buckets: int | None = None) -
     Writing the index cuts the lineage (tokenising is done once, later scans read
     columnar data with pushdown) and makes it survive executor loss.
     """
-    path = f"{shared_dir(spark)}/symbol_index/{_key(sf_dir)}"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        docs = fx.table(spark, sf_dir, "documents")
-        b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        write_symbols(fx.document_symbols(spark, docs), path, buckets=b)
-    return spark.read.parquet(path).drop("bucket")
+    path = index_path(spark, sf_dir)
+    b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_once(spark, f"{path}/symbols", lambda p: write_symbols(
+        fx.document_symbols(spark, fx.table(spark, sf_dir, "documents")), p, buckets=b))
+    return spark.read.parquet(f"{path}/symbols").drop("bucket")
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> ScoreStats:
+    """Score statistics of the stored index, computed once and kept beside it."""
+    path = index_path(spark, sf_dir)
+    idx = symbol_index(spark, sf_dir)
+    write_once(spark, f"{path}/fields", lambda p: field_stats(idx).write.parquet(p))
+    row = spark.read.parquet(f"{path}/fields").first()
+    n_docs = int(row["n_docs"])
+    write_once(spark, f"{path}/terms", lambda p: term_stats(idx).withColumn(
+        "idf", idf(F.col("df"), n_docs)).write.parquet(p))
+    return ScoreStats(n_docs, float(row["avg_len"] or 0.0), spark.read.parquet(f"{path}/terms"))

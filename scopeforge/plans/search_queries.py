@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import search as S
-from ..operators.stats import field_stats, score_stats, term_stats
+from ..operators.stats import field_stats, term_stats
 from ..sources import fixtures as fx
 from . import sqlparts as sp
-from .index import symbol_index
+from .index import index_stats, symbol_index
 
 ROOT = S.DEFAULT_ROOT
 PATTERN_PLAIN = "th"
@@ -69,14 +69,14 @@ def first_of_type_probes(index: DataFrame) -> DataFrame:
 
 def _refs(spark, sf_dir):
     idx = symbol_index(spark, sf_dir)
-    stats = score_stats(idx)
+    stats = index_stats(spark, sf_dir)
     return S.find_references(spark, first_of_type_probes(idx), idx, stats)
 
 
 # ---------------------------------------------------------------- queries
 def q_symbol_search(spark, sf_dir, pattern=PATTERN_PLAIN):
     idx = symbol_index(spark, sf_dir)
-    return S.workspace_symbols(idx, score_stats(idx), pattern, ROOT)
+    return S.workspace_symbols(idx, index_stats(spark, sf_dir), pattern, ROOT)
 
 
 def q_symbol_search_regex(spark, sf_dir):
@@ -102,7 +102,7 @@ def q_point_lookup_any(spark, sf_dir):
 def _definitions(branch):
     def run(spark, sf_dir):
         idx = symbol_index(spark, sf_dir)
-        stats = score_stats(idx)
+        stats = index_stats(spark, sf_dir)
         probes = first_usage_probes(idx, DEF_BRANCHES[branch][1]())
         hits = S.find_definitions(spark, probes, idx, stats)
         return hits.select("probe_id", "rank", S.absolute_path("path_parts", "user_space", ROOT).alias("path"),

@@ -58,3 +58,40 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
+
+
+def materialize(df, label: str = "stage"):
+    """Cut the lineage by writing ``df`` as Parquet into the shared folder and
+    reading it back.  Computed once (a reliable ``checkpoint()`` without a cache
+    would compute it twice), survives executor loss, and the read-back side has
+    exact size statistics for the next join decision."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stages/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_once(spark: SparkSession, path: str, write) -> None:
+    """Create the table at ``path`` exactly once.
+
+    ``write(tmp_path)`` writes to a private folder, which is then renamed into
+    place (atomic on HDFS and local file systems).  When another job published
+    the same table first, its copy is kept and ours is dropped.
+    """
+    import uuid
+    if path_exists(spark, path):
+        return
+    tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+    write(tmp)
+    fs, dst = _fs(spark, path)
+    fs.mkdirs(dst.getParent())
+    _, src = _fs(spark, tmp)
+    if not fs.rename(src, dst):
+        fs.delete(src, True)

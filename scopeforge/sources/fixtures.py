@@ -26,13 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a narrow, CPU-heavy stage at least one task per core.
+
+    A small file with few row groups yields fewer input splits than cores; then the
+    rows are dealt round-robin over ``defaultParallelism`` tasks.  With many input
+    splits (the normal case at scale) nothing changes and nothing is shuffled."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """One row per line: doc_id, line, line_text, line_start (character offset), line_len.
 
     Line starts come from the newline positions of the text in the same row, so no
     shuffle or per-document window is needed.
     """
-    d = docs.select("doc_id", "lang", "source", "text",
+    d = spread(docs).select("doc_id", "lang", "source", "text",
                     F.split("text", "\n", -1).alias("_lines"),
                     token_starts("text", "\n").alias("_starts"))
     d = d.select("doc_id", "lang", "source",
@@ -46,8 +56,10 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 def document_tokens(docs: DataFrame) -> DataFrame:
     """One row per blank-separated token: doc_id, lang, source, line, tok_ix, tok, start_col."""
-    lines = docs.select("doc_id", "lang", "source",
-                        F.posexplode(F.split("text", "\n", -1)).alias("line", "line_text"))
+    lines = spread(docs).select("doc_id", "lang", "source",
+                                F.posexplode(F.split("text", "\n", -1)).alias("line", "line_text"))
+    # zip the pieces with their start columns so each array is built once per line
+    # (an expression referenced after the explode would be re-evaluated per token)
     toks = lines.select(
         "doc_id", "lang", "source", F.col("line").cast("bigint").alias("line"),
         F.posexplode(F.arrays_zip(F.split("line_text", " ", -1).alias("tok"),

@@ -85,7 +85,7 @@ def main(argv):
         try:
             info = compare(spark, con, name, qs[name], os_.get(name), sf_dir)
         except Exception as e:  # report and continue
-            info = dict(name=name, ok=False, error=repr(e)[:600])
+            info = dict(name=name, ok=False, error=str(e)[:1500])
         bad += info.get("ok") is False
         print(info, flush=True)
     print("FAILED" if bad else "ALL OK", bad)
