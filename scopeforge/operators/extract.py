@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from .ranges import interval_contains
+from ..session import materialize
 
 
 def emit(nodes: DataFrame, emit_rules: DataFrame) -> DataFrame:
@@ -99,8 +100,8 @@ def qualifier_chain(nodes: DataFrame, key: str = "file_id", max_depth: int = 64)
         nxt = (frontier.join(edges, (frontier[key] == edges[key]) & (frontier["_at"] == edges["_from"]))
                .select(frontier[key], frontier["node_id"], edges["_to"].alias("_at"),
                        F.lit(depth).alias("step"), edges["_name"].alias("name")))
-        # cut lineage each step (reliable checkpoint in the shared folder)
-        nxt = nxt.checkpoint(eager=True)
+        # cut the lineage every step: a table written to the shared folder
+        nxt = materialize(nxt, "qualifier-step")
         if nxt.isEmpty():
             break
         steps.append(nxt.select(key, "node_id", "step", "name"))
@@ -115,3 +116,64 @@ def qualifier_chain(nodes: DataFrame, key: str = "file_id", max_depth: int = 64)
               .select(key, "node_id", F.transform("_c", lambda s: s["name"]).alias("chain")))
     return (consts.join(chains, [key, "node_id"], "left")
             .withColumn("chain", F.coalesce("chain", F.array().cast("array<string>"))))
+
+
+def receiver_scope(nodes: DataFrame, key: str = "file_id") -> DataFrame:
+    """EXT-4: per call node (Send / CSend), the receiver's name followed by its
+    qualifier chain when the receiver is a constant, else an empty list.
+    Result: (key, call_id, receiver_scope ARRAY<STRING>)."""
+    chains = qualifier_chain(nodes, key)
+    recv = nodes.filter(F.col("slot") == "recv").select(
+        key, F.col("parent_id").alias("call_id"), "node_id", F.col("kind").alias("_rk"), F.col("name").alias("_rn"))
+    rs = recv.join(chains, [key, "node_id"], "left").select(
+        key, "call_id",
+        F.when(F.col("_rk") == "Const", F.concat(F.array("_rn"), F.coalesce("chain", F.array().cast("array<string>"))))
+        .otherwise(F.array().cast("array<string>")).alias("receiver_scope"))
+    calls = nodes.filter(F.col("kind").isin("Send", "CSend")).select(key, F.col("node_id").alias("call_id"))
+    return (calls.join(rs, [key, "call_id"], "left")
+            .withColumn("receiver_scope", F.coalesce("receiver_scope", F.array().cast("array<string>"))))
+
+
+def generated_definitions(nodes: DataFrame, macro_rules: DataFrame, recv_scope: DataFrame,
+                          key: str = "file_id") -> DataFrame:
+    """EXT-5: definitions generated by class-level macros (accessors, aliases,
+    associations).  A rule gives the method, which arguments count (all / first),
+    whether string arguments count, and the name suffix; each generated row is an
+    assignment of type Def on the argument's span with the receiver's scope as
+    class scope.  Result: key, call_id, arg_id, child_ix, name, node_type,
+    category, class_scope, suffix."""
+    calls = nodes.filter(F.col("kind") == "Send").select(key, F.col("node_id").alias("call_id"),
+                                                        F.col("name").alias("method"))
+    args = nodes.filter(F.col("slot") == "args").select(
+        key, F.col("parent_id").alias("call_id"), F.col("node_id").alias("arg_id"), "child_ix",
+        F.col("kind").alias("arg_kind"), F.col("name").alias("arg_name"))
+    g = (calls.join(F.broadcast(macro_rules), "method")
+         .join(args, [key, "call_id"])
+         .filter((F.col("arg_kind") == "Sym") | (F.col("allow_str") & (F.col("arg_kind") == "Str")))
+         .filter((F.col("arg_policy") == "all") | (F.col("child_ix") == 0)))
+    g = g.join(recv_scope, [key, "call_id"], "left")
+    return g.select(key, "call_id", "arg_id", "child_ix",
+                    F.concat("arg_name", "suffix").alias("name"), F.lit("Def").alias("node_type"),
+                    F.lit("assignment").alias("category"),
+                    F.coalesce("receiver_scope", F.array().cast("array<string>")).alias("class_scope"),
+                    "suffix")
+
+
+def unfollowed_roots(nodes: DataFrame, walk_rules: DataFrame, key: str = "file_id") -> DataFrame:
+    """EXT-11: children sitting in a slot their parent's kind does not walk; each is
+    the root of a subtree that emits nothing.  Result rows for ``prune_subtrees``."""
+    parents = nodes.select(key, F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
+    kids = nodes.filter(F.col("parent_id").isNotNull()).join(parents, [key, "parent_id"])
+    wr = F.broadcast(walk_rules.select(F.col("kind").alias("parent_kind"), "slot", F.lit(True).alias("_walk")))
+    return (kids.join(wr, ["parent_kind", "slot"], "left").filter(F.col("_walk").isNull())
+            .select(key, "pre", "post", F.lit(True).alias("self_included")))
+
+
+def emission_order(rows: DataFrame, key: str = "file_id") -> DataFrame:
+    """EXT-12: dense emission sequence per file from (key_major, key_minor).
+
+    Uses the block-wise numbering so a huge file is not sorted in one task."""
+    from .ranges import sequence_in_group
+    r = rows.withColumn("_kb", F.floor("key_major").cast("bigint"))
+    return sequence_in_group(r, [key], "_kb", [F.col("key_major"), F.col("key_minor")], out="seq",
+                             block=1 << 16).drop("_kb")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import search_queries
+from . import extract_queries, search_queries
+
+_FAMILIES = [search_queries, extract_queries]
 
 
 def all_queries():
     q = {}
-    q.update(search_queries.QUERIES)
+    for fam in _FAMILIES:
+        q.update(fam.QUERIES)
     return q
 
 
 def all_oracles():
     o = {}
-    o.update(search_queries.ORACLES)
+    for fam in _FAMILIES:
+        o.update(fam.ORACLES)
     return o

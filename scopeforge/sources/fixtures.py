@@ -22,6 +22,11 @@ CLASS_SCOPE_SLOTS = [6, 9]
 SEQ_LINE_SHIFT = 1 << 32          # seq = line * 2^32 + token index
 
 
+def row(names: list[str], *values) -> "F.Column":
+    """A struct with the given field names (elements of one array must agree)."""
+    return F.struct(*[v.alias(n) for n, v in zip(names, values)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -106,3 +111,122 @@ def document_symbols(spark: SparkSession, docs: DataFrame) -> DataFrame:
     from ..operators.extract import drop_nameless, emit
     sym = emit(token_nodes(docs), rules.emit_rules(spark))
     return drop_nameless(sym).select(*SYMBOL_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# Lines as scope frames (FIXTURES.md §2.2)
+FRAME_BLOCK = 100_000
+BLOCK_ROOT_SLOT = 11        # tokens at index mod 24 = 11 are block roots
+BLOCK_SPAN = 17             # a block root holds the next five tokens
+
+
+def frame_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token nodes, frames) with nested-set numbers.
+
+    Token node: pre = (line + 1) * 100000 + 3 * tok_ix + 1, post = pre + 1.  Frames:
+    one class frame per document (pre 0, covering all lines) named by the first
+    token, and one def frame per line named by the line's first token; frames
+    exist only when that token has a name.
+    """
+    t = document_tokens(docs).withColumn("name", F.lower(F.regexp_replace("tok", r"[.,]+$", "")))
+    t = t.withColumn("pre", (F.col("line") + 1) * F.lit(FRAME_BLOCK) + F.lit(3) * F.col("tok_ix") + 1)
+    nodes = t.select(F.col("doc_id").alias("file_id"), "line", "tok_ix", "name", "pre",
+                     (F.col("pre") + 1).alias("post"))
+    first = nodes.filter((F.col("tok_ix") == 0) & (F.col("name") != ""))
+    defs = first.select("file_id", ((F.col("line") + 1) * F.lit(FRAME_BLOCK)).alias("pre"),
+                        ((F.col("line") + 1) * F.lit(FRAME_BLOCK) + F.lit(FRAME_BLOCK - 1)).alias("post"),
+                        "name", F.lit("Def").alias("kind"))
+    n_lines = docs.select(F.col("doc_id").alias("file_id"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
+    cls = (first.filter(F.col("line") == 0).join(n_lines, "file_id")
+           .select("file_id", F.lit(0).cast("bigint").alias("pre"),
+                   ((F.col("n_lines") + 1) * F.lit(FRAME_BLOCK) + F.lit(FRAME_BLOCK - 1)).cast("bigint").alias("post"),
+                   "name", F.lit("Class").alias("kind")))
+    return nodes, cls.unionByName(defs)
+
+
+def frame_symbols(docs: DataFrame, slots: list[int]) -> DataFrame:
+    """Named token nodes at the given token positions (mod 24), with their kind."""
+    nodes, _ = frame_nodes(docs)
+    kinds = F.array(*[F.lit(k) for k in DOC_TOKEN_KINDS])
+    m = F.col("tok_ix") % F.lit(len(DOC_TOKEN_KINDS))
+    return (nodes.filter(m.isin(slots) & (F.col("name") != ""))
+            .withColumn("kind", F.element_at(kinds, (m + 1).cast("int")))
+            .withColumn("seq", F.col("line") * F.lit(SEQ_LINE_SHIFT) + F.col("tok_ix")))
+
+
+# ---------------------------------------------------------------------------
+# Star schema as call trees (FIXTURES.md §2.3)
+PRIORITY_METHODS = [("1-URGENT", "attr_accessor"), ("2-HIGH", "attr_writer"),
+                    ("3-MEDIUM", "attr_reader"), ("4-NOT SPECIFIED", "alias_method"),
+                    ("5-LOW", "has_many")]
+ARG_BASE = 10               # node id / pre of argument i = ARG_BASE + i
+LINEITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def numbered_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with ``arg_ix``: 0-based number within the order over all columns
+    ((l_orderkey, l_linenumber) is not unique in the driver tables)."""
+    from pyspark.sql import Window
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy(*LINEITEM_ORDER)
+    return li.withColumn("arg_ix", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def customer_const_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per customer: Const c_name -> (scope) Const n_name -> (scope) Const r_name."""
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    x = c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, F.col("n_regionkey") == r.r_regionkey, "left")
+    f = ["node_id", "parent_id", "slot", "name"]
+    rows = F.array(
+        row(f, F.lit(0).cast("bigint"), F.lit(None).cast("bigint"), F.lit(None).cast("string"), F.col("c_name")),
+        row(f, F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.lit("scope"), F.col("n_name")),
+        row(f, F.lit(2).cast("bigint"), F.lit(1).cast("bigint"), F.lit("scope"), F.col("r_name")))
+    out = x.select(F.col("c_custkey").alias("file_id"), F.explode(rows).alias("n"))
+    return out.select("file_id", "n.node_id", "n.parent_id", "n.slot", F.lit("Const").alias("kind"),
+                      "n.name").filter(F.col("name").isNotNull())
+
+
+def call_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per order: a Send (method from the priority) whose receiver is the
+    customer constant (a Const when the order status is F, else an Lvar) with its
+    nation / region qualifiers, and one argument per line item (Sym for return
+    flags A and N, else Str, named 'p' + part key).
+
+    Columns: file_id, node_id, parent_id, slot, child_ix, kind, name, pre, post.
+    """
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    methods = spark.createDataFrame(PRIORITY_METHODS, "o_orderpriority string, method string")
+    li = numbered_lineitems(spark, sf_dir)
+    nargs = li.groupBy("l_orderkey").agg(F.max("arg_ix").alias("max_ix"))
+    calls = (o.join(F.broadcast(methods), "o_orderpriority", "left")
+             .join(nargs, o.o_orderkey == nargs.l_orderkey, "left")
+             .join(c, o.o_custkey == c.c_custkey, "left")
+             .join(n, c.c_nationkey == n.n_nationkey, "left")
+             .join(r, n.n_regionkey == r.r_regionkey, "left"))
+    post0 = F.when(F.col("max_ix").isNotNull(), F.lit(ARG_BASE) + F.col("max_ix")).otherwise(F.lit(3))
+    rk = F.when(F.col("o_orderstatus") == "F", F.lit("Const")).otherwise(F.lit("Lvar"))
+    null_l = F.lit(None).cast("bigint")
+    f = ["node_id", "parent_id", "slot", "child_ix", "kind", "name", "pre", "post"]
+    L = lambda v: F.lit(v).cast("bigint")
+    rows = F.array(
+        row(f, L(0), null_l, F.lit(None).cast("string"), L(0), F.lit("Send"), F.col("method"), L(0),
+            post0.cast("bigint")),
+        row(f, L(1), L(0), F.lit("recv"), L(0), rk, F.col("c_name"), L(1), L(3)),
+        row(f, L(2), L(1), F.lit("scope"), L(0), F.lit("Const"), F.col("n_name"), L(2), L(3)),
+        row(f, L(3), L(2), F.lit("scope"), L(0), F.lit("Const"), F.col("r_name"), L(3), L(3)))
+    heads = calls.select(F.col("o_orderkey").alias("file_id"), F.explode(rows).alias("n")) \
+        .select("file_id", "n.*").filter((F.col("node_id") == 0) | F.col("name").isNotNull())
+    args = li.select(
+        F.col("l_orderkey").alias("file_id"), (F.lit(ARG_BASE) + F.col("arg_ix")).alias("node_id"),
+        F.lit(0).cast("bigint").alias("parent_id"), F.lit("args").alias("slot"),
+        F.col("arg_ix").alias("child_ix"),
+        F.when(F.col("l_returnflag").isin("A", "N"), F.lit("Sym")).otherwise(F.lit("Str")).alias("kind"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"),
+        (F.lit(ARG_BASE) + F.col("arg_ix")).alias("pre"), (F.lit(ARG_BASE) + F.col("arg_ix")).alias("post"))
+    return heads.unionByName(args)
