@@ -27,34 +27,37 @@ def range_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str
     """Points joined to the ranges that cover them: ``lo <= point <= hi`` (both ends
     closed) on equal ``keys``.  Column names of the two sides must be distinct
     except for ``keys``."""
-    r = ranges.withColumn("_bin", F.explode(_bins(F.col(lo), F.col(hi), block)))
-    p = points.withColumn("_bin", F.floor(F.col(point) / F.lit(block)))
-    cond = [p[k] == r[k] for k in keys] + [p["_bin"] == r["_bin"],
-                                           p[point] >= r[lo], p[point] <= r[hi]]
-    c = cond[0]
-    for x in cond[1:]:
-        c = c & x
+    r = ranges.withColumn("_bin", F.explode(_bins(F.col(lo), F.col(hi), block))).alias("_r")
+    p = points.withColumn("_bin", F.floor(F.col(point) / F.lit(block))).alias("_p")
+    P = lambda c: F.col(f"_p.`{c}`")
+    R = lambda c: F.col(f"_r.`{c}`")
+    c = P("_bin") == R("_bin")
+    for k in keys:
+        c = c & (P(k) == R(k))
+    c = c & (P(point) >= R(lo)) & (P(point) <= R(hi))
     if extra is not None:
         c = c & extra
     out = p.join(r, c, how)
-    return out.select(*[p[k] for k in keys],
-                      *[p[x] for x in points.columns if x not in keys],
-                      *[r[x] for x in ranges.columns if x not in keys])
+    return out.select(*[P(k).alias(k) for k in keys],
+                      *[P(x).alias(x) for x in points.columns if x not in keys],
+                      *[R(x).alias(x) for x in ranges.columns if x not in keys])
 
 
 def interval_contains(points: DataFrame, intervals: DataFrame, key: str, point_lo: str,
                       point_hi: str, lo: str, hi: str, strict: bool, block: int) -> DataFrame:
     """Pairs (node, interval) with the node's [point_lo, point_hi] inside
     [lo, hi] (strictly, or with equal ends allowed) on equal ``key`` (J-7)."""
-    iv = intervals.withColumn("_bin", F.explode(_bins(F.col(lo), F.col(hi), block)))
-    p = points.withColumn("_bin", F.floor(F.col(point_lo) / F.lit(block)))
+    iv = intervals.withColumn("_bin", F.explode(_bins(F.col(lo), F.col(hi), block))).alias("_i")
+    p = points.withColumn("_bin", F.floor(F.col(point_lo) / F.lit(block))).alias("_p")
+    P = lambda c: F.col(f"_p.`{c}`")
+    I = lambda c: F.col(f"_i.`{c}`")  # noqa: E731,E741
     if strict:
-        inside = (iv[lo] < p[point_lo]) & (p[point_hi] < iv[hi])
+        inside = (I(lo) < P(point_lo)) & (P(point_hi) < I(hi))
     else:
-        inside = (iv[lo] <= p[point_lo]) & (p[point_hi] <= iv[hi])
-    out = p.join(iv, (p[key] == iv[key]) & (p["_bin"] == iv["_bin"]) & inside, "inner")
-    return out.select(p[key], *[p[x] for x in points.columns if x != key],
-                      *[iv[x] for x in intervals.columns if x != key])
+        inside = (I(lo) <= P(point_lo)) & (P(point_hi) <= I(hi))
+    out = p.join(iv, (P(key) == I(key)) & (P("_bin") == I("_bin")) & inside, "inner")
+    return out.select(P(key).alias(key), *[P(x).alias(x) for x in points.columns if x != key],
+                      *[I(x).alias(x) for x in intervals.columns if x != key])
 
 
 def asof_lines(offsets: DataFrame, lines: DataFrame, key: str, offset: str = "off",
