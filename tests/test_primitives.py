@@ -49,6 +49,6 @@ def test_salted_join_equals_plain_join(spark):
 
 def test_prefix_match(spark):
     df = spark.createDataFrame([("total",), ("Cart",), ("tote",)], "n string")
-    assert sorted(r.n for r in df.filter(prefix_match("n", "to")).collect()) == ["tote", "total"]
+    assert sorted(r.n for r in df.filter(prefix_match("n", "to")).collect()) == ["total", "tote"]
     assert [r.n for r in df.filter(prefix_match("n", "C[a]")).collect()] == ["Cart"]
     assert df.filter(prefix_match("n", "(")).count() == 0
