@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import rules
 from .ranges import interval_contains
 from ..session import materialize
 

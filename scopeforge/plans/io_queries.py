@@ -182,6 +182,27 @@ def q_run_once_roots(spark, sf_dir):
     return done.withColumn("status", F.lit("done")).unionByName(pending.withColumn("status", F.lit("pending")))
 
 
+def q_index_versions(spark, sf_dir):
+    """SNK-4 / SNK-5: one committed version per daily pass that changed or deleted
+    something (empty passes are skipped and publish nothing), numbered in pass
+    order.  The records are written to a versions table in the shared folder and
+    read back, as readers resolve the latest version from it."""
+    from pyspark.sql import Window
+    feed = _feed(spark, sf_dir)
+    ch = FD.changed_files(feed).groupBy("pass_day").agg(F.count(F.lit(1)).alias("n_changed"))
+    de = FD.deleted_files(feed).groupBy("pass_day").agg(F.count(F.lit(1)).alias("n_deleted"))
+    v = (ch.join(de, "pass_day", "full")
+         .select("pass_day", F.coalesce("n_changed", F.lit(0)).alias("n_changed"),
+                 F.coalesce("n_deleted", F.lit(0)).alias("n_deleted"))
+         .filter((F.col("n_changed") > 0) | (F.col("n_deleted") > 0)))
+    # one row per pass (a handful per day of data), so a global window is cheap
+    v = v.withColumn("version", F.row_number().over(Window.orderBy("pass_day")).cast("bigint"))
+    import uuid
+    path = f"{shared_dir(spark)}/versions/{uuid.uuid4().hex[:12]}"
+    v.write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("version", "pass_day", "n_changed", "n_deleted")
+
+
 def _feed_files(spark, sf_dir) -> str:
     key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
     path = f"{shared_dir(spark)}/feeds/events-{key}"
@@ -223,6 +244,7 @@ QUERIES = {
     "skip_unchanged": q_skip_unchanged,
     "replace_by_file": q_replace_by_file,
     "run_once_roots": q_run_once_roots,
+    "index_versions": q_index_versions,
     "stream_live_upsert": q_stream_live_upsert,
     "stream_diagnostics": q_stream_diagnostics,
     "stream_periodic_refresh": q_stream_periodic_refresh,
@@ -354,6 +376,16 @@ SQL_RUN_ONCE_ROOTS = f"""
 SELECT {sp.q(GEM_HOME + '/gems/')} || replace(s_name, '#', '-') || '-' || CAST(s_suppkey AS VARCHAR) || '.0' AS root,
        CASE WHEN s_acctbal >= 0 THEN 'done' ELSE 'pending' END AS status FROM supplier"""
 
+SQL_INDEX_VERSIONS = "WITH ch AS (" + SQL_CHANGED_FILES.replace("WITH days", "WITH days0").replace(
+    "FROM days d", "FROM days0 d") + "), de AS (" + SQL_DELETED_FILES + """),
+c AS (SELECT pass_day, count(*) AS n FROM ch GROUP BY pass_day),
+d AS (SELECT pass_day, count(*) AS n FROM de GROUP BY pass_day),
+v AS (SELECT coalesce(c.pass_day, d.pass_day) AS pass_day, CAST(coalesce(c.n, 0) AS BIGINT) AS n_changed,
+             CAST(coalesce(d.n, 0) AS BIGINT) AS n_deleted
+      FROM c FULL OUTER JOIN d ON c.pass_day = d.pass_day)
+SELECT CAST(row_number() OVER (ORDER BY pass_day) AS BIGINT) AS version, pass_day, n_changed, n_deleted
+FROM v WHERE n_changed > 0 OR n_deleted > 0"""
+
 SQL_STREAM_DIAGNOSTICS = """
 SELECT user_id AS file_id, event_id AS version, 'parse failed' AS message FROM (
   SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
@@ -382,6 +414,7 @@ ORACLES = {
     "skip_unchanged": SQL_SKIP_UNCHANGED,
     "replace_by_file": SQL_REPLACE_BY_FILE,
     "run_once_roots": SQL_RUN_ONCE_ROOTS,
+    "index_versions": SQL_INDEX_VERSIONS,
     "stream_live_upsert": SQL_LATEST_TEXT,
     "stream_diagnostics": SQL_STREAM_DIAGNOSTICS,
     "stream_periodic_refresh": SQL_STREAM_REFRESH,
