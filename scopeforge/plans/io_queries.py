@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import absolute_path, file_key, join_path, relative_path, split_path, user_space_flag
 from ..operators import diagnostics as D
-from ..session import shared_dir, write_once
+from ..session import qualified, shared_dir, write_once
 from ..sinks.index import replace_files
 from ..sources import files as SRC
 from ..sources import fixtures as fx
@@ -24,6 +24,7 @@ PRUNE_WORDS = ["en", "fr"]
 GEM_HOME = "/home/dev/.gem/ruby"
 STDLIB_ROOT = "/usr/lib/ruby/3.3.0"
 ROOT_RE = r"^([^/]*//[^/]*)"
+TREE_GLOB = "*.txt"                      # the fixture tree is written by Spark's text writer
 
 
 def _pages(spark, sf_dir):
@@ -203,6 +204,36 @@ def q_index_versions(spark, sf_dir):
     return spark.read.parquet(path).select("version", "pass_day", "n_changed", "n_deleted")
 
 
+def _doc_tree(spark, sf_dir) -> str:
+    key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    path = f"{shared_dir(spark)}/trees/docs-{key}"
+    write_once(spark, path, lambda p: fx.write_document_tree(fx.table(spark, sf_dir, "documents"), p))
+    return qualified(spark, path)
+
+
+def _scanned(spark, sf_dir):
+    """SRC-1 + SRC-2 + SRC-8 over the written tree: list and read in the executors,
+    drop pruned directories, split valid and invalid UTF-8 files."""
+    root = _doc_tree(spark, sf_dir)
+    files = SRC.scan_tree(spark, root, TREE_GLOB)
+    kept = SRC.prune(files, "path", root, SRC.WORKSPACE_PRUNE)
+    good, bad = SRC.decode(kept, strict=False)
+    where = lambda df: df.select("*", F.regexp_extract("path", "/lang=([^/]+)/", 1).alias("lang"),
+                                 F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source"))
+    return where(good), where(bad)
+
+
+def q_tree_scan(spark, sf_dir):
+    good, _ = _scanned(spark, sf_dir)
+    return good.groupBy("lang", "source").agg(F.sum("length").cast("bigint").alias("n_bytes"),
+                                              F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+
+
+def q_bad_file_skip(spark, sf_dir):
+    _, bad = _scanned(spark, sf_dir)
+    return bad.select("lang", "source").distinct()
+
+
 def _feed_files(spark, sf_dir) -> str:
     key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
     path = f"{shared_dir(spark)}/feeds/events-{key}"
@@ -245,6 +276,8 @@ QUERIES = {
     "replace_by_file": q_replace_by_file,
     "run_once_roots": q_run_once_roots,
     "index_versions": q_index_versions,
+    "tree_scan": q_tree_scan,
+    "bad_file_skip": q_bad_file_skip,
     "stream_live_upsert": q_stream_live_upsert,
     "stream_diagnostics": q_stream_diagnostics,
     "stream_periodic_refresh": q_stream_periodic_refresh,
@@ -386,6 +419,16 @@ v AS (SELECT coalesce(c.pass_day, d.pass_day) AS pass_day, CAST(coalesce(c.n, 0)
 SELECT CAST(row_number() OVER (ORDER BY pass_day) AS BIGINT) AS version, pass_day, n_changed, n_deleted
 FROM v WHERE n_changed > 0 OR n_deleted > 0"""
 
+_SKIPPED = ", ".join(sp.q(x) for x in fx.NODE_MODULES_SOURCES + fx.BAD_UTF8_SOURCES)
+SQL_TREE_SCAN = f"""
+SELECT lang, source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars
+FROM documents WHERE source NOT IN ({_SKIPPED}) GROUP BY lang, source"""
+
+SQL_BAD_FILE_SKIP = f"""
+SELECT DISTINCT lang, source FROM documents
+WHERE source IN ({', '.join(sp.q(x) for x in fx.BAD_UTF8_SOURCES)})
+  AND source NOT IN ({', '.join(sp.q(x) for x in fx.NODE_MODULES_SOURCES)})"""
+
 SQL_STREAM_DIAGNOSTICS = """
 SELECT user_id AS file_id, event_id AS version, 'parse failed' AS message FROM (
   SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
@@ -415,6 +458,8 @@ ORACLES = {
     "replace_by_file": SQL_REPLACE_BY_FILE,
     "run_once_roots": SQL_RUN_ONCE_ROOTS,
     "index_versions": SQL_INDEX_VERSIONS,
+    "tree_scan": SQL_TREE_SCAN,
+    "bad_file_skip": SQL_BAD_FILE_SKIP,
     "stream_live_upsert": SQL_LATEST_TEXT,
     "stream_diagnostics": SQL_STREAM_DIAGNOSTICS,
     "stream_periodic_refresh": SQL_STREAM_REFRESH,

@@ -95,3 +95,9 @@ def write_once(spark: SparkSession, path: str, write) -> None:
     _, src = _fs(spark, tmp)
     if not fs.rename(src, dst):
         fs.delete(src, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """Fully qualified form of a path (scheme included), as file listings report it."""
+    fs, p = _fs(spark, path)
+    return str(fs.makeQualified(p).toString())

@@ -27,8 +27,9 @@ def scan_tree(spark: SparkSession, root: str, glob: str = SOURCE_GLOB) -> DataFr
 
 
 def directory_parts(path_col, root: str):
-    """Parts of the path below the root, without the file name."""
-    rel = relative_path(F.regexp_replace(path_col, "^file:", ""), root)
+    """Parts of the path below the root, without the file name.  ``root`` must be
+    given in the listing's qualified form (scheme included)."""
+    rel = relative_path(path_col, root)
     parts = split_path(rel)
     return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
 

@@ -230,3 +230,22 @@ def call_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"),
         (F.lit(ARG_BASE) + F.col("arg_ix")).alias("pre"), (F.lit(ARG_BASE) + F.col("arg_ix")).alias("post"))
     return heads.unionByName(args)
+
+
+# ---------------------------------------------------------------------------
+# Documents as a source tree on the shared file system (FIXTURES.md §2.6)
+NODE_MODULES_SOURCES = ["src3"]     # written below a node_modules directory
+BAD_UTF8_SOURCES = ["src7"]         # files start with an invalid UTF-8 byte
+
+
+def write_document_tree(docs: DataFrame, path: str) -> None:
+    """Write documents as text files ``top=<app|node_modules>/lang=../source=../``.
+
+    Executors write the files; every file holds documents of one directory, one
+    per line.  Files of ``BAD_UTF8_SOURCES`` get a leading 0xFF byte, which makes
+    them invalid UTF-8."""
+    bad = F.unhex(F.lit("FF")).cast("string")
+    text = F.when(F.col("source").isin(BAD_UTF8_SOURCES), F.concat(bad, F.col("text"))).otherwise(F.col("text"))
+    top = F.when(F.col("source").isin(NODE_MODULES_SOURCES), F.lit("node_modules")).otherwise(F.lit("app"))
+    (docs.select(top.alias("top"), "lang", "source", text.alias("value"))
+     .write.mode("overwrite").partitionBy("top", "lang", "source").text(path))
