@@ -135,41 +135,49 @@ def scope_key(col: str = "scope_path") -> Column:
     return F.concat(F.size(col).cast("string"), F.lit(":"), F.array_join(col, "\u0001"))
 
 
-def _search(spark: SparkSession, u: DataFrame, index: DataFrame, stats: ScoreStats,
-            clauses: Column, directions: list[str], category: str | None,
-            same_file: bool, limit: int) -> DataFrame:
-    """Score and rank candidates by *scope group* instead of by symbol.
+def scope_groups(index: DataFrame, category: str | None, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Index pre-aggregated for cross-file search: (name, node_type, scope_key) groups
+    with their member count, and each group's first ``limit`` members in tie order
+    (a partial ``WindowGroupLimit`` runs before the shuffle).  Computed once per
+    index version and stored beside it."""
+    idx = index.filter(F.col("category") == category) if category else index
+    idx = idx.withColumn("scope_key", scope_key())
+    gkeys = ["name", "node_type", "scope_key"]
+    groups = idx.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"), F.first("scope_path").alias("scope_path"))
+    tie = Window.partitionBy(*gkeys).orderBy("file_id", "line", "start_col", "seq")
+    members = idx.withColumn("_m", F.row_number().over(tie)).filter(F.col("_m") <= limit).drop("_m", "scope_path")
+    return groups, members
 
-    A candidate's score and its required-scope test depend only on its node type
-    and scope path.  The index is therefore pre-aggregated into groups (name,
-    node_type, scope path [, file]) with a member count; probes are joined to these
-    groups (a common name collapses to a handful of groups, which removes the name
-    skew), scored once per group, and only groups that can still reach the top
-    ``limit`` are kept: those with fewer than ``limit`` candidates scoring strictly
-    higher.  Each kept group expands to its first ``limit`` members in tie order,
-    precomputed per group with a partial window limit.  The result equals ranking
-    every (probe, symbol) pair.
-    """
+
+def _probe_side(spark: SparkSession, u: DataFrame, stats: ScoreStats, clauses: Column,
+                directions: list[str]) -> tuple[DataFrame, list[str]]:
     wc = _weighted_clauses(u, clauses, stats)
     probe_side = _allowed_types(spark, u, directions, stats).join(wc, "probe_id", "left") \
         .withColumn("clauses", F.coalesce("clauses", F.array().cast(
             "array<struct<pos:int,term:string,required:boolean,w:double>>")))
     extra = [c for c in probe_side.columns if c.startswith("p_") and c != "p_file_id"]
-    probe_side = probe_side.select(
+    return probe_side.select(
         "probe_id", F.col("file_id").alias("p_file_id"), "u_name", "match_type",
-        "multiplicity", "type_idf", "clauses", *extra)
+        "multiplicity", "type_idf", "clauses", *extra), extra
 
-    idx = index.filter(F.col("category") == category) if category else index
-    idx = idx.withColumn("scope_key", scope_key())
-    gkeys = (["file_id"] if same_file else []) + ["name", "node_type", "scope_key"]
-    groups = idx.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"), F.first("scope_path").alias("scope_path"))
-    tie = Window.partitionBy(*gkeys).orderBy("file_id", "line", "start_col", "seq")
-    members = idx.withColumn("_m", F.row_number().over(tie)).filter(F.col("_m") <= limit).drop("_m", "scope_path")
 
-    keys = [("u_name", "name"), ("match_type", "node_type")]
-    if same_file:
-        keys = [("p_file_id", "file_id")] + keys
-    pg = _candidates(spark, probe_side, groups, keys)
+def _search_grouped(spark: SparkSession, u: DataFrame, index: DataFrame, stats: ScoreStats,
+                    clauses: Column, directions: list[str], category: str | None, limit: int,
+                    groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Cross-file search, scored by *scope group* instead of by symbol.
+
+    A candidate's score and its required-scope test depend only on its node type
+    and scope path.  Probes are joined to the groups of ``scope_groups`` (a common
+    name collapses to a handful of groups, which removes the name skew), scored
+    once per group, and only groups that can still reach the top ``limit`` are
+    kept: those with fewer than ``limit`` candidates scoring strictly higher.  Each
+    kept group expands to its stored first ``limit`` members.  The result equals
+    ranking every (probe, symbol) pair.
+    """
+    probe_side, extra = _probe_side(spark, u, stats, clauses, directions)
+    grp, members = groups if groups is not None else scope_groups(index, category, limit)
+    gkeys = ["name", "node_type", "scope_key"]
+    pg = _candidates(spark, probe_side, grp, [("u_name", "name"), ("match_type", "node_type")])
     pg = pg.filter(_required_ok()).withColumn("score", F.round(_score(stats), 6))
     by_score = Window.partitionBy("probe_id").orderBy(F.col("score").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -181,13 +189,28 @@ def _search(spark: SparkSession, u: DataFrame, index: DataFrame, stats: ScoreSta
     return _top_k(cand, limit)
 
 
+def _search_same_file(spark: SparkSession, u: DataFrame, index: DataFrame, stats: ScoreStats,
+                      clauses: Column, directions: list[str], category: str | None, limit: int) -> DataFrame:
+    """Same-file search: candidates share the probe's file, so the pairs per probe
+    are bounded by the file's occurrences of one name; they are joined directly
+    (the probe side is broadcast after a size check) and scored in the row."""
+    probe_side, _ = _probe_side(spark, u, stats, clauses, directions)
+    idx = index.filter(F.col("category") == category) if category else index
+    keys = [("p_file_id", "file_id"), ("u_name", "name"), ("match_type", "node_type")]
+    cand = _candidates(spark, probe_side, idx, keys)
+    cand = cand.filter(_required_ok()).withColumn("score", F.round(_score(stats), 6))
+    return _top_k(cand, limit)
+
+
 def find_definitions(spark: SparkSession, probes: DataFrame, index: DataFrame, stats: ScoreStats,
-                     limit: int = rules.DEFINITION_LIMIT) -> DataFrame:
+                     limit: int = rules.DEFINITION_LIMIT,
+                     groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Q-3: assignments with the probe's name, a compatible type and the scope rule of
-    the usage type; BM25 score; top ``limit`` per probe."""
+    the usage type; BM25 score; top ``limit`` per probe.  ``groups`` are the stored
+    ``scope_groups(index, 'assignment', limit)`` of the index version, if any."""
     u = materialize(point_lookup(probes, index, usage_only=True), "lookup")
-    return _search(spark, u, index, stats, definition_clauses(), ["usage"], "assignment",
-                   same_file=False, limit=limit)
+    return _search_grouped(spark, u, index, stats, definition_clauses(), ["usage"], "assignment",
+                           limit, groups)
 
 
 def find_references(spark: SparkSession, probes: DataFrame, index: DataFrame, stats: ScoreStats,
@@ -196,8 +219,7 @@ def find_references(spark: SparkSession, probes: DataFrame, index: DataFrame, st
     map (counted per map) and the scope rule; top ``limit`` per probe."""
     u = materialize(point_lookup(probes, index, usage_only=False), "lookup")
     u = u.withColumn("p_new_name", F.col("new_name")) if "new_name" in probes.columns else u
-    return _search(spark, u, index, stats, reference_clauses(), ["usage", "assignment"], None,
-                   same_file=True, limit=limit)
+    return _search_same_file(spark, u, index, stats, reference_clauses(), ["usage", "assignment"], None, limit)
 
 
 def locations(hits: DataFrame, root: str = DEFAULT_ROOT) -> DataFrame:

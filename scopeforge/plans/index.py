@@ -58,3 +58,15 @@ def index_stats(spark: SparkSession, sf_dir: str) -> ScoreStats:
     write_once(spark, f"{path}/terms", lambda p: term_stats(idx).withColumn(
         "idf", idf(F.col("df"), n_docs)).write.parquet(p))
     return ScoreStats(n_docs, float(row["avg_len"] or 0.0), spark.read.parquet(f"{path}/terms"))
+
+
+def definition_groups(spark: SparkSession, sf_dir: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Scope groups of the assignments and their first ``limit`` members, stored
+    once per index version (input of cross-file definition search)."""
+    from ..operators.search import scope_groups
+    path = index_path(spark, sf_dir)
+    idx = symbol_index(spark, sf_dir)
+    groups, members = scope_groups(idx, "assignment", limit)
+    write_once(spark, f"{path}/def_groups", lambda p: groups.write.parquet(p))
+    write_once(spark, f"{path}/def_members_{limit}", lambda p: members.write.parquet(p))
+    return spark.read.parquet(f"{path}/def_groups"), spark.read.parquet(f"{path}/def_members_{limit}")

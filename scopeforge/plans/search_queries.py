@@ -10,7 +10,7 @@ from ..operators import search as S
 from ..operators.stats import field_stats, term_stats
 from ..sources import fixtures as fx
 from . import sqlparts as sp
-from .index import index_stats, symbol_index
+from .index import definition_groups, index_stats, symbol_index
 
 ROOT = S.DEFAULT_ROOT
 PATTERN_PLAIN = "th"
@@ -104,7 +104,8 @@ def _definitions(branch):
         idx = symbol_index(spark, sf_dir)
         stats = index_stats(spark, sf_dir)
         probes = first_usage_probes(idx, DEF_BRANCHES[branch][1]())
-        hits = S.find_definitions(spark, probes, idx, stats)
+        hits = S.find_definitions(spark, probes, idx, stats,
+                                  groups=definition_groups(spark, sf_dir, rules.DEFINITION_LIMIT))
         return hits.select("probe_id", "rank", S.absolute_path("path_parts", "user_space", ROOT).alias("path"),
                            "name", "node_type", "line", "start_col", "end_col", "score")
     return run
