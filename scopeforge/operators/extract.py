@@ -89,10 +89,12 @@ def qualifier_chain(nodes: DataFrame, key: str = "file_id", max_depth: int = 64)
     the (small) set of scope edges; the loop ends when a step adds no rows.
     Result: (key, node_id, chain ARRAY<STRING>) for every Const node.
     """
-    consts = nodes.filter(F.col("kind") == "Const").select(key, "node_id")
-    edges = (nodes.filter((F.col("slot") == "scope") & (F.col("kind") == "Const"))
-             .select(key, F.col("parent_id").alias("_from"), F.col("node_id").alias("_to"),
-                     F.col("name").alias("_name")))
+    # the loop reads these two inputs once per step: write them once, so the
+    # upstream plan that produced ``nodes`` is not re-run every iteration
+    consts = materialize(nodes.filter(F.col("kind") == "Const").select(key, "node_id"), "consts")
+    edges = materialize(nodes.filter((F.col("slot") == "scope") & (F.col("kind") == "Const"))
+                        .select(key, F.col("parent_id").alias("_from"), F.col("node_id").alias("_to"),
+                                F.col("name").alias("_name")), "scope-edges")
     frontier = consts.select(key, "node_id", F.col("node_id").alias("_at"), F.lit(0).alias("step"))
     steps = []
     for depth in range(1, max_depth + 1):
