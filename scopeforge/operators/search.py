@@ -22,6 +22,9 @@ from .stats import ScoreStats
 from ..session import materialize
 
 DEFAULT_ROOT = "/workspace"
+# A join key of the index is salted when it holds at least this many rows (and at
+# least 1/256 of the rows); tests lower it to exercise the salted path.
+SALT_MIN_ROWS = 100_000
 _U = ["seq", "name", "node_type", "category", "scope_path", "class_scope", "start_col",
       "end_col", "path_parts", "user_space"]
 
@@ -124,7 +127,7 @@ def _candidates(spark, probe_side: DataFrame, index: DataFrame, keys: list[tuple
     renamed = probe_side
     for pc, ic in keys:
         renamed = renamed.withColumnRenamed(pc, ic)
-    out = salted_join(index, renamed, [ic for _, ic in keys], "inner")
+    out = salted_join(index, renamed, [ic for _, ic in keys], "inner", min_rows=SALT_MIN_ROWS)
     for pc, ic in keys:
         out = out.withColumn(pc, F.col(ic))
     return out
