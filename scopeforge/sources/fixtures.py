@@ -167,10 +167,12 @@ LINEITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_ext
 def numbered_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with ``arg_ix``: 0-based number within the order over all columns
     ((l_orderkey, l_linenumber) is not unique in the driver tables)."""
-    from pyspark.sql import Window
+    from ..operators.ranges import sequence_in_group
     li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy(*LINEITEM_ORDER)
-    return li.withColumn("arg_ix", (F.row_number().over(w) - 1).cast("bigint"))
+    # numbered block-wise (blocks of line numbers, the leading sort key), so one
+    # order holding a large share of all line items is not sorted in one task
+    return sequence_in_group(li, ["l_orderkey"], "l_linenumber", [F.col(c) for c in LINEITEM_ORDER],
+                             out="arg_ix", block=64)
 
 
 def customer_const_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
