@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import absolute_path, file_key, join_path, relative_path, split_path, user_space_flag
 from ..operators import diagnostics as D
 from ..session import qualified, shared_dir, write_once
+from ..operators.skew import salted_join
 from ..sinks.index import replace_files
 from ..sources import files as SRC
 from ..sources import fixtures as fx
@@ -24,7 +25,8 @@ PRUNE_WORDS = ["en", "fr"]
 GEM_HOME = "/home/dev/.gem/ruby"
 STDLIB_ROOT = "/usr/lib/ruby/3.3.0"
 ROOT_RE = r"^([^/]*//[^/]*)"
-TREE_GLOB = "*.txt"                      # the fixture tree is written by Spark's text writer
+TREE_GLOB = "*.txt"
+SALT_MIN_ROWS = 100_000                      # the fixture tree is written by Spark's text writer
 
 
 def _pages(spark, sf_dir):
@@ -115,8 +117,10 @@ def _diags(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
     lines = fx.document_lines(docs).withColumnRenamed("doc_id", "file_id")
     nonempty = lines.filter(F.col("line_len") > 0)
-    dup = nonempty.groupBy("line_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("line_text")
-    msgs = nonempty.join(dup, "line_text", "left_semi").select(
+    freq = nonempty.groupBy("line_text").agg(F.count(F.lit(1)).alias("n"))      # pre-aggregated
+    dup = freq.filter("n > 1").select("line_text")
+    # a very common line (think `end`) is split over several tasks on the line side
+    msgs = salted_join(nonempty, dup, ["line_text"], "left_semi", min_rows=SALT_MIN_ROWS).select(
         "file_id", F.col("line").alias("msg_id"), F.lit("repeated line").alias("message"),
         F.col("line_start").alias("begin_off"), (F.col("line_start") + F.col("line_len") - 1).alias("end_off"))
     return D.to_diagnostics(msgs, lines.select("file_id", "line", "line_start", "line_len"))

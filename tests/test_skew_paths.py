@@ -27,3 +27,11 @@ def test_salted_references_equal_broadcast(spark, monkeypatch):
     monkeypatch.setattr(S, "SALT_MIN_ROWS", 5)
     got = _rows(q(spark, SF))
     assert got == want and len(got) > 0
+
+
+def test_salted_duplicate_lines_equal_plain(spark, monkeypatch):
+    import scopeforge.plans.io_queries as IO
+    want = _rows(IO.q_diagnostics(spark, SF))
+    monkeypatch.setattr(IO, "SALT_MIN_ROWS", 2)
+    got = _rows(IO.q_diagnostics(spark, SF))
+    assert got == want and len(got) > 0
