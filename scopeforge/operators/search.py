@@ -106,7 +106,10 @@ def _required_ok() -> Column:
 def _top_k(df: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("probe_id").orderBy(
         F.col("score").desc(), F.col("file_id"), F.col("line"), F.col("start_col"), F.col("seq"))
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    # filter on the plain row_number (so Spark plans a WindowGroupLimit), then
+    # widen it to BIGINT like SQL engines report ranks
+    return (df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
+            .withColumn("rank", F.col("_rn").cast("bigint")).drop("_rn"))
 
 
 def _candidates(spark, probe_side: DataFrame, index: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
@@ -268,7 +271,7 @@ def workspace_symbols(index: DataFrame, stats: ScoreStats, pattern: str, root: s
             .withColumn("score", F.round(F.col("type_idf"), 6)))
     w = Window.orderBy(F.col("score").desc(), "file_id", "line", "start_col", "seq")
     top = hits.orderBy(F.col("score").desc(), "file_id", "line", "start_col", "seq").limit(limit)
-    return top.withColumn("rank", F.row_number().over(w)).select(
+    return top.withColumn("rank", F.row_number().over(w).cast("bigint")).select(
         "rank", "name", symbol_kind("node_type").alias("kind"),
         absolute_path("path_parts", F.lit(True), root).alias("path"),
         F.col("line").alias("start_line"), "start_col", F.col("line").alias("end_line"), "end_col", "score")
