@@ -41,8 +41,15 @@ def main() -> None:
                   buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     times["index_build"] = round(time.time() - t, 3)
     n = spark.read.parquet(fresh).count()
+    # artifacts stored once per index version: the index itself, its statistics
+    # and the scope groups of cross-file search
+    from scopeforge.plans.index import definition_groups
+    from scopeforge.rules import DEFINITION_LIMIT
+    t = time.time()
     symbol_index(spark, sf_dir)
     index_stats(spark, sf_dir)
+    definition_groups(spark, sf_dir, DEFINITION_LIMIT)
+    times["index_artifacts"] = round(time.time() - t, 3)
     for name in HEADLINE:
         if name not in qs:
             continue

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import absolute_path, file_key, join_path, relative_path, split_path, user_space_flag
 from ..operators import diagnostics as D
-from ..session import qualified, shared_dir, write_once
+from ..session import materialize, qualified, shared_dir, write_once
 from ..operators.skew import salted_join
 from ..sinks.index import replace_files
 from ..sources import files as SRC
@@ -117,10 +117,14 @@ def _diags(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
     lines = fx.document_lines(docs).withColumnRenamed("doc_id", "file_id")
     nonempty = lines.filter(F.col("line_len") > 0)
-    freq = nonempty.groupBy("line_text").agg(F.count(F.lit(1)).alias("n"))      # pre-aggregated
+    # line frequencies, pre-aggregated and written once: they give both the
+    # duplicated lines and the (bounded) set of hot lines to salt
+    freq = materialize(nonempty.groupBy("line_text").agg(F.count(F.lit(1)).alias("n")), "line-freq")
     dup = freq.filter("n > 1").select("line_text")
+    total = freq.agg(F.sum("n")).first()[0] or 0
+    hot = freq.filter(F.col("n") >= max(SALT_MIN_ROWS, total // 256 + 1)).select("line_text")
     # a very common line (think `end`) is split over several tasks on the line side
-    msgs = salted_join(nonempty, dup, ["line_text"], "left_semi", min_rows=SALT_MIN_ROWS).select(
+    msgs = salted_join(nonempty, dup, ["line_text"], "left_semi", hot=hot).select(
         "file_id", F.col("line").alias("msg_id"), F.lit("repeated line").alias("message"),
         F.col("line_start").alias("begin_off"), (F.col("line_start") + F.col("line_len") - 1).alias("end_off"))
     return D.to_diagnostics(msgs, lines.select("file_id", "line", "line_start", "line_len"))
