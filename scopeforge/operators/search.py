@@ -72,6 +72,13 @@ def _weighted_clauses(u: DataFrame, clauses: Column, stats: ScoreStats) -> DataF
     c = u.select("probe_id", F.posexplode(clauses).alias("_pos", "_c"))
     terms = stats.terms.filter(F.col("field") == "scope").select(
         F.col("term").alias("_term"), F.col("idf").alias("_idf"))
+    # the clause side grows with the probes, the term table with the whole index.
+    # When the clause terms are checked few, the term table is first cut down by a
+    # broadcast semi-join (streamed, not shuffled); the left join that keeps
+    # unknown terms (weight 0, still required) then joins two small sides.
+    wanted, small = broadcast_if_small(c.select(F.col("_c.term").alias("_term")))
+    if small:
+        terms = terms.join(wanted, "_term", "left_semi")
     c = c.join(terms, F.col("_c.term") == F.col("_term"), "left")
     w = F.col("_c.boost") * F.coalesce(F.col("_idf"), F.lit(0.0))
     return (c.groupBy("probe_id")
