@@ -37,10 +37,10 @@ def directory_parts(path_col, root: str):
 def prune(files: DataFrame, path_col: str, root: str, prune_list: list[str]) -> DataFrame:
     """SRC-2: drop files below a directory whose name *contains* a pruned word
     (a substring test: '.github' goes with '.git').  File names are not tested."""
+    if not prune_list:
+        return files
     dirs = directory_parts(F.col(path_col), root)
-    hit = F.exists(dirs, lambda d: F.lit(False) if not prune_list else
-                   _any_contains(d, prune_list))
-    return files.filter(~hit)
+    return files.filter(~F.exists(dirs, lambda d: _any_contains(d, prune_list)))
 
 
 def _any_contains(d, words):
