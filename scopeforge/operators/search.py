@@ -17,7 +17,7 @@ from ..functions.kinds import highlight_kind, symbol_kind
 from ..functions.paths import absolute_path
 from ..functions.text import prefix_match
 from .ranges import range_join
-from .skew import BROADCAST_MAX_ROWS, broadcast_if_small, salted_join
+from .skew import BROADCAST_MAX_ROWS, broadcast_if_small, count_at_most, salted_join
 from .stats import ScoreStats
 from ..session import materialize
 
@@ -88,15 +88,26 @@ def _weighted_clauses(u: DataFrame, clauses: Column, stats: ScoreStats) -> DataF
 
 
 def _allowed_types(spark: SparkSession, u: DataFrame, directions: list[str], stats: ScoreStats) -> DataFrame:
-    """(probe_id, match_type, multiplicity, type_idf): types a candidate may have.
-    A type allowed by both maps counts twice.  Rule and type tables have a fixed
-    size (27 node types) and are broadcast."""
+    """Adds ``allowed``: node type a candidate may have -> (multiplicity, type_idf).
+
+    One map per probe type is built from the rule table (at most 27 rows, so the
+    broadcast has a fixed bound); a type allowed by both maps counts twice.  The
+    probe side stays one row per probe instead of one per allowed type."""
     tr = rules.type_rules(spark).filter(F.col("direction").isin(directions))
     tr = tr.groupBy("probe_type", "match_type").agg(F.count(F.lit(1)).alias("multiplicity"))
     types = stats.terms.filter(F.col("field") == "node_type").select(
         F.col("term").alias("match_type"), F.col("idf").alias("type_idf"))
     tr = tr.join(F.broadcast(types), "match_type", "left")
-    return u.join(F.broadcast(tr), u["u_node_type"] == tr["probe_type"], "inner").drop("probe_type")
+    maps = tr.groupBy("probe_type").agg(F.map_from_entries(F.collect_list(F.struct(
+        "match_type", F.struct("multiplicity", "type_idf")))).alias("allowed"))
+    return u.join(F.broadcast(maps), u["u_node_type"] == maps["probe_type"], "inner").drop("probe_type")
+
+
+def _type_weights(df: DataFrame) -> DataFrame:
+    """Keep candidates whose node type the probe allows; attach its weights."""
+    a = F.col("allowed")[F.col("node_type")]
+    return (df.filter(a.isNotNull())
+            .withColumn("multiplicity", a["multiplicity"]).withColumn("type_idf", a["type_idf"]))
 
 
 def _score(stats: ScoreStats) -> Column:
@@ -119,15 +130,20 @@ def _top_k(df: DataFrame, k: int) -> DataFrame:
             .withColumn("rank", F.col("_rn").cast("bigint")).drop("_rn"))
 
 
-def _candidates(spark, probe_side: DataFrame, index: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+def _candidates(spark, probe_side: DataFrame, index: DataFrame, keys: list[tuple[str, str]],
+                rows_bound: int | None = None) -> DataFrame:
     """Join the probe side to the index on ``keys`` (probe column, index column).
 
     The probe side is broadcast when its row count is checked to be small;
     otherwise both sides shuffle and hot index keys are salted (J-2 skew)."""
-    # materialise the probe side once: it is counted for the broadcast decision
-    # and then joined, without computing it twice
-    probe_side = materialize(probe_side, "probe-side")
-    ps, small = broadcast_if_small(probe_side, BROADCAST_MAX_ROWS)
+    if rows_bound is not None and rows_bound <= BROADCAST_MAX_ROWS:
+        # the caller proved the row count (one row per already counted probe)
+        ps, small = F.broadcast(probe_side), True
+    else:
+        # materialise the probe side once: it is counted for the broadcast decision
+        # and then joined, without computing it twice
+        probe_side = materialize(probe_side, "probe-side")
+        ps, small = broadcast_if_small(probe_side, BROADCAST_MAX_ROWS)
     if small:
         cond = None
         for pc, ic in keys:
@@ -163,15 +179,17 @@ def scope_groups(index: DataFrame, category: str | None, limit: int) -> tuple[Da
 
 
 def _probe_side(spark: SparkSession, u: DataFrame, stats: ScoreStats, clauses: Column,
-                directions: list[str]) -> tuple[DataFrame, list[str]]:
+                directions: list[str]) -> tuple[DataFrame, list[str], int]:
+    """One row per probe: name, allowed-type map and weighted clauses.  Also
+    returns a proven upper bound of its row count (the lookup rows, counted once)."""
     wc = _weighted_clauses(u, clauses, stats)
     probe_side = _allowed_types(spark, u, directions, stats).join(wc, "probe_id", "left") \
         .withColumn("clauses", F.coalesce("clauses", F.array().cast(
             "array<struct<pos:int,term:string,required:boolean,w:double>>")))
     extra = [c for c in probe_side.columns if c.startswith("p_") and c != "p_file_id"]
     return probe_side.select(
-        "probe_id", F.col("file_id").alias("p_file_id"), "u_name", "match_type",
-        "multiplicity", "type_idf", "clauses", *extra), extra
+        "probe_id", F.col("file_id").alias("p_file_id"), "u_name", "allowed", "clauses", *extra), extra, \
+        count_at_most(u, BROADCAST_MAX_ROWS)
 
 
 def _search_grouped(spark: SparkSession, u: DataFrame, index: DataFrame, stats: ScoreStats,
@@ -187,10 +205,10 @@ def _search_grouped(spark: SparkSession, u: DataFrame, index: DataFrame, stats:
     kept group expands to its stored first ``limit`` members.  The result equals
     ranking every (probe, symbol) pair.
     """
-    probe_side, extra = _probe_side(spark, u, stats, clauses, directions)
+    probe_side, extra, bound = _probe_side(spark, u, stats, clauses, directions)
     grp, members = groups if groups is not None else scope_groups(index, category, limit)
     gkeys = ["name", "node_type", "scope_key"]
-    pg = _candidates(spark, probe_side, grp, [("u_name", "name"), ("match_type", "node_type")])
+    pg = _type_weights(_candidates(spark, probe_side, grp, [("u_name", "name")], bound))
     pg = pg.filter(_required_ok()).withColumn("score", F.round(_score(stats), 6))
     by_score = Window.partitionBy("probe_id").orderBy(F.col("score").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -207,10 +225,10 @@ def _search_same_file(spark: SparkSession, u: DataFrame, index: DataFrame, stats
     """Same-file search: candidates share the probe's file, so the pairs per probe
     are bounded by the file's occurrences of one name; they are joined directly
     (the probe side is broadcast after a size check) and scored in the row."""
-    probe_side, _ = _probe_side(spark, u, stats, clauses, directions)
+    probe_side, _, bound = _probe_side(spark, u, stats, clauses, directions)
     idx = index.filter(F.col("category") == category) if category else index
-    keys = [("p_file_id", "file_id"), ("u_name", "name"), ("match_type", "node_type")]
-    cand = _candidates(spark, probe_side, idx, keys)
+    keys = [("p_file_id", "file_id"), ("u_name", "name")]
+    cand = _type_weights(_candidates(spark, probe_side, idx, keys, bound))
     cand = cand.filter(_required_ok()).withColumn("score", F.round(_score(stats), 6))
     return _top_k(cand, limit)
 
