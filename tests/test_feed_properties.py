@@ -41,3 +41,20 @@ def test_periodic_trigger_reaches_batch_state(spark):
     got = _rows(spark.read.parquet(state).select("file_id", "version", "text"))
     want = _rows(FD.latest_text(feed).select("file_id", "version", "text"))
     assert got == want and len(got) > 0
+
+
+def test_bucket_overwrite_replace_keeps_index_equal(spark):
+    from scopeforge.session import materialize
+    from scopeforge.sinks.index import bucket_of, overwrite_buckets, write_symbols
+    docs = fx.table(spark, SF, "documents")
+    path = f"{shared_dir(spark)}/test-index/{uuid.uuid4().hex[:12]}"
+    write_symbols(fx.document_symbols(spark, docs), path, buckets=4)
+    before = _rows(spark.read.parquet(path))
+    changed_docs = docs.filter(F.col("lang") == "de")        # re-extract one language's files
+    changed = changed_docs.select(F.col("doc_id").alias("file_id"))
+    touched = F.broadcast(changed.select(bucket_of("file_id", 4).alias("bucket")).distinct())
+    old = spark.read.parquet(path).join(touched, "bucket").drop("bucket")
+    merged = materialize(replace_files(old, fx.document_symbols(spark, changed_docs), changed))
+    overwrite_buckets(merged, path, 4)
+    after = spark.read.parquet(path)
+    assert _rows(after.select(*spark.read.parquet(path).columns)) == before
