@@ -11,7 +11,7 @@ from ..functions.paths import absolute_path, file_key, join_path, relative_path,
 from ..operators import diagnostics as D
 from ..session import materialize, qualified, shared_dir, write_once
 from ..operators.skew import salted_join
-from ..sinks.index import replace_files
+from ..sinks.index import publish_versions, replace_files
 from ..sources import files as SRC
 from ..sources import fixtures as fx
 from ..streaming import feed as FD
@@ -208,7 +208,7 @@ def q_index_versions(spark, sf_dir):
     v = v.withColumn("version", F.row_number().over(Window.orderBy("pass_day")).cast("bigint"))
     import uuid
     path = f"{shared_dir(spark)}/versions/{uuid.uuid4().hex[:12]}"
-    v.write.mode("append").parquet(path)
+    publish_versions(v, path)
     return spark.read.parquet(path).select("version", "pass_day", "n_changed", "n_deleted")
 
 

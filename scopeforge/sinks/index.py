@@ -9,7 +9,7 @@ huge file) over several tasks instead of one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,13 +44,10 @@ def nothing_changed(changed: DataFrame, deleted: DataFrame | None = None) -> boo
     return changed.isEmpty() and (deleted is None or deleted.isEmpty())
 
 
-def publish_version(spark: SparkSession, versions_path: str, version: int, n_changed: int,
-                    n_deleted: int) -> None:
-    """SNK-4: append the commit record after the data write succeeded; readers use
-    the highest committed version."""
-    row = spark.createDataFrame([(version, n_changed, n_deleted)],
-                                "version bigint, n_changed bigint, n_deleted bigint")
-    row.withColumn("committed_at", F.current_timestamp()).write.mode("append").parquet(versions_path)
+def publish_versions(versions: DataFrame, versions_path: str) -> None:
+    """SNK-4: append commit records (version, ... ) after the data writes
+    succeeded; readers resolve the highest committed version."""
+    versions.withColumn("committed_at", F.current_timestamp()).write.mode("append").parquet(versions_path)
 
 
 def overwrite_buckets(rows: DataFrame, path: str, buckets: int = 64) -> None:
