@@ -20,6 +20,7 @@ DOC_TOKEN_KINDS = ["Class", "Const", "Send", "Lvar", "Def", "Ivar", "Send", "Arg
 # Token positions (mod 24) whose symbol gets a receiver (class) scope.
 CLASS_SCOPE_SLOTS = [6, 9]
 SEQ_LINE_SHIFT = 1 << 32          # seq = line * 2^32 + token index
+NAME_TRIM = ".,"                  # trailing characters stripped from a token's name
 
 
 def row(names: list[str], *values) -> "F.Column":
@@ -94,7 +95,7 @@ def token_nodes(docs: DataFrame) -> DataFrame:
         .alias("scope_path"),
         F.when(m.isin(CLASS_SCOPE_SLOTS), F.array("source")).otherwise(F.array().cast("array<string>"))
         .alias("class_scope"),
-        F.lower(F.regexp_replace("tok", r"[.,]+$", "")).alias("name"),
+        F.lower(F.rtrim("tok", F.lit(NAME_TRIM))).alias("name"),
         "line", "start_col",
         (F.col("start_col") + F.length("tok")).cast("bigint").alias("end_col"),
         (F.col("doc_id") % 10 != 0).alias("user_space"),
@@ -128,7 +129,7 @@ def frame_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     token, and one def frame per line named by the line's first token; frames
     exist only when that token has a name.
     """
-    t = document_tokens(docs).withColumn("name", F.lower(F.regexp_replace("tok", r"[.,]+$", "")))
+    t = document_tokens(docs).withColumn("name", F.lower(F.rtrim("tok", F.lit(NAME_TRIM))))
     t = t.withColumn("pre", (F.col("line") + 1) * F.lit(FRAME_BLOCK) + F.lit(3) * F.col("tok_ix") + 1)
     nodes = t.select(F.col("doc_id").alias("file_id"), "line", "tok_ix", "name", "pre",
                      (F.col("pre") + 1).alias("post"))
