@@ -50,10 +50,11 @@ probes AS (
 
 def first_usage_probes(index: DataFrame, pred) -> DataFrame:
     """Probe = the first usage (emission order) of a branch's types in each file."""
+    # min_by keeps fixed-width buffers, so this plans as a partial hash aggregate
+    # (a min over a struct would sort every row of the index)
     f = (index.filter((F.col("category") == "usage") & pred).groupBy("file_id")
-         .agg(F.min(F.struct("seq", "line", "start_col")).alias("m")))
-    return f.select(F.col("file_id").alias("probe_id"), "file_id",
-                    F.col("m.line").alias("line"), F.col("m.start_col").alias("col"))
+         .agg(F.min_by("line", "seq").alias("line"), F.min_by("start_col", "seq").alias("col")))
+    return f.select(F.col("file_id").alias("probe_id"), "file_id", "line", "col")
 
 
 def first_of_type_probes(index: DataFrame) -> DataFrame:
