@@ -38,8 +38,12 @@ def spread(df: DataFrame) -> DataFrame:
     A small file with few row groups yields fewer input splits than cores; then the
     rows are dealt round-robin over ``defaultParallelism`` tasks.  With many input
     splits (the normal case at scale) nothing changes and nothing is shuffled."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:          # no RDD view (e.g. a Connect session): leave as is
+        return df
+    return df.repartition(par) if splits < par else df
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
