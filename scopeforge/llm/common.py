@@ -35,7 +35,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     at = 0
     while at < n:
         end = int(np.searchsorted(off, off[at] + limit, side="right"))
-        end = min(max(end - 1, at + 1), n)
+        end = min(max(end - 1, at + 1), n, at + (1 << 16))
         yield batch.slice(at, end - at)
         at = end
 

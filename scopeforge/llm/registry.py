@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixture, sentencepiece_codec, token_files
+from . import imatch, mixture, quality_votes, sentencepiece_codec, signature_tree, token_files
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_token_files": token_files.op2_token_files,
+    "op5_quality_votes": quality_votes.op5_quality_votes,
+    "op7_imatch": imatch.op7_imatch,
+    "op8_signature_tree": signature_tree.op8_signature_tree,
     "op10_mix_sources": mixture.op10_mix_sources,
 }
 
