@@ -77,7 +77,8 @@ def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.diff(np.searchsorted(starts, off))
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
+def powers(kind: str, n: int) -> np.ndarray:
+    """Powers 0 to ``n`` of an odd base ("up") or of its inverse ("down"), modulo 2 ** 64."""
     have = _POWERS.get(kind)
     if have is None or len(have) <= n:
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
@@ -100,8 +101,8 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit polynomial hashes of byte spans of ``buf``; equal bytes, equal hash."""
     n = len(buf)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers("up", n)[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * _powers("down", n)[starts])
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers("up", n)[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * powers("down", n)[starts])
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

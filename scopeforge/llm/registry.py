@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import imatch, mixture, quality_votes, sentencepiece_codec, signature_tree, token_files
+from . import crf_langid, imatch, mixture, quality_votes, sentencepiece_codec, signature_tree, substring_fm, token_files
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_token_files": token_files.op2_token_files,
+    "op4_fm_substring": substring_fm.op4_fm_substring,
     "op5_quality_votes": quality_votes.op5_quality_votes,
+    "op6_crf_language": crf_langid.op6_crf_language,
     "op7_imatch": imatch.op7_imatch,
     "op8_signature_tree": signature_tree.op8_signature_tree,
     "op10_mix_sources": mixture.op10_mix_sources,
