@@ -32,10 +32,11 @@ _SLOT_RUN = 1 << 16
 _ROWS_A_RUN = 20_000
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, source, size, h): ``h`` is the shuffled place of the document."""
+def document_sizes(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """(rid, doc_id, source, size, h): the row's number (column ``rid``, or a new one) and
+    the shuffled place of the document."""
     return docs.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", "source", word_count("text").alias("size"),
+        (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), "doc_id", "source", word_count("text").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
 
 
@@ -58,11 +59,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
            .withColumn("wanted", F.sum("source_size").over(every) * F.lit(float(share))))
     # the level at which this source would be the first that is not full
     src = src.withColumn("rise", (F.col("wanted") - F.col("cap_below")) / F.col("weight_left"))
-    src = src.withColumn("water", F.min(F.when(F.col("rise") * F.col("weight") <= F.col("cap"), F.col("rise")))
+    # of all sources that would not be full, the first has the highest such level
+    src = src.withColumn("water", F.max(F.when(F.col("rise") * F.col("weight") <= F.col("cap"), F.col("rise")))
                          .over(every))
     src = src.withColumn("target", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")))
     run = Window.orderBy("sid")
-    src = (src.withColumn("hi", F.sum("target").over(run) / F.sum("target").over(every))
+    src = (src.withColumn("hi", F.coalesce(F.try_divide(F.sum("target").over(run), F.sum("target").over(every)), F.lit(0.0)))
            .withColumn("lo", F.coalesce(F.lag("hi").over(run), F.lit(0.0))))
     # the last source ends the interval whatever the rounding of the sums
     last = F.max("sid").over(every)
@@ -119,11 +121,11 @@ def blocks(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS,
                     (end - first).alias("words"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, rid: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sizes, sources, mixed); mixed: (slot, rid, sid, epoch, block, from_word, words),
     the pieces of documents in the order of the mix."""
     spark = docs.sparkSession
-    sizes = materialize(document_sizes(docs), "mix-sizes")
+    sizes = materialize(document_sizes(docs, rid), "mix-sizes")
     sources = materialize(targets(sizes), "mix-sources")
     wanted = sources.agg(F.sum("target")).first()[0] or 0.0
     slots = schedule(spark, sources, int(-(-wanted // block_words)))
@@ -153,7 +155,9 @@ s3 AS (SELECT a.*, (SELECT coalesce(sum(b.cap), 0) FROM s2 b WHERE (b.cap / b.w,
               (SELECT sum(b.w) FROM s2 b WHERE (b.cap / b.w, b.sid) >= (a.cap / a.w, a.sid)) AS w_left,
               (SELECT sum(source_size) FROM s2) * 1.5::DOUBLE AS wanted FROM s2 a),
 s4 AS (SELECT *, (wanted - below)::DOUBLE / w_left::DOUBLE AS rise FROM s3),
-s5 AS (SELECT *, least(cap::DOUBLE, (SELECT min(rise) FROM s4 WHERE rise * w <= cap) * w) AS target FROM s4),
+l AS (SELECT a.rise AS level, sum(least(b.cap::DOUBLE, a.rise * b.w)) AS held, any_value(a.wanted) AS wanted
+      FROM s4 a, s4 b GROUP BY a.sid, a.rise),
+s5 AS (SELECT *, least(cap::DOUBLE, (SELECT arg_min(level, abs(held - wanted)) FROM l) * w) AS target FROM s4),
 s6 AS (SELECT *, sum(target) OVER (ORDER BY sid) / (SELECT sum(target) FROM s5) AS hi0 FROM s5),
 s7 AS (SELECT *, CASE WHEN sid = (SELECT max(sid) FROM s6) THEN 1.0 ELSE hi0 END AS hi,
               coalesce(lag(hi0) OVER (ORDER BY sid), 0.0) AS lo FROM s6),
