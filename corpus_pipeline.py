@@ -1,14 +1,84 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Every stage takes all rows that the one before kept and returns the columns of
+``documents``; the last returns token ids.  Null and empty texts have no language and go
+with the first stage.  Further columns are carried along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scopeforge.llm import crf_langid, mixture, sentencepiece_codec, signature_tree, substring_fm
 from scopeforge.session import materialize
 
-STAGES = []
+#: Near duplicates: words of a shingle and similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Mean posterior below which a document counts as in no known language.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; without letters, or with no
+    language near half of the words, they go."""
+    chain = crf_langid.fit(crf_langid.training_rows(docs))
+    found = crf_langid.predict(docs, chain, docs.columns, names=("_lang_pred", "_score"))
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    found = signature_tree.near_duplicates(docs.select("doc_id", "text"), SHINGLE, SIMILARITY)
+    first = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "first")
+    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if not first.filter("_rows > 1").isEmpty():  # rows that repeat an id and text are one document
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.union(docs.filter("doc_id IS NULL"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the word windows that an earlier document holds; documents of which
+    nothing is left go."""
+    cut = substring_fm.deduplicate(docs.select("doc_id", "text")).filter("kept IS NOT NULL").select(
+        "doc_id", F.col("th").alias("_th"), F.col("kept").alias("_kept")).dropDuplicates(["doc_id", "_th"])
+    joined = docs.withColumn("_th", F.xxhash64("text")).join(cut, ["doc_id", "_th"], "left").filter(
+        "_kept IS NULL OR _kept <> ''")
+    text = F.coalesce("_kept", "text")
+    return joined.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(
+        F.length("_kept")).cast(docs.schema["n_chars"].dataType)).withColumn("text", text).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once for each reading of their source; of a
+    document at the end of its source's share only the words that are taken."""
+    docs = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-documents")
+    sizes, _, mixed = mixture.mix(docs, rid="_rid")
+    taken = (mixed.groupBy("rid", "epoch").agg(F.min("from_word").alias("_from"), F.sum("words").alias("_words"))
+             .join(sizes.select("rid", F.col("size").alias("_size")), "rid").drop("epoch").withColumnRenamed("rid", "_rid"))
+    part = F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+"),
+                                (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), " ")
+    whole = F.col("_words") == F.col("_size")
+    joined = docs.join(taken, "_rid").withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+    return joined.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(
+        docs.schema["n_chars"].dataType)).select(*[c for c in docs.columns if c != "_rid"])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, bytes_covered, decoded_sha256) of every document."""
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepiece_codec.encode(docs, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        F.element_at("ends", -1).cast("long").alias("bytes_covered"))
+    return sentencepiece_codec.decode(encoded, model).select(
+        "doc_id", "n_tokens", "ids", "bytes_covered", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),
+          ("mix", mix), ("encode", encode)]
 
-#: Language identification and the tokenizer cannot be stated in SQL.
+#: A learned language model and a tokenizer cannot be stated in SQL.
 ORACLE_SQL = None
 
 

@@ -249,27 +249,28 @@ class Labeller:
         return names, np.where(n > 0, np.clip(mean[np.arange(len(texts)), best], 0, 1), 0.0)
 
 
-def predict(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``."""
+def predict(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text",
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the language and the score, called ``names``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(chain)  # weights: BUCKETS x languages; lexicon: LEXICON_WORDS a language
-    own = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "_text")
+    own = docs.select(*dict.fromkeys([*keep, text]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name in keep)
 
     def run(batches):
         labeller = Labeller(shared.value)
         for batch in batches:
-            for part in text_slices(batch, "_text", CHAIN_BYTES):
-                texts = part.column("_text").fill_null("").to_pylist()
+            for part in text_slices(batch, text, CHAIN_BYTES):
+                texts = part.column(text).fill_null("").to_pylist()
                 if labeller.chain.languages:
-                    names, score = labeller.documents(texts)
+                    found, score = labeller.documents(texts)
                 else:
-                    names, score = ["und"] * len(texts), np.zeros(len(texts))
+                    found, score = ["und"] * len(texts), np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in keep], pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                    names=[*keep, "lang_pred", "score"])
+                    [*[part.column(c) for c in keep], pa.array(found, pa.string()), pa.array(score, pa.float64())],
+                    names=[*keep, *names])
 
-    return own.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return own.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
