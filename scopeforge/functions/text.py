@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,16 +22,41 @@ def code_points(s) -> Column:
 def token_starts(line, sep: str = " ") -> Column:
     """0-based start column of each piece of ``split(line, sep)``.
 
-    Linear in the line length: positions of the separator character are found in
-    one pass over the characters; piece i starts one after the (i-1)-th separator.
-    No shuffle and no per-token window are needed.
+    Piece i starts where the pieces before it and their separators end: a running sum
+    of piece lengths, in blocks of ``_BLOCK`` pieces, whose own starts are the running
+    sums of block totals, and so on for ``_LEVELS`` levels.  No array entry per character
+    is made, and no sum runs from the beginning for every piece.
     """
-    chars = code_points(line)
-    # The array is the higher-order function's own argument, so it is built once
-    # per row (referencing it from inside a lambda would rebuild it per element).
-    seps = F.filter(F.transform(chars, lambda c, i: F.when(c == F.lit(sep), i + 1)),
-                    lambda x: x.isNotNull())
-    return F.concat(F.array(F.lit(0)), seps)
+    sizes = F.transform(F.split(_c(line), sep, -1), lambda p: F.length(p) + 1)
+    return _let(sizes, lambda values: F.slice(_sums_before(values, _LEVELS), 1, F.size(values)))
+
+
+_BLOCK, _LEVELS = 64, 3
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is built once per row, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sums_before(values: Column, levels: int) -> Column:
+    """Sum of all values before each one (at level 0 also the sum of all, as last entry)."""
+    def running(block: Column) -> Column:
+        return F.aggregate(block, F.array(F.lit(0)),
+                           lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    if not levels:
+        return running(values)
+    blocks = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(_BLOCK)),
+                         lambda at: running(F.slice(values, at, _BLOCK)))
+
+    def joined(inner: Column) -> Column:
+        totals = F.transform(inner, lambda b: F.element_at(b, -1))
+        bases = _let(totals, lambda t: F.slice(_sums_before(t, levels - 1), 1, F.size(t)))
+        return F.flatten(F.zip_with(inner, bases, lambda b, base: F.transform(
+            F.slice(b, 1, F.size(b) - 1), lambda x: x + base)))
+
+    return _let(blocks, joined)
 
 
 _META = re.compile(r"[\\.^$|?*+()\[\]{}]")
@@ -39,13 +66,17 @@ def prefix_match(name, pattern: str) -> Column:
     """FN-12: whole-value match of ``pattern + '.*'``, case-sensitive.
 
     Plain text becomes ``startswith`` so Parquet can push it down; anything else is
-    a regular expression anchored at both ends.  An invalid pattern matches nothing.
+    a regular expression anchored at both ends.  An invalid pattern matches nothing;
+    the engine that evaluates it (Java) judges it.
     """
     name = _c(name)
     if not _META.search(pattern):
         return name.startswith(pattern)
+    whole = "^(?:" + pattern + ".*)$"
+    java = SparkSession.active().sparkContext._jvm.java.util.regex.Pattern
     try:
-        re.compile(pattern)
-    except re.error:
+        java.compile(pattern)
+        java.compile(whole)
+    except (IllegalArgumentException, Py4JJavaError):
         return F.lit(False)
-    return name.rlike("^(?:" + pattern + ".*)$")
+    return name.rlike(whole)

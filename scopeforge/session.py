@@ -39,12 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and derived tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's checkpoint
-    dir); only when neither is set (local tests) a fresh temporary folder is made.
+    dir); only when neither is set in a single-machine session (local tests) a fresh
+    temporary folder is made.  Elsewhere a machine's own folder would not be shared.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="scopeforge-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
