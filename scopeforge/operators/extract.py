@@ -1,17 +1,19 @@
 """Extraction: syntax-node tables -> symbol rows (EXT-1 .. EXT-12).
 
 All steps are joins against broadcast rule tables, interval joins on the
-nested-set numbering (pre/post) and bounded self-joins; there is no per-file
-tree walk on the driver or in Python.
+nested-set numbering (pre/post) and self-joins by pointer doubling; there is no
+per-file tree walk on the driver or in Python.  ``extract_symbols`` composes them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranges import interval_contains
+from .. import rules
+from ..functions.kinds import singleton_label
 from ..session import materialize
+from .ranges import asof_lines, interval_contains, sequence_in_group
 
 
 def emit(nodes: DataFrame, emit_rules: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def emit(nodes: DataFrame, emit_rules: DataFrame) -> DataFrame:
     r = F.broadcast(emit_rules.withColumnRenamed("kind", "_r_kind").withColumnRenamed("slot", "_r_slot"))
     cond = (F.col("kind") == F.col("_r_kind")) & (
         (F.col("_r_slot") == F.lit("*")) | (F.col("_r_slot") == F.col("slot")))
-    return nodes.join(r, cond, "inner").drop("_r_kind", "_r_slot")
+    return nodes.join(r, cond, "inner").drop("_r_kind", "_r_slot", "span")
 
 
 def drop_nameless(symbols: DataFrame) -> DataFrame:
@@ -81,42 +83,29 @@ def prune_subtrees(nodes: DataFrame, prune_roots: DataFrame, key: str = "file_id
     return nodes.join(dropped, [key, "pre"], "left_anti")
 
 
-def qualifier_chain(nodes: DataFrame, key: str = "file_id", max_depth: int = 64) -> DataFrame:
+def qualifier_chain(nodes: DataFrame, key: str = "file_id") -> DataFrame:
     """EXT-3: qualifier chain of every constant node, inner first.
 
     The chain follows the child in slot ``scope`` while it is a constant; it stops at
-    anything else (root ``::``, a call, ``self``).  Bounded iterative self-join over
-    the (small) set of scope edges; the loop ends when a step adds no rows.
+    anything else (root ``::``, a call, ``self``).  Pointer doubling: each round a node
+    takes over the names and the end of the node that its own names end at, so a chain
+    of n qualifiers needs log2(n) rounds, whatever its length.
     Result: (key, node_id, chain ARRAY<STRING>) for every Const node.
     """
-    # the loop reads these two inputs once per step: write them once, so the
-    # upstream plan that produced ``nodes`` is not re-run every iteration
-    consts = materialize(nodes.filter(F.col("kind") == "Const").select(key, "node_id"), "consts")
-    edges = materialize(nodes.filter((F.col("slot") == "scope") & (F.col("kind") == "Const"))
-                        .select(key, F.col("parent_id").alias("_from"), F.col("node_id").alias("_to"),
-                                F.col("name").alias("_name")), "scope-edges")
-    frontier = consts.select(key, "node_id", F.col("node_id").alias("_at"), F.lit(0).alias("step"))
-    steps = []
-    for depth in range(1, max_depth + 1):
-        nxt = (frontier.join(edges, (frontier[key] == edges[key]) & (frontier["_at"] == edges["_from"]))
-               .select(frontier[key], frontier["node_id"], edges["_to"].alias("_at"),
-                       F.lit(depth).alias("step"), edges["_name"].alias("name")))
-        # cut the lineage every step: a table written to the shared folder
-        nxt = materialize(nxt, "qualifier-step")
-        if nxt.isEmpty():
-            break
-        steps.append(nxt.select(key, "node_id", "step", "name"))
-        frontier = nxt.select(key, "node_id", "_at", "step")
-    if not steps:
-        return consts.withColumn("chain", F.array().cast("array<string>"))
-    allsteps = steps[0]
-    for s in steps[1:]:
-        allsteps = allsteps.unionByName(s)
-    chains = (allsteps.groupBy(key, "node_id")
-              .agg(F.array_sort(F.collect_list(F.struct("step", "name"))).alias("_c"))
-              .select(key, "node_id", F.transform("_c", lambda s: s["name"]).alias("chain")))
-    return (consts.join(chains, [key, "node_id"], "left")
-            .withColumn("chain", F.coalesce("chain", F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    consts = nodes.filter(F.col("kind") == "Const").select(key, "node_id")
+    edges = nodes.filter((F.col("slot") == "scope") & (F.col("kind") == "Const")).select(
+        key, F.col("parent_id").alias("node_id"), F.col("node_id").alias("_at"), F.col("name").alias("_name"))
+    chains = materialize(consts.join(edges, [key, "node_id"], "left").select(
+        key, "node_id", "_at", F.when(F.col("_at").isNotNull(), F.array("_name")).otherwise(none).alias("chain")),
+        "qualifier-chains")
+    while not chains.filter(F.col("_at").isNotNull()).isEmpty():
+        far = chains.select(F.col(key), F.col("node_id").alias("_at"), F.col("_at").alias("_next"),
+                            F.col("chain").alias("_more"))
+        chains = materialize(chains.join(far, [key, "_at"], "left").select(
+            key, "node_id", F.col("_next").alias("_at"),
+            F.concat("chain", F.coalesce("_more", none)).alias("chain")), "qualifier-chains")
+    return chains.select(key, "node_id", "chain")
 
 
 def receiver_scope(nodes: DataFrame, key: str = "file_id") -> DataFrame:
@@ -174,7 +163,177 @@ def emission_order(rows: DataFrame, key: str = "file_id") -> DataFrame:
     """EXT-12: dense emission sequence per file from (key_major, key_minor).
 
     Uses the block-wise numbering so a huge file is not sorted in one task."""
-    from .ranges import sequence_in_group
     r = rows.withColumn("_kb", F.floor("key_major").cast("bigint"))
     return sequence_in_group(r, [key], "_kb", [F.col("key_major"), F.col("key_minor")], out="seq",
                              block=1 << 16).drop("_kb")
+
+
+# ---------------------------------------------------------------------------
+# The whole extraction
+OWN_SCOPE_KINDS = ["Class", "Module"]
+METHOD_KINDS = ["Def", "Defs"]
+
+
+def _parents(nodes: DataFrame, key: str) -> DataFrame:
+    """Nodes with the kind of their parent."""
+    return nodes.join(nodes.select(key, F.col("node_id").alias("parent_id"), F.col("kind").alias("parent_kind")),
+                      [key, "parent_id"], "left")
+
+
+def walked_nodes(nodes: DataFrame, walk_rules: DataFrame, interface_files: DataFrame | None = None,
+                 key: str = "file_id", block: int = 1 << 16) -> DataFrame:
+    """EXT-7 + EXT-11: the nodes that the walk reaches.
+
+    A class or module whose name is no constant goes with its subtree, and so does what
+    sits in a slot that the parent's kind does not follow.  In files listed in
+    ``interface_files`` argument lists and blocks go too, and what methods contain."""
+    roots = unfollowed_roots(nodes, walk_rules, key)
+    named = nodes.filter((F.col("slot") == "name") & (F.col("kind") == "Const")).select(
+        key, F.col("parent_id").alias("node_id"))
+    nameless = nodes.filter(F.col("kind").isin(OWN_SCOPE_KINDS)).join(named, [key, "node_id"], "left_anti").select(
+        key, "pre", "post", F.lit(True).alias("self_included"))
+    roots = roots.unionByName(nameless)
+    if interface_files is not None:
+        own = nodes.join(interface_files.select(key).distinct(), key, "left_semi")
+        skipped = own.filter(F.col("kind").isin(rules.INTERFACE_PRUNE_SELF)).withColumn("self_included", F.lit(True))
+        bodies = own.filter(F.col("kind").isin(rules.INTERFACE_PRUNE_CHILDREN)).withColumn("self_included", F.lit(False))
+        for part in (skipped, bodies):
+            roots = roots.unionByName(part.select(key, "pre", "post", "self_included"))
+    return prune_subtrees(nodes, roots, key, block)
+
+
+def _frames(nodes: DataFrame, chains: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(frames, own): scope-opening nodes with the names that they push, and for classes
+    and modules the constant that names them (key, node_id, name, qualifiers, span)."""
+    names = nodes.filter((F.col("slot") == "name") & (F.col("kind") == "Const")).select(
+        key, F.col("parent_id").alias("_of"), "node_id", F.col("name").alias("_name"),
+        F.col("expr_begin").alias("_begin"), F.col("expr_end").alias("_end"))
+    own = names.join(chains, [key, "node_id"]).select(
+        key, F.col("_of").alias("node_id"), "_name", F.col("chain").alias("_qualifiers"), "_begin", "_end")
+    spaces = nodes.filter(F.col("kind").isin(OWN_SCOPE_KINDS)).join(own, [key, "node_id"]).select(
+        key, "pre", "post", F.concat("_qualifiers", F.array("_name")).alias("names"))
+    methods = nodes.filter(F.col("kind").isin(METHOD_KINDS)).select(key, "pre", "post", F.array(
+        F.when(F.col("kind") == "Defs", singleton_label("name")).otherwise(F.col("name"))).alias("names"))
+    return spaces.unionByName(methods), own
+
+
+def extract_symbols(spark: SparkSession, nodes: DataFrame, lines: DataFrame,
+                    interface_files: DataFrame | None = None, key: str = "file_id",
+                    block: int = 1 << 16) -> DataFrame:
+    """Syntax nodes -> symbol rows: EXT-1 to EXT-12 with the spans of FN-7.
+
+    ``nodes``: key, node_id, parent_id, slot, child_ix, kind, name, pre, post (the largest
+    ``pre`` of the subtree), expr_begin, expr_end, name_begin, name_end (character offsets
+    of the whole expression and of the name, selector or keyword; null where there is
+    none).  ``lines``: key, line, line_start, line_len.  ``interface_files``: keys of files
+    of which only the interface is wanted.
+
+    Result: key, seq, category, scope_path, class_scope, name, node_type, line, start_col,
+    end_col; ``seq`` numbers the rows of a file in emission order.
+    """
+    none = F.array().cast("array<string>")
+    nodes = materialize(nodes, "syntax-nodes")
+    chains = qualifier_chain(nodes, key)
+    live = materialize(_parents(walked_nodes(nodes, rules.walk_rules(spark), interface_files, key, block), key), "walked")
+    frames, own = _frames(live_frames(nodes, live, key), chains, key)
+
+    # scope path of every reached node: names of the frames around it, outermost first
+    pairs = interval_contains(
+        live.select(key, F.col("pre").alias("_n_pre"), F.col("post").alias("_n_post")),
+        frames.select(key, F.col("pre").alias("_f_pre"), F.col("post").alias("_f_post"), F.col("names").alias("_f_names")),
+        key=key, point_lo="_n_pre", point_hi="_n_post", lo="_f_pre", hi="_f_post", strict=False, block=block)
+    paths = (pairs.filter("_f_pre < _n_pre").groupBy(key, "_n_pre")
+             .agg(F.array_sort(F.collect_list(F.struct("_f_pre", "_f_names"))).alias("_fs"))
+             .select(key, F.col("_n_pre").alias("pre"), F.flatten(F.transform("_fs", lambda f: f["_f_names"])).alias("scope_path")))
+    scoped = live.join(paths, [key, "pre"], "left").withColumn("scope_path", F.coalesce("scope_path", none))
+    scoped = materialize(scoped.join(own, [key, "node_id"], "left").join(chains, [key, "node_id"], "left"), "scoped")
+
+    # plain rows; the constant that names a class or module is its row's span, not a usage
+    r = F.broadcast(rules.emit_rules(spark).filter(F.col("slot") == "*").select(
+        F.col("kind"), "category", "node_type", "span"))
+    plain = scoped.filter(~((F.col("slot") == "name") & F.col("parent_kind").isin(OWN_SCOPE_KINDS))
+                          | F.col("slot").isNull() | F.col("parent_kind").isNull()).join(r, "kind")
+    space = F.col("kind").isin(OWN_SCOPE_KINDS)
+    receivers = nodes.filter(F.col("slot") == "recv").select(
+        key, F.col("parent_id").alias("node_id"), F.col("post").alias("_recv_post"), F.col("node_id").alias("_recv"),
+        F.col("kind").alias("_recv_kind"), F.col("name").alias("_recv_name"))
+    receivers = receivers.join(chains.select(key, F.col("node_id").alias("_recv"), F.col("chain").alias("_recv_chain")),
+                               [key, "_recv"], "left")
+    receiver_names = F.when(F.col("_recv_kind") == "Const", F.concat(F.array("_recv_name"), F.coalesce("_recv_chain", none))
+                            ).otherwise(none)
+    plain = plain.join(receivers, [key, "node_id"], "left")
+    send = F.col("kind") == "Send"
+    by_expr = F.col("span") == "expr"
+    plain = plain.select(
+        key, "node_id", "kind", "category", "node_type", "pre", "post",
+        F.when(space, F.concat("scope_path", "_qualifiers")).otherwise(F.col("scope_path")).alias("scope_path"),
+        F.when(send, receiver_names).when(F.col("kind").isin("Const"), F.coalesce("chain", none)).otherwise(none).alias("class_scope"),
+        F.when(space, F.col("_name")).when(F.col("kind").isin("Super", "ZSuper"), F.try_element_at("scope_path", F.lit(-1)))
+        .otherwise(F.col("name")).alias("name"),
+        F.when(space, F.col("_begin")).when(by_expr, F.col("expr_begin")).otherwise(F.col("name_begin")).alias("_off_begin"),
+        F.when(space, F.col("_end")).when(by_expr, F.col("expr_end")).otherwise(F.col("name_end")).alias("_off_end"),
+        # a call comes behind its receiver's rows, everything else in pre-order; of calls
+        # that end at one place the inner one comes first
+        F.when(send, F.coalesce("_recv_post", "pre")).otherwise(F.col("pre")).alias("_major"),
+        F.when(send & F.col("_recv_post").isNotNull(), 1).otherwise(0).alias("_late"), F.lit(0).cast("bigint").alias("_minor"))
+    # constants assigned with a qualifier carry its chain
+    scopes = nodes.filter((F.col("slot") == "scope") & (F.col("kind") == "Const")).select(
+        key, F.col("parent_id").alias("node_id"), F.col("node_id").alias("_scope"), F.col("name").alias("_scope_name"))
+    scopes = scopes.join(chains.select(key, F.col("node_id").alias("_scope"), F.col("chain").alias("_scope_chain")), [key, "_scope"])
+    plain = plain.join(scopes, [key, "node_id"], "left").withColumn("class_scope", F.when(
+        (F.col("kind") == "Casgn") & F.col("_scope").isNotNull(),
+        F.concat(F.array("_scope_name"), F.coalesce("_scope_chain", none))).otherwise(F.col("class_scope")))
+    columns = [key, "category", "node_type", "scope_path", "class_scope", "name", "_off_begin", "_off_end", "pre",
+               "_major", "_late", "_minor"]
+    plain = plain.select(*columns)
+
+    # both sides of an alias, where they are symbols
+    sides = F.broadcast(rules.emit_rules(spark).filter(F.col("kind") == "Alias").select("slot", "category", "node_type"))
+    aliases = scoped.filter(F.col("kind") == "Alias").select(
+        key, F.col("node_id").alias("parent_id"), "scope_path", F.col("pre").alias("_a_pre"))
+    alias_rows = (nodes.filter(F.col("kind") == "Sym").join(aliases, [key, "parent_id"]).join(sides, "slot").select(
+        key, "category", "node_type", "scope_path", none.alias("class_scope"), "name",
+        F.col("expr_begin").alias("_off_begin"), F.col("expr_end").alias("_off_end"), F.col("_a_pre").alias("pre"),
+        F.col("_a_pre").alias("_major"), F.lit(0).alias("_late"), F.when(F.col("slot") == "to", 0).otherwise(1)
+        .cast("bigint").alias("_minor")))
+
+    # definitions that class-level macros generate, behind the call's arguments
+    macros = F.broadcast(rules.macro_rules(spark).withColumnRenamed("method", "name"))
+    calls = (scoped.filter(send).join(macros, "name").join(receivers, [key, "node_id"], "left")
+             .select(key, F.col("node_id").alias("parent_id"), "scope_path", receiver_names.alias("class_scope"),
+                     F.col("pre").alias("_c_pre"), F.col("post").alias("_c_post"), "arg_policy", "allow_str", "suffix"))
+    generated = (nodes.filter(F.col("slot") == "args").join(calls, [key, "parent_id"])
+                 .filter((F.col("kind") == "Sym") | (F.col("allow_str") & (F.col("kind") == "Str")))
+                 .filter((F.col("arg_policy") == "all") | (F.col("child_ix") == 0))
+                 .select(key, F.lit("assignment").alias("category"), F.lit("Def").alias("node_type"), "scope_path",
+                         "class_scope", F.concat("name", "suffix").alias("name"), F.col("expr_begin").alias("_off_begin"),
+                         F.col("expr_end").alias("_off_end"), F.col("_c_pre").alias("pre"), F.col("_c_post").alias("_major"),
+                         F.lit(1).alias("_late"),
+                         (F.lit(2) + F.col("child_ix") * 2 + F.when(F.col("suffix") == "=", 1).otherwise(0))
+                         .cast("bigint").alias("_minor")))
+
+    rows = plain.unionByName(alias_rows).unionByName(generated)
+    rows = rows.filter(F.col("name").isNotNull() & (F.col("name") != "") & F.col("_off_begin").isNotNull())
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "emitted")
+
+    # FN-7: both offsets of every row in one as-of join
+    offsets = rows.select(key, "_row", F.explode(F.array(
+        F.struct(F.lit("b").alias("end"), F.col("_off_begin").alias("off")),
+        F.struct(F.lit("e").alias("end"), F.col("_off_end").alias("off")))).alias("_o")).select(key, "_row", "_o.end", "_o.off")
+    places = (asof_lines(offsets, lines, key).groupBy(key, "_row").agg(
+        F.max(F.when(F.col("end") == "b", F.col("line"))).alias("line"),
+        F.max(F.when(F.col("end") == "b", F.col("col"))).alias("start_col"),
+        F.max(F.when(F.col("end") == "e", F.col("col"))).alias("end_col")))
+    rows = rows.join(places, [key, "_row"])
+    ordered = sequence_in_group(rows, [key], "_major", [F.col("_major"), F.col("_late"), F.when(
+        F.col("_late") == 1, -F.col("pre")).otherwise(F.lit(0)), F.col("_minor")], out="seq")
+    return ordered.select(key, "seq", "category", "scope_path", "class_scope", "name", "node_type", "line", "start_col",
+                          "end_col")
+
+
+def live_frames(nodes: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """Reached scope-opening nodes, and the constants that name them (a module's name is
+    not walked, but read)."""
+    opening = live.filter(F.col("kind").isin(OWN_SCOPE_KINDS + METHOD_KINDS)).select(*nodes.columns)
+    naming = nodes.filter((F.col("slot") == "name") & (F.col("kind") == "Const"))
+    return opening.unionByName(naming.select(*nodes.columns))

@@ -30,8 +30,17 @@ def values(rows, cols) -> str:
     return f"(VALUES {body}) AS t({', '.join(cols)})"
 
 
+#: What a node emits, stated here a second time and in another form, so that a wrong row
+#: of the engine's rules shows.
+_ASSIGNMENTS = """Arg Casgn Class Cvasgn Def Defs Gvasgn Ivasgn Kwarg Kwoptarg Kwrestarg Lvasgn MatchVar Module Optarg
+Restarg Shadowarg""".split()
+_USAGES = "Const CSend Cvar Gvar Ivar Lvar Send Super ZSuper".split()
+
+
 def emit_rules_sql() -> str:
-    return f"SELECT * FROM {values(rules.EMIT_RULES, ['kind', 'slot', 'category', 'node_type'])}"
+    rows = [(k, "*", "assignment", k) for k in _ASSIGNMENTS] + [(k, "*", "usage", k) for k in _USAGES]
+    rows += [("Sym", "*", "usage", "Send"), ("Alias", "to", "assignment", "Alias"), ("Alias", "from", "usage", "Alias")]
+    return f"SELECT * FROM {values(rows, ['kind', 'slot', 'category', 'node_type'])}"
 
 
 def type_rules_sql(directions=("usage",)) -> str:

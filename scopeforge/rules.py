@@ -66,38 +66,40 @@ RECEIVER_SCOPE_BOOST = 10000.0
 BM25_K1 = 1.2
 BM25_B = 0.75
 
-# Emission rules: node kind (and slot, for the two sides of an alias) -> row.
-# (kind, slot or "*", category, node_type)
+# Emission rules: node kind -> row.  (kind, slot, category, node_type, span).  The two
+# sides of an alias are its symbol children in slots "to" and "from"; every other rule
+# is for the node itself, in any slot ("*").  Span: the whole expression, or the name
+# (selector, keyword); classes and modules have the span of their qualified name.
 EMIT_RULES = [
-    ("Alias", "to", "assignment", "Alias"),
-    ("Alias", "from", "usage", "Alias"),
-    ("Arg", "*", "assignment", "Arg"),
-    ("Casgn", "*", "assignment", "Casgn"),
-    ("Class", "*", "assignment", "Class"),
-    ("Const", "*", "usage", "Const"),
-    ("CSend", "*", "usage", "CSend"),
-    ("Cvar", "*", "usage", "Cvar"),
-    ("Cvasgn", "*", "assignment", "Cvasgn"),
-    ("Def", "*", "assignment", "Def"),
-    ("Defs", "*", "assignment", "Defs"),
-    ("Gvar", "*", "usage", "Gvar"),
-    ("Gvasgn", "*", "assignment", "Gvasgn"),
-    ("Ivar", "*", "usage", "Ivar"),
-    ("Ivasgn", "*", "assignment", "Ivasgn"),
-    ("Kwarg", "*", "assignment", "Kwarg"),
-    ("Kwoptarg", "*", "assignment", "Kwoptarg"),
-    ("Kwrestarg", "*", "assignment", "Kwrestarg"),
-    ("Lvar", "*", "usage", "Lvar"),
-    ("Lvasgn", "*", "assignment", "Lvasgn"),
-    ("MatchVar", "*", "assignment", "MatchVar"),
-    ("Module", "*", "assignment", "Module"),
-    ("Optarg", "*", "assignment", "Optarg"),
-    ("Restarg", "*", "assignment", "Restarg"),
-    ("Send", "*", "usage", "Send"),
-    ("Shadowarg", "*", "assignment", "Shadowarg"),
-    ("Super", "*", "usage", "Super"),
-    ("Sym", "*", "usage", "Send"),
-    ("ZSuper", "*", "usage", "ZSuper"),
+    ("Alias", "to", "assignment", "Alias", "expr"),
+    ("Alias", "from", "usage", "Alias", "expr"),
+    ("Arg", "*", "assignment", "Arg", "expr"),
+    ("Casgn", "*", "assignment", "Casgn", "name"),
+    ("Class", "*", "assignment", "Class", "name"),
+    ("Const", "*", "usage", "Const", "name"),
+    ("CSend", "*", "usage", "CSend", "name"),
+    ("Cvar", "*", "usage", "Cvar", "expr"),
+    ("Cvasgn", "*", "assignment", "Cvasgn", "name"),
+    ("Def", "*", "assignment", "Def", "name"),
+    ("Defs", "*", "assignment", "Defs", "name"),
+    ("Gvar", "*", "usage", "Gvar", "expr"),
+    ("Gvasgn", "*", "assignment", "Gvasgn", "name"),
+    ("Ivar", "*", "usage", "Ivar", "expr"),
+    ("Ivasgn", "*", "assignment", "Ivasgn", "name"),
+    ("Kwarg", "*", "assignment", "Kwarg", "name"),
+    ("Kwoptarg", "*", "assignment", "Kwoptarg", "name"),
+    ("Kwrestarg", "*", "assignment", "Kwrestarg", "name"),
+    ("Lvar", "*", "usage", "Lvar", "expr"),
+    ("Lvasgn", "*", "assignment", "Lvasgn", "name"),
+    ("MatchVar", "*", "assignment", "MatchVar", "name"),
+    ("Module", "*", "assignment", "Module", "name"),
+    ("Optarg", "*", "assignment", "Optarg", "name"),
+    ("Restarg", "*", "assignment", "Restarg", "name"),
+    ("Send", "*", "usage", "Send", "name"),
+    ("Shadowarg", "*", "assignment", "Shadowarg", "expr"),
+    ("Super", "*", "usage", "Super", "name"),
+    ("Sym", "*", "usage", "Send", "expr"),
+    ("ZSuper", "*", "usage", "ZSuper", "expr"),
 ]
 
 # Generated definitions of class-level macros: (method, argument policy,
@@ -169,7 +171,7 @@ SYMBOL_KIND_DEFAULT = "VARIABLE"
 # END FIXED VALUES
 # ---------------------------------------------------------------------------
 
-NODE_TYPES = sorted({t for _, _, _, t in EMIT_RULES})
+NODE_TYPES = sorted({rule[3] for rule in EMIT_RULES})
 
 
 def type_rules(spark: SparkSession) -> DataFrame:
@@ -181,7 +183,7 @@ def type_rules(spark: SparkSession) -> DataFrame:
 
 
 def emit_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EMIT_RULES, "kind string, slot string, category string, node_type string")
+    return spark.createDataFrame(EMIT_RULES, "kind string, slot string, category string, node_type string, span string")
 
 
 def macro_rules(spark: SparkSession) -> DataFrame:
