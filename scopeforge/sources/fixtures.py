@@ -120,7 +120,7 @@ def document_symbols(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------
 # Lines as scope frames (FIXTURES.md §2.2)
-FRAME_BLOCK = 100_000
+FRAME_BLOCK = 1 << 32       # numbers of a line
 BLOCK_ROOT_SLOT = 11        # tokens at index mod 24 = 11 are block roots
 BLOCK_SPAN = 17             # a block root holds the next five tokens
 
@@ -128,7 +128,9 @@ BLOCK_SPAN = 17             # a block root holds the next five tokens
 def frame_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token nodes, frames) with nested-set numbers.
 
-    Token node: pre = (line + 1) * 100000 + 3 * tok_ix + 1, post = pre + 1.  Frames:
+    Token node: pre = (line + 1) * 2^32 + 3 * tok_ix + 1, post = pre + 1; a line of a
+    Spark string has fewer than 2^31 characters, so its numbers stay below the next
+    line's.  Frames:
     one class frame per document (pre 0, covering all lines) named by the first
     token, and one def frame per line named by the line's first token; frames
     exist only when that token has a name.
@@ -239,6 +241,51 @@ def call_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.unionByName(args)
 
 
+# ---------------------------------------------------------------------------
+# Call trees inside programs (input of the whole extraction)
+HEAD_NODES = 8              # numbers before the call tree's own
+NODE_CHARS, LINE_CHARS = 16, 64
+
+
+def program_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, lines): every order's call tree as the body of a method in a class.
+
+    class S<status>::Order, an alias (new name a symbol, old name one for even customers),
+    and ``def run`` (``def self.run`` for odd customers) around the call.  A node with
+    number ``pre`` stands at character 16 * (pre + 8); lines have 64 characters."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), "o_orderstatus", "o_custkey")
+    tree = call_tree_nodes(spark, sf_dir).withColumn("parent_id", F.when(F.col("node_id") == 0, -2).otherwise(
+        F.col("parent_id")).cast("bigint")).withColumn("slot", F.when(F.col("node_id") == 0, "body").otherwise(F.col("slot")))
+    last = tree.filter("node_id = 0").select("file_id", F.col("post").alias("last"))
+    odd = F.col("o_custkey") % 2 != 0
+    f = ["node_id", "parent_id", "slot", "child_ix", "kind", "name", "pre", "post"]
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+
+    def head(i, parent, slot, kind, name, post):
+        i, parent = F.lit(i).cast("bigint"), F.lit(parent).cast("bigint")
+        return row(f, i, parent, slot, zero, kind, name, i, post.cast("bigint"))
+
+    rows = F.array(
+        head(-8, None, none, F.lit("Class"), none, F.col("last")),
+        head(-7, -8, F.lit("name"), F.lit("Const"), F.lit("Order"), F.lit(-6)),
+        head(-6, -7, F.lit("scope"), F.lit("Const"), F.concat(F.lit("S"), "o_orderstatus"), F.lit(-6)),
+        head(-5, -8, F.lit("body"), F.lit("Alias"), none, F.lit(-3)),
+        head(-4, -5, F.lit("to"), F.lit("Sym"), F.lit("fresh"), F.lit(-4)),
+        head(-3, -5, F.lit("from"), F.when(odd, "Dsym").otherwise("Sym"), F.lit("old"), F.lit(-3)),
+        head(-2, -8, F.lit("body"), F.when(odd, "Defs").otherwise("Def"), F.lit("run"), F.col("last")))
+    heads = o.join(last, "file_id").select("file_id", F.explode(rows).alias("n")).select("file_id", "n.*")
+    begin = (F.col("pre") + HEAD_NODES) * NODE_CHARS
+    end = begin + F.coalesce(F.length("name"), F.lit(1))
+    nodes = tree.unionByName(heads).withColumns({
+        "expr_begin": begin, "expr_end": end, "name_begin": F.when(F.col("name").isNotNull(), begin),
+        "name_end": F.when(F.col("name").isNotNull(), end)})
+    lines = last.select("file_id", F.posexplode(F.sequence(
+        zero, F.floor((F.col("last") + HEAD_NODES + 2) * NODE_CHARS / LINE_CHARS) * LINE_CHARS,
+        F.lit(LINE_CHARS).cast("bigint"))).alias("line", "line_start"))
+    return nodes, lines.select("file_id", F.col("line").cast("bigint").alias("line"), "line_start",
+                               F.lit(LINE_CHARS - 1).cast("bigint").alias("line_len"))
+
+
 # ---------------------------------------------------------------------------
 # Documents as a source tree on the shared file system (FIXTURES.md §2.6)
 NODE_MODULES_SOURCES = ["src3"]     # written below a node_modules directory
