@@ -31,8 +31,8 @@ from .common import table, text_buffer, text_slices
 #: Ids of a sequence, and sequences of a record batch.
 SEQUENCE = 2048
 BATCH_SEQUENCES = 64
-#: Distinct space-led chunks whose ids a task remembers.
-CACHE_CHUNKS = 300_000
+#: Distinct space-led chunks whose ids a worker remembers.
+CACHE_CHUNKS = 600_000
 END_ID = 0
 _SPACES = re.compile(r"\s\s")
 
@@ -42,8 +42,16 @@ class ChunkTable:
     to what follows it, so a text can be cut in front of any single space between two
     characters that are not white space; the ids of the parts are the ids of the text."""
 
-    def __init__(self, encode, limit: int = CACHE_CHUNKS):
-        self.encode, self.limit = encode, limit
+    def __init__(self, tokenizer: str, limit: int = CACHE_CHUNKS):
+        from tokenizers import Tokenizer
+        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer), limit
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.vocabulary = max(vocabulary.values()) + 1
+        #: Bytes of text that an id stands for: a character of a byte-level token is a byte.
+        self.bytes_of = np.zeros(self.vocabulary, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token.encode()) if token in added else len(token)
         self.clear()
 
     def clear(self) -> None:
@@ -51,26 +59,38 @@ class ChunkTable:
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
 
-    def add(self, chunks: set[str]) -> None:
-        if len(self.row) > self.limit:
-            self.clear()
-            return
-        new = [c for c in chunks if c not in self.row]
-        if new:
-            got = self.encode(new)
-            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
-            self.ids = np.concatenate([self.ids, *[np.asarray(g, np.uint32) for g in got]])
-            ends = self.start[-1] + np.cumsum([len(g) for g in got], dtype=np.int64)
-            self.start = np.concatenate([self.start, ends])
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, new: list[str]) -> None:
+        """Chunks that begin with one space and end with another character are encoded as
+        one text, each being cut off in front of its space, and told apart by bytes."""
+        joins = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
+        known = set(joins)
+        alone = [c for c in new if c not in known]
+        if joins:
+            ids = np.array(self.encode(["".join(joins)])[0], np.uint32)
+            ends = np.cumsum([len(c.encode()) for c in joins])
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            self._put(joins, ids, ends)
+        if alone:
+            got = self.encode(alone)
+            self._put(alone, np.array([i for g in got for i in g], np.uint32), np.cumsum([len(g) for g in got]))
+
+    def _put(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.row.update(zip(chunks, range(len(self.row), len(self.row) + len(chunks))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.start = np.concatenate([self.start, self.start[-1] + ends])
 
     def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each chunk."""
-        need = set(chunks) - self.row.keys()
+        need = set(chunks)
+        need.difference_update(self.row)
         if need:
-            self.add(need)
-            need = set(chunks) - self.row.keys()
-            if need:  # cleared: begin again with the chunks at hand
-                self.add(set(chunks))
+            if len(self.row) + len(need) > self.limit:
+                self.clear()
+                need = set(chunks)
+            self._add(list(need))
         rows = np.fromiter(map(self.row.__getitem__, chunks), np.int64, len(chunks))
         first, n = self.start[rows], self.start[rows + 1] - self.start[rows]
         ends = np.cumsum(n)
@@ -79,6 +99,18 @@ class ChunkTable:
         return self.ids[at], n
 
 
+_TABLES: dict[str, ChunkTable] = {}
+
+
+def chunk_table(tokenizer: str) -> ChunkTable:
+    """The table of this worker process, shared by its tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if tokenizer not in _TABLES:
+        _TABLES.clear()
+        _TABLES[tokenizer] = ChunkTable(tokenizer)
+    return _TABLES[tokenizer]
+
+
 def cut_at_spaces(text: str) -> list[str]:
     """Parts of ``text``, each but the first with its leading space; white space other
     than single spaces stays inside a part."""
@@ -145,12 +177,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, uri: str, sequence: int =
 
     def shard(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = Tokenizer.from_file(tokenizer)
-        wide = tok.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
+        chunks = chunk_table(tokenizer)
+        wide = max(chunks.vocabulary, end_id + 1) > 1 << 16
         kind, np_kind = (pa.uint32(), np.uint32) if wide else (pa.uint16(), np.uint16)
-        chunks = ChunkTable(lambda new: [e.ids for e in tok.encode_batch(new, add_special_tokens=False)])
         schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         number, store = TaskContext.get().partitionId(), _Store(uri)
         name = f"shard-{number:06d}.arrow"
