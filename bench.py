@@ -59,17 +59,12 @@ def main() -> None:
     # BASELINE metric "replacing 1 % of the files": re-extract the changed files and
     # rewrite only the buckets that hold them (SNK-2 + dynamic partition overwrite)
     from pyspark.sql import functions as F
-    from scopeforge.session import materialize
-    from scopeforge.sinks.index import bucket_of, overwrite_buckets, replace_files
-    b = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    from scopeforge.sinks.index import replace_in_index
     t = time.time()
     docs = fx.table(spark, sf_dir, "documents")
     changed_docs = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(100)) == 0)     # the 1 % workload
     changed = changed_docs.select(F.col("doc_id").alias("file_id"))
-    touched = F.broadcast(changed.select(bucket_of("file_id", b).alias("bucket")).distinct())  # <= b rows
-    old = spark.read.parquet(fresh).join(touched, "bucket").drop("bucket")
-    merged = materialize(replace_files(old, fx.document_symbols(spark, changed_docs), changed), "replace")
-    overwrite_buckets(merged, fresh, b)
+    replace_in_index(fresh, fx.document_symbols(spark, changed_docs), changed)
     times["replace_1pct"] = round(time.time() - t, 3)
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir).replace("sf", "")

@@ -76,7 +76,7 @@ def _weighted_clauses(u: DataFrame, clauses: Column, stats: ScoreStats) -> DataF
     # When the clause terms are checked few, the term table is first cut down by a
     # broadcast semi-join (streamed, not shuffled); the left join that keeps
     # unknown terms (weight 0, still required) then joins two small sides.
-    wanted, small = broadcast_if_small(c.select(F.col("_c.term").alias("_term")))
+    wanted, small = broadcast_if_small(c.select(F.col("_c.term").alias("_term")).distinct())
     if small:
         terms = terms.join(wanted, "_term", "left_semi")
     c = c.join(terms, F.col("_c.term") == F.col("_term"), "left")
@@ -194,7 +194,7 @@ def _probe_side(spark: SparkSession, u: DataFrame, stats: ScoreStats, clauses: C
 
 def _search_grouped(spark: SparkSession, u: DataFrame, index: DataFrame, stats: ScoreStats,
                     clauses: Column, directions: list[str], category: str | None, limit: int,
-                    groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                    groups: tuple[DataFrame, DataFrame, int] | None = None) -> DataFrame:
     """Cross-file search, scored by *scope group* instead of by symbol.
 
     A candidate's score and its required-scope test depend only on its node type
@@ -206,7 +206,9 @@ def _search_grouped(spark: SparkSession, u: DataFrame, index: DataFrame, stats:
     ranking every (probe, symbol) pair.
     """
     probe_side, extra, bound = _probe_side(spark, u, stats, clauses, directions)
-    grp, members = groups if groups is not None else scope_groups(index, category, limit)
+    grp, members, built = groups if groups is not None else (*scope_groups(index, category, limit), limit)
+    if limit > built:
+        raise ValueError(f"the stored groups keep {built} members, fewer than the {limit} asked for")
     gkeys = ["name", "node_type", "scope_key"]
     pg = _type_weights(_candidates(spark, probe_side, grp, [("u_name", "name")], bound))
     pg = pg.filter(_required_ok()).withColumn("score", F.round(_score(stats), 6))
@@ -235,10 +237,11 @@ def _search_same_file(spark: SparkSession, u: DataFrame, index: DataFrame, stats
 
 def find_definitions(spark: SparkSession, probes: DataFrame, index: DataFrame, stats: ScoreStats,
                      limit: int = rules.DEFINITION_LIMIT,
-                     groups: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                     groups: tuple[DataFrame, DataFrame, int] | None = None) -> DataFrame:
     """Q-3: assignments with the probe's name, a compatible type and the scope rule of
     the usage type; BM25 score; top ``limit`` per probe.  ``groups`` are the stored
-    ``scope_groups(index, 'assignment', limit)`` of the index version, if any."""
+    ``scope_groups(index, 'assignment', limit)`` of the index version, if any, with the
+    limit that they were built with."""
     u = materialize(point_lookup(probes, index, usage_only=True), "lookup")
     return _search_grouped(spark, u, index, stats, definition_clauses(), ["usage"], "assignment",
                            limit, groups)

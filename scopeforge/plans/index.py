@@ -30,8 +30,24 @@ def _code_version() -> str:
 CODE_VERSION = _code_version()
 
 
+def input_key(spark: SparkSession, path: str) -> str:
+    """Digest of the files of a table: paths, lengths and times of change.  New data under
+    an old name has another key, so nothing stored is taken for it."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return "none"
+    found, entries = fs.listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        entries.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(entries)).encode()).hexdigest()[:16]
+
+
 def index_path(spark: SparkSession, sf_dir: str) -> str:
-    key = hashlib.sha1(f"{CODE_VERSION}:{sf_dir.rstrip('/')}".encode()).hexdigest()[:16]
+    listing = input_key(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    key = hashlib.sha1(f"{CODE_VERSION}:{sf_dir.rstrip('/')}:{listing}".encode()).hexdigest()[:16]
     return f"{shared_dir(spark)}/symbol_index/{key}"
 
 
@@ -60,13 +76,13 @@ def index_stats(spark: SparkSession, sf_dir: str) -> ScoreStats:
     return ScoreStats(n_docs, float(row["avg_len"] or 0.0), spark.read.parquet(f"{path}/terms"))
 
 
-def definition_groups(spark: SparkSession, sf_dir: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Scope groups of the assignments and their first ``limit`` members, stored
-    once per index version (input of cross-file definition search)."""
+def definition_groups(spark: SparkSession, sf_dir: str, limit: int) -> tuple[DataFrame, DataFrame, int]:
+    """Scope groups of the assignments, their first ``limit`` members and the limit,
+    stored once per index version (input of cross-file definition search)."""
     from ..operators.search import scope_groups
     path = index_path(spark, sf_dir)
     idx = symbol_index(spark, sf_dir)
     groups, members = scope_groups(idx, "assignment", limit)
     write_once(spark, f"{path}/def_groups", lambda p: groups.write.parquet(p))
     write_once(spark, f"{path}/def_members_{limit}", lambda p: members.write.parquet(p))
-    return spark.read.parquet(f"{path}/def_groups"), spark.read.parquet(f"{path}/def_members_{limit}")
+    return spark.read.parquet(f"{path}/def_groups"), spark.read.parquet(f"{path}/def_members_{limit}"), limit

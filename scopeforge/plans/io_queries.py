@@ -3,8 +3,6 @@ with SQL oracles."""
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from ..functions.paths import absolute_path, file_key, join_path, relative_path, split_path, user_space_flag
@@ -17,6 +15,7 @@ from ..sources import fixtures as fx
 from ..streaming import feed as FD
 from ..streaming import live as LV
 from . import sqlparts as sp
+from .index import input_key
 
 # Fixture parameters (FIXTURES.md §2.5).
 WORKSPACE = "/workspace"
@@ -103,10 +102,10 @@ def q_run_config(spark, sf_dir, include_dependencies=False, report_diagnostics=F
     """CFG-2 / CFG-3: the two switches applied to the union of sources and to the
     diagnostics of the documents."""
     u = _union(spark, sf_dir, include_dependencies).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    d = _diags(spark, sf_dir)
-    if not report_diagnostics:
-        d = d.limit(0)
-    dn = d.agg(F.count(F.lit(1)).alias("n")).select(F.lit("diagnostics").alias("source"), "n")
+    dn = spark.range(0)     # switched off: the job is not run at all
+    if report_diagnostics:
+        dn = _diags(spark, sf_dir)
+    dn = dn.agg(F.count(F.lit(1)).alias("n")).select(F.lit("diagnostics").alias("source"), "n")
     return u.unionByName(dn)
 
 
@@ -213,7 +212,7 @@ def q_index_versions(spark, sf_dir):
 
 
 def _doc_tree(spark, sf_dir) -> str:
-    key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    key = input_key(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     path = f"{shared_dir(spark)}/trees/docs-{key}"
     write_once(spark, path, lambda p: fx.write_document_tree(fx.table(spark, sf_dir, "documents"), p))
     return qualified(spark, path)
@@ -243,7 +242,7 @@ def q_bad_file_skip(spark, sf_dir):
 
 
 def _feed_files(spark, sf_dir) -> str:
-    key = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    key = input_key(spark, f"{sf_dir.rstrip('/')}/events.parquet")
     path = f"{shared_dir(spark)}/feeds/events-{key}"
     write_once(spark, path, lambda p: LV.write_feed_files(_feed(spark, sf_dir), p))
     return path

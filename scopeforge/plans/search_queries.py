@@ -48,30 +48,32 @@ probes AS (
   FROM doc_line_pos)"""
 
 
-def first_usage_probes(index: DataFrame, pred) -> DataFrame:
-    """Probe = the first usage (emission order) of a branch's types in each file."""
-    # min_by keeps fixed-width buffers, so this plans as a partial hash aggregate
-    # (a min over a struct would sort every row of the index)
-    f = (index.filter((F.col("category") == "usage") & pred).groupBy("file_id")
-         .agg(F.min_by("line", "seq").alias("line"), F.min_by("start_col", "seq").alias("col")))
-    return f.select(F.col("file_id").alias("probe_id"), "file_id", "line", "col")
-
-
-def first_of_type_probes(index: DataFrame) -> DataFrame:
-    """Probe = the first symbol of each node type in each file; new name for rename."""
-    types = F.array(*[F.lit(t) for t in rules.NODE_TYPES])
-    f = (index.groupBy("file_id", "node_type")
-         .agg(F.min(F.struct("seq", "line", "start_col", "name")).alias("m")))
-    return f.select(
-        (F.col("file_id") * F.lit(64) + F.array_position(types, F.col("node_type"))).alias("probe_id"),
-        "file_id", F.col("m.line").alias("line"), F.col("m.start_col").alias("col"),
-        F.concat(F.lit("renamed_"), F.col("m.name")).alias("new_name"))
+#: The query set of the searches: every symbol (or usage) of the files whose id is
+#: divisible by this number, searched in all symbols of all files.
+QUERY_FILES = 50
+
+
+def _probe_files(index: DataFrame) -> DataFrame:
+    return index.filter(F.col("file_id") % QUERY_FILES == 0).withColumn(
+        "probe_id", F.concat_ws(":", "file_id", "seq"))
+
+
+def usage_probes(index: DataFrame, pred) -> DataFrame:
+    """A probe on every usage of a branch's types in the query files."""
+    return _probe_files(index.filter((F.col("category") == "usage") & pred)).select(
+        "probe_id", "file_id", "line", F.col("start_col").alias("col"))
+
+
+def symbol_probes(index: DataFrame) -> DataFrame:
+    """A probe on every symbol of the query files, with a new name for the rename."""
+    return _probe_files(index).select("probe_id", "file_id", "line", F.col("start_col").alias("col"),
+                                      F.concat(F.lit("renamed_"), "name").alias("new_name"))
 
 
 def _refs(spark, sf_dir):
     idx = symbol_index(spark, sf_dir)
     stats = index_stats(spark, sf_dir)
-    return S.find_references(spark, first_of_type_probes(idx), idx, stats)
+    return S.find_references(spark, symbol_probes(idx), idx, stats)
 
 
 # ---------------------------------------------------------------- queries
@@ -104,7 +106,7 @@ def _definitions(branch):
     def run(spark, sf_dir):
         idx = symbol_index(spark, sf_dir)
         stats = index_stats(spark, sf_dir)
-        probes = first_usage_probes(idx, DEF_BRANCHES[branch][1]())
+        probes = usage_probes(idx, DEF_BRANCHES[branch][1]())
         hits = S.find_definitions(spark, probes, idx, stats,
                                   groups=definition_groups(spark, sf_dir, rules.DEFINITION_LIMIT))
         return hits.select("probe_id", "rank", S.absolute_path("path_parts", "user_space", ROOT).alias("path"),
@@ -230,12 +232,11 @@ ranked AS (
   FROM scored QUALIFY rank <= {limit})"""
 
 
-def _first_usage_sql(pred: str) -> str:
+def _usage_probes_sql(pred: str) -> str:
     return f"""
 probes AS (
-  SELECT file_id AS probe_id, file_id, line, start_col AS col FROM symbols
-  WHERE category = 'usage' AND {pred}
-  QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY seq) = 1)"""
+  SELECT file_id::VARCHAR || ':' || seq::VARCHAR AS probe_id, file_id, line, start_col AS col FROM symbols
+  WHERE category = 'usage' AND file_id % {QUERY_FILES} = 0 AND {pred})"""
 
 
 def sql_definitions(branch: str) -> str:
@@ -254,16 +255,16 @@ def sql_definitions(branch: str) -> str:
        WHEN u.u_node_type IN ({local}) THEN list_has_all(d.scope_path, u.u_scope_path)
        WHEN u.u_node_type = 'Send' AND len(u.u_class_scope) > 0 THEN list_has_all(d.scope_path, u.u_class_scope)
        ELSE TRUE END"""
-    return _with(sp.symbols_cte(), sp.STATS, _first_usage_sql(pred), _lookup_sql(True)) + _scored_sql(
+    return _with(sp.symbols_cte(), sp.STATS, _usage_probes_sql(pred), _lookup_sql(True)) + _scored_sql(
         clauses, ("usage",), "AND d.category = 'assignment'", "", required, rules.DEFINITION_LIMIT) + f"""
 SELECT probe_id, rank, {_abs_path()} AS path, name, node_type, line, start_col, end_col, score FROM ranked"""
 
 
 REF_PROBES_SQL = f"""
 probes AS (
-  SELECT file_id * 64 + list_position({sp.str_list(rules.NODE_TYPES)}, node_type) AS probe_id,
-         file_id, line, start_col AS col, 'renamed_' || name AS new_name
-  FROM symbols QUALIFY row_number() OVER (PARTITION BY file_id, node_type ORDER BY seq) = 1)"""
+  SELECT file_id::VARCHAR || ':' || seq::VARCHAR AS probe_id, file_id, line, start_col AS col,
+         'renamed_' || name AS new_name
+  FROM symbols WHERE file_id % {QUERY_FILES} = 0)"""
 
 
 def _refs_sql() -> str:

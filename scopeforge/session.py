@@ -100,6 +100,12 @@ def write_once(spark: SparkSession, path: str, write) -> None:
         fs.delete(src, True)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a stored table, if it is there."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """Fully qualified form of a path (scheme included), as file listings report it."""
     fs, p = _fs(spark, path)

@@ -9,19 +9,34 @@ huge file) over several tasks instead of one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete_path, materialize
+
+
+def layout_path(path: str) -> str:
+    """Inside the index; readers skip names that begin with an underscore."""
+    return f"{path.rstrip('/')}/_layout"
+
+
+def bucket_count(spark: SparkSession, path: str) -> int:
+    """Buckets that the index at ``path`` was written with."""
+    return int(spark.read.parquet(layout_path(path)).first()["buckets"])
+
 
 def bucket_of(file_id_col: str = "file_id", buckets: int = 64):
     return F.pmod(F.xxhash64(F.col(file_id_col)), F.lit(buckets)).cast("int")
 
 
 def write_symbols(symbols: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
-    """SNK-1: write symbol rows with their bucket column."""
+    """SNK-1: write symbol rows with their bucket column, and the number of buckets beside
+    them: a later pass reads it there, whatever its own settings are."""
     (symbols.withColumn("bucket", bucket_of("file_id", buckets))
      .hint("rebalance", "bucket")
      .write.mode(mode).partitionBy("bucket").parquet(path))
+    layout = symbols.sparkSession.createDataFrame([(buckets,)], "buckets int")
+    layout.coalesce(1).write.mode("overwrite").parquet(layout_path(path))
 
 
 def replace_files(old: DataFrame, new_rows: DataFrame, changed: DataFrame,
@@ -50,8 +65,33 @@ def publish_versions(versions: DataFrame, versions_path: str) -> None:
     versions.withColumn("committed_at", F.current_timestamp()).write.mode("append").parquet(versions_path)
 
 
-def overwrite_buckets(rows: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write only the buckets present in ``rows`` (dynamic partition overwrite)."""
+def touched_buckets(changed: DataFrame, buckets: int, key: str = "file_id") -> DataFrame:
+    """(bucket): the buckets of changed and deleted files, at most ``buckets`` rows."""
+    return changed.select(bucket_of(key, buckets).alias("bucket")).distinct()
+
+
+def replace_in_index(path: str, new_rows: DataFrame, changed: DataFrame, deleted: DataFrame | None = None,
+                     key: str = "file_id") -> None:
+    """SNK-2 / SNK-3 on a stored index: one pass over the buckets of the changed and
+    deleted files; a bucket that nothing is left of is emptied."""
+    spark = new_rows.sparkSession
+    buckets = bucket_count(spark, path)
+    gone = changed.select(key) if deleted is None else changed.select(key).unionByName(deleted.select(key))
+    gone = materialize(gone.distinct(), "replace-files")
+    touched = materialize(touched_buckets(gone, buckets, key), "replace-buckets")
+    old = spark.read.parquet(path).join(F.broadcast(touched), "bucket").drop("bucket")
+    merged = materialize(replace_files(old, new_rows, gone, key=key), "replace")
+    overwrite_buckets(merged, path, buckets, touched)
+
+
+def overwrite_buckets(rows: DataFrame, path: str, buckets: int = 64, touched: DataFrame | None = None) -> None:
+    """Write only the buckets present in ``rows`` (dynamic partition overwrite).  Buckets of
+    ``touched`` that have no row any more are removed."""
+    if touched is not None:
+        spark = rows.sparkSession
+        left = rows.select(bucket_of("file_id", buckets).alias("bucket")).distinct()
+        for r in touched.join(left, "bucket", "left_anti").collect():  # <= buckets rows
+            delete_path(spark, f"{path.rstrip('/')}/bucket={r['bucket']}")
     (rows.withColumn("bucket", bucket_of("file_id", buckets))
      .hint("rebalance", "bucket")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -58,3 +58,19 @@ def test_bucket_overwrite_replace_keeps_index_equal(spark):
     overwrite_buckets(merged, path, 4)
     after = spark.read.parquet(path)
     assert _rows(after.select(*spark.read.parquet(path).columns)) == before
+
+
+def test_pass_that_empties_buckets_equals_a_rebuild(spark):
+    """Deleted files are gone although their buckets hold nothing else, and the number of
+    buckets is the index's own, not the session's."""
+    from scopeforge.sinks.index import bucket_count, replace_in_index, write_symbols
+    docs = fx.table(spark, SF, "documents").filter("doc_id < 6")
+    path = f"{shared_dir(spark)}/test-index/{uuid.uuid4().hex[:12]}"
+    write_symbols(fx.document_symbols(spark, docs), path, buckets=64)
+    assert bucket_count(spark, path) == 64
+    changed, deleted = docs.filter("doc_id = 2"), docs.filter("doc_id in (3, 5)")
+    key = F.col("doc_id").alias("file_id")
+    replace_in_index(path, fx.document_symbols(spark, changed), changed.select(key), deleted.select(key))
+    left = spark.read.parquet(path)
+    want = fx.document_symbols(spark, docs.filter("doc_id not in (3, 5)"))
+    assert _rows(left.select(*want.columns)) == _rows(want)
