@@ -73,7 +73,7 @@ def _signatures(gram: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, sig)."""
+    """(doc_id, th, n_shingles, sig); ``th`` tells the texts of a repeated id apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -82,10 +82,11 @@ def document_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 buf, off = text_buffer(part.column("text"))
                 gram, size = shingle_sets(lower_ascii(buf), off, k)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(_signatures(gram, size))],
-                    names=["doc_id", "n_shingles", "sig"])
+                    [part.column("doc_id"), part.column("th"), pa.array(size.astype(np.int64)),
+                     pa.array(_signatures(gram, size))], names=["doc_id", "th", "n_shingles", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, sig long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(
+        run, f"doc_id {kind}, th long, n_shingles long, sig long")
 
 
 def part_keys(gram: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -323,7 +324,7 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, k: int = SHINGLE,
           similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): spanning forests of the links inside the candidate groups.
 
-    ``sets``: (doc_id, sig) with one document of each signature; ``groups``: (node, label)."""
+    ``sets``: (doc_id, th, sig) with one document of each signature; ``groups``: (node, label)."""
     count = groups.groupBy("label").agg(F.count("*").alias("members"))
     members = groups.join(count, "label").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     packs = sized(groups.count(), PACK)
@@ -335,7 +336,7 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, k: int = SHINGLE,
     members = members.select(
         F.col("node").alias("sig"), "label", F.when(lo == hi, F.lit(-1)).otherwise(F.when(F.col("own") == hi, 1).otherwise(0)).alias("side"),
         F.when(F.col("blocks") == 1, small).otherwise(F.concat_ws(":", "label", lo, hi)).alias("shard"))
-    texts = members.join(sets, "sig").join(docs.select("doc_id", "text"), "doc_id").select(
+    texts = members.join(sets, "sig").join(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), ["doc_id", "th"]).select(
         "shard", "label", "side", "sig", "text")
 
     def run(group: pa.Table) -> pa.Table:
@@ -363,10 +364,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMIL
     sets = materialize(document_sets(docs, k), "shingle-sets")
     groups = connected(materialize(candidate_groups(docs, k, similarity), "shingle-candidates"))
     first = (sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig")
-             .agg(F.min("doc_id").alias("doc_id")))
+             .agg(F.min(F.struct("doc_id", "th")).alias("d")).select("sig", "d.doc_id", "d.th"))
     edges = materialize(links(docs, first, groups, k, similarity), "shingle-links")
     labels = connected(edges)
-    named = first.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
+    named = first.drop("th").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
         "label", F.coalesce("label", "sig"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(smallest, "label").select("sig", "component_id")
