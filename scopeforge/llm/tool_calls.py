@@ -10,7 +10,8 @@ writes canonical JSON: members sorted, no white space, numbers and strings in on
 
 Order: a message keeps its turn unless something it needs comes later; then it moves behind
 that.  Moves are found by rounds over the pairs that are out of order, so chats in order
-take none.  Messages on a cycle keep what order they have and get the status ``cycle``.
+take none.  Messages on a cycle, or behind one, get the status ``cycle`` and some order;
+a chat with a cycle takes up to twice as many rounds as it has messages.
 
 Status of a call: ``invalid_json``, ``unknown_tool``, ``invalid_arguments``, ``duplicate_call``
 (an id's later calls), ``no_result``, or ``ok``; of a result: ``orphan_result``,
@@ -85,15 +86,16 @@ def _moved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if first and late.isEmpty():
             return places.withColumn("cycle", F.lit(False))
         first = False
-        # a message that has moved behind more messages than its chat holds is on a cycle
+        # a message that has moved behind as many messages as its chat holds is on a cycle or
+        # behind one; rounds go on until all of a cycle have
         late = materialize(late, "tool-late")
         moved = (places.join(late, F.col("node") == F.col("target"), "left").join(
             sizes.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))))
-        open_ = F.col("behind").isNotNull() & (F.col("behind.s_depth") <= F.col("many"))
+        open_ = F.col("behind").isNotNull() & (F.col("behind.s_depth") <= 2 * F.col("many"))
         step = materialize(moved.select(
             "node", "conv_id", F.when(open_, F.col("behind.s_at")).otherwise(F.col("at")).alias("at"),
             F.when(open_, F.col("behind.s_depth") + 1).otherwise(F.col("depth")).alias("depth"),
-            open_.alias("open"), (F.col("depth") > F.col("many")).alias("cycle")), "tool-places")
+            open_.alias("open"), (F.col("depth") >= F.col("many")).alias("cycle")), "tool-places")
         places = step.select("node", "conv_id", "at", "depth")
         if step.filter("open").isEmpty():
             return step.select("node", "conv_id", "at", "depth", "cycle")
