@@ -22,8 +22,8 @@ from .stats import ScoreStats
 from ..session import materialize
 
 DEFAULT_ROOT = "/workspace"
-# A join key of the index is salted when it holds at least this many rows (and at
-# least 1/256 of the rows); tests lower it to exercise the salted path.
+# A join key of the index is salted into parts of this many rows; tests lower it to
+# exercise the salted path.
 SALT_MIN_ROWS = 100_000
 _U = ["seq", "name", "node_type", "category", "scope_path", "class_scope", "start_col",
       "end_col", "path_parts", "user_space"]

@@ -1,12 +1,12 @@
 """Join strategies for skewed keys and size-checked broadcasts.
 
-* ``broadcast_if_small``: broadcast a side only after counting that it holds at
-  most ``max_rows`` rows (the count stops early through a LIMIT).
+* ``broadcast_if_small``: broadcast a side only after measuring that it holds at
+  most ``max_rows`` rows (the count stops early through a LIMIT) and ``max_bytes`` of
+  values.
 * ``salted_join``: keys that may hold a large share of the big side (a common
-  symbol name, one huge file) are split over ``salts`` sub-keys on the big side and
-  the few matching rows of the small side are replicated to every sub-key.  The
-  set of hot keys is bounded by construction (a key is hot only when it holds at
-  least ``total / max_hot`` rows), so it can be broadcast.
+  symbol name, one huge file) are split into as many sub-keys as their own rows need
+  at ``min_rows`` a task, and the few matching rows of the small side are replicated to
+  every sub-key of theirs.  At most ``total / min_rows`` keys are split.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 200 << 20
+#: Rows of one key that a task takes.
+SALT_ROWS = 1_000_000
 
 
 def count_at_most(df: DataFrame, max_rows: int) -> int:
@@ -22,34 +25,29 @@ def count_at_most(df: DataFrame, max_rows: int) -> int:
     return df.limit(max_rows + 1).count()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    if count_at_most(df, max_rows) <= max_rows:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    size = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    rows, values = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    if rows <= max_rows and (values or 0) <= max_bytes:
         return F.broadcast(df), True
     return df, False
 
 
-def hot_keys(big: DataFrame, keys: list[str], max_hot: int = 256, min_rows: int = 100_000) -> DataFrame:
-    """Keys holding at least max(min_rows, total / max_hot) rows of ``big``.
-
-    At most ``max_hot`` keys qualify, so the result has a proven size bound.
-    """
-    freq = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = big.count()
-    threshold = max(min_rows, total // max_hot + 1)
-    return freq.filter(F.col("_n") >= threshold).select(*keys)
+def hot_keys(big: DataFrame, keys: list[str], min_rows: int = SALT_ROWS) -> DataFrame:
+    """(keys, _n): keys of more than ``min_rows`` rows of ``big``, with their number."""
+    return big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                salts: int = 32, hot: DataFrame | None = None, max_hot: int = 256,
-                min_rows: int = 100_000) -> DataFrame:
-    """Equi-join on ``keys`` with hot keys of ``big`` spread over ``salts`` tasks."""
+                hot: DataFrame | None = None, min_rows: int = SALT_ROWS) -> DataFrame:
+    """Equi-join on ``keys``; a key of n rows of ``big`` is spread over n / ``min_rows``
+    tasks.  ``hot``: (keys, _n) of the keys to spread, if known."""
     if hot is None:
-        hot = hot_keys(big, keys, max_hot=max_hot, min_rows=min_rows)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    b = big.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
-    s = small.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                           .otherwise(F.array(F.lit(0))))).drop("_hot")
+        hot = hot_keys(big, keys, min_rows)
+    hot = hot.select(*keys, F.ceil(F.col("_n") / min_rows).cast("int").alias("_salts"))
+    hot, _ = broadcast_if_small(hot)
+    one = F.coalesce("_salts", F.lit(1))
+    b = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), one).cast("int")).drop("_salts")
+    s = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
     return b.join(s, [*keys, "_salt"], how).drop("_salt")

@@ -117,13 +117,12 @@ def _diags(spark, sf_dir):
     lines = fx.document_lines(docs).withColumnRenamed("doc_id", "file_id")
     nonempty = lines.filter(F.col("line_len") > 0)
     # line frequencies, pre-aggregated and written once: they give both the
-    # duplicated lines and the (bounded) set of hot lines to salt
+    # duplicated lines and the hot lines to salt, with their number of rows
     freq = materialize(nonempty.groupBy("line_text").agg(F.count(F.lit(1)).alias("n")), "line-freq")
     dup = freq.filter("n > 1").select("line_text")
-    total = freq.agg(F.sum("n")).first()[0] or 0
-    hot = freq.filter(F.col("n") >= max(SALT_MIN_ROWS, total // 256 + 1)).select("line_text")
+    hot = freq.filter(F.col("n") > SALT_MIN_ROWS).select("line_text", F.col("n").alias("_n"))
     # a very common line (think `end`) is split over several tasks on the line side
-    msgs = salted_join(nonempty, dup, ["line_text"], "left_semi", hot=hot).select(
+    msgs = salted_join(nonempty, dup, ["line_text"], "left_semi", hot=hot, min_rows=SALT_MIN_ROWS).select(
         "file_id", F.col("line").alias("msg_id"), F.lit("repeated line").alias("message"),
         F.col("line_start").alias("begin_off"), (F.col("line_start") + F.col("line_len") - 1).alias("end_off"))
     return D.to_diagnostics(msgs, lines.select("file_id", "line", "line_start", "line_len"))
