@@ -18,14 +18,14 @@ the named columns are read.  Empty table: empty result.
 
 from __future__ import annotations
 
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_slices
+from .common import mix, powers, table, text_slices
 
 PER_LANGUAGE, MAX_LANGUAGES = 400, 64
 #: Words of a run, runs of a training sequence, words of all runs of a language.
@@ -34,44 +34,77 @@ LEXICON_WORDS = 500
 BUCKETS = 1 << 17
 EPOCHS, STEP_SEQUENCES, RATE, DECAY = 5, 128, 0.05, 1e-4
 CACHE_WORDS = 300_000
+#: Word types whose features are made at a time.
+TYPES = 20_000
 #: Bytes of text whose chains run side by side; the longest document sets their steps.
-CHAIN_BYTES = 8 << 20
+CHAIN_BYTES = 4 << 20
 
 
 def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def features(word: str, lexicon: dict[str, list[int]]) -> list[int]:
-    """Buckets of a lower-case word: affixes of 1 to 4, inner n-grams of 2 and 3, the word,
-    and the lexicons that hold it.  A word without letters has none."""
-    w = letters(word)
-    if not w:
-        return []
-    edged = f"^{w}$"
-    found = {f"p{w[:k]}" for k in range(1, 5)} | {f"s{w[-k:]}" for k in range(1, 5)} | {f"w{w}"}
-    found |= {f"n{edged[i:i + k]}" for k in (2, 3) for i in range(len(edged) - k + 1)}
-    found |= {f"l{k}" for k in lexicon.get(w, ())}
-    return [zlib.crc32(f.encode()) % BUCKETS for f in found]
+def features(words: list[str], lexicon: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features of lower-case words, word after word, and how many each has:
+    affixes of 1 to 4 letters, n-grams of 2 and 3 with the word's edges, the word, and the
+    lexicons that hold it.  A word without letters has none."""
+    plain = [letters(w) for w in words]
+    size = np.array([len(w) for w in plain], np.int64)
+    if not size.sum():
+        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    point = np.frombuffer(("^" + "$^".join(plain) + "$").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    whole = size + 2
+    first = np.cumsum(whole) - whole + 1  # the first letter
+    owner = np.repeat(np.arange(len(words)), whole)
+    rest = np.repeat(first - 1 + whole, whole) - np.arange(len(point))  # places to the end of the word
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def put(kind: int, own: np.ndarray, at: np.ndarray, k: int) -> None:
+        """The runs of ``k`` code points at ``at``."""
+        total = np.full(len(at), kind, np.uint64)
+        for j in range(k):
+            total = total * np.uint64(0xD1342543DE82EF95) + point[at + j]
+        found.append((own, mix(total)))
+
+    for k in (2, 3):
+        at = np.flatnonzero((rest >= k) & (size[owner] > 0))
+        put(k, owner[at], at, k)
+    for k in range(1, 5):
+        own = np.flatnonzero(size >= k)
+        put(10 + k, own, first[own], k)
+        put(20 + k, own, first[own] + size[own] - k, k)
+    total = np.zeros(len(point) + 1, np.uint64)
+    np.cumsum(point * powers("up", len(point))[:len(point)], out=total[1:])
+    own = np.flatnonzero(size)
+    word = (total[first[own] + size[own]] - total[first[own]]) * powers("down", len(point))[first[own]]
+    found.append((own, mix(word + np.uint64(30))))
+    held = [(i, k) for i, w in enumerate(plain) if w in lexicon for k in lexicon[w]]
+    if held:
+        own, lang = np.array(held).T
+        found.append((own, mix(lang.astype(np.uint64) + np.uint64(40))))
+    own = np.concatenate([o for o, _ in found])
+    bucket = (np.concatenate([h for _, h in found]) % np.uint64(BUCKETS)).astype(np.int64)
+    return bucket[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(words))
 
 
 class Chain:
     """The field: languages, feature weights, start and transition scores, lexicon."""
 
     def __init__(self, languages: list[str], lexicon: dict[str, list[int]]):
-        self.languages, self.lexicon = languages, lexicon
+        self.languages, self.lexicon, self.key = languages, lexicon, uuid.uuid4().hex
         n = len(languages)
         self.weights = np.zeros((BUCKETS, n), np.float32)
         self.start, self.move = np.zeros(n), np.zeros((n, n))
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of word types by language."""
-        found = [features(w, self.lexicon) for w in words]
-        n = np.array([len(f) for f in found], np.int64)
-        flat = np.fromiter((x for f in found for x in f), np.int64, int(n.sum()))
-        total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.weights[flat], 0, dtype=float)])
-        ends = np.cumsum(n)
-        return (total[ends] - total[ends - n]).astype(np.float32)
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        for at in range(0, len(words), TYPES):
+            flat, n = features(words[at:at + TYPES], self.lexicon)
+            total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.weights[flat], 0, dtype=float)])
+            ends = np.cumsum(n)
+            out[at:at + TYPES] = total[ends] - total[ends - n]
+        return out
 
     def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Forward-backward over chains that lie one behind the other in ``scores``."""
@@ -134,9 +167,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Chain:
         return chain
     types = sorted({w for _, run in runs for w in run})
     row = {w: i for i, w in enumerate(types)}
-    found = [features(w, lexicon) for w in types]
-    n_of = np.array([len(f) for f in found], np.int64)
-    flat = np.fromiter((x for f in found for x in f), np.int64, int(n_of.sum()))
+    flat, n_of = features(types, lexicon)
     begin = np.cumsum(n_of) - n_of
     n = len(languages)
     squares, move_squares, start_squares = np.full((BUCKETS, n), 1e-6), np.full((n, n), 1e-6), np.full(n, 1e-6)
@@ -222,7 +253,8 @@ class Labeller:
         """(rows of types, number of words of each text, posteriors of words)."""
         cut = [t.lower().split() for t in texts]
         flat = [w for words in cut for w in words]
-        need = set(flat) - self.row.keys()
+        need = set(flat)
+        need.difference_update(self.row)
         if len(self.row) + len(need) > CACHE_WORDS:
             self.clear()
             need = set(flat)
@@ -249,6 +281,17 @@ class Labeller:
         return names, np.where(n > 0, np.clip(mean[np.arange(len(texts)), best], 0, 1), 0.0)
 
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def labeller_of(chain: Chain) -> Labeller:
+    """The labeller of this worker process, shared by its tasks."""
+    if chain.key not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[chain.key] = Labeller(chain)
+    return _LABELLERS[chain.key]
+
+
 def predict(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text",
             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` of ``docs`` with the language and the score, called ``names``."""
@@ -258,7 +301,7 @@ def predict(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text",
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name in keep)
 
     def run(batches):
-        labeller = Labeller(shared.value)
+        labeller = labeller_of(shared.value)
         for batch in batches:
             for part in text_slices(batch, text, CHAIN_BYTES):
                 texts = part.column(text).fill_null("").to_pylist()
