@@ -258,6 +258,36 @@ def q_stream_diagnostics(spark, sf_dir):
         "file_id", "version", F.lit("parse failed").alias("message"))
 
 
+def _feed_documents(texts):
+    return texts.select(F.col("file_id").alias("doc_id"), F.lit("feed").alias("lang"), F.lit("feed").alias("source"), "text")
+
+
+def _feed_messages(texts):
+    """EXT-13 on the texts that fail to parse: one message over the whole text."""
+    docs = _feed_documents(texts.filter("event_type = 'failed'"))
+    lines = fx.document_lines(docs).withColumnRenamed("doc_id", "file_id")
+    msgs = docs.select(F.col("doc_id").alias("file_id"), F.lit(0).cast("bigint").alias("msg_id"),
+                       F.lit("parse failed").alias("message"), F.lit(0).cast("bigint").alias("begin_off"),
+                       F.length("text").cast("bigint").alias("end_off"))
+    return D.to_diagnostics(msgs, lines.select("file_id", "line", "line_start", "line_len"))
+
+
+def _live(spark, sf_dir):
+    return LV.live_index(spark, _feed_files(spark, sf_dir),
+                         lambda texts: fx.document_symbols(spark, _feed_documents(texts)), _feed_messages)
+
+
+def q_stream_index(spark, sf_dir):
+    """ST-4: the symbol index after all micro-batches; a text that fails leaves the old rows."""
+    return spark.read.parquet(_live(spark, sf_dir)["symbols"]).select(
+        "file_id", "seq", "category", "node_type", "name", "line", "start_col", "end_col")
+
+
+def q_stream_index_diagnostics(spark, sf_dir):
+    """ST-5 / SNK-7: the diagnostics table after all micro-batches."""
+    return spark.read.parquet(_live(spark, sf_dir)["diagnostics"]).drop("bucket")
+
+
 def q_stream_periodic_refresh(spark, sf_dir):
     return LV.refresh_passes(spark, _feed_files(spark, sf_dir))
 
@@ -287,6 +317,8 @@ QUERIES = {
     "stream_live_upsert": q_stream_live_upsert,
     "stream_diagnostics": q_stream_diagnostics,
     "stream_periodic_refresh": q_stream_periodic_refresh,
+    "stream_index": q_stream_index,
+    "stream_index_diagnostics": q_stream_index_diagnostics,
 }
 
 
@@ -440,6 +472,17 @@ SELECT user_id AS file_id, event_id AS version, 'parse failed' AS message FROM (
   SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
 WHERE event_type = 'error'"""
 
+# the index of a batch rebuild from each file's last text that did not fail
+SQL_STREAM_INDEX = "WITH documents AS (SELECT user_id AS doc_id, 'feed' AS lang, 'feed' AS source, props AS text FROM events "
+SQL_STREAM_INDEX += f"""WHERE event_type IN {_REINDEX} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+""" + sp.symbols_cte() + """
+SELECT file_id, seq, category, node_type, name, line, start_col, end_col FROM symbols"""
+SQL_STREAM_INDEX_DIAGNOSTICS = """
+SELECT user_id AS file_id, 0::BIGINT AS start_line, 0::BIGINT AS start_col,
+       (length(props) - length(replace(props, chr(10), '')))::BIGINT AS end_line,
+       length(string_split(props, chr(10))[-1])::BIGINT AS end_col, 'parse failed' AS message FROM (
+  SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+WHERE event_type = 'error'"""
 SQL_STREAM_REFRESH = f"""
 SELECT CAST(ts AS DATE) AS pass_day, count(DISTINCT user_id) AS n_changed FROM events
 WHERE event_type IN {_REINDEX} GROUP BY 1"""
@@ -469,4 +512,6 @@ ORACLES = {
     "stream_live_upsert": SQL_LATEST_TEXT,
     "stream_diagnostics": SQL_STREAM_DIAGNOSTICS,
     "stream_periodic_refresh": SQL_STREAM_REFRESH,
+    "stream_index": SQL_STREAM_INDEX,
+    "stream_index_diagnostics": SQL_STREAM_INDEX_DIAGNOSTICS,
 }
