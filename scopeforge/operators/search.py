@@ -25,6 +25,8 @@ DEFAULT_ROOT = "/workspace"
 # A join key of the index is salted into parts of this many rows; tests lower it to
 # exercise the salted path.
 SALT_MIN_ROWS = 100_000
+# Scores that are equal to this many digits are ties.
+SCORE_DIGITS = 9
 _U = ["seq", "name", "node_type", "category", "scope_path", "class_scope", "start_col",
       "end_col", "path_parts", "user_space"]
 
@@ -211,7 +213,7 @@ def _search_grouped(spark: SparkSession, u: DataFrame, index: DataFrame, stats:
         raise ValueError(f"the stored groups keep {built} members, fewer than the {limit} asked for")
     gkeys = ["name", "node_type", "scope_key"]
     pg = _type_weights(_candidates(spark, probe_side, grp, [("u_name", "name")], bound))
-    pg = pg.filter(_required_ok()).withColumn("score", F.round(_score(stats), 6))
+    pg = pg.filter(_required_ok()).withColumn("score", F.round(_score(stats), SCORE_DIGITS))
     by_score = Window.partitionBy("probe_id").orderBy(F.col("score").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("probe_id", "score")
@@ -231,7 +233,7 @@ def _search_same_file(spark: SparkSession, u: DataFrame, index: DataFrame, stats
     idx = index.filter(F.col("category") == category) if category else index
     keys = [("p_file_id", "file_id"), ("u_name", "name")]
     cand = _type_weights(_candidates(spark, probe_side, idx, keys, bound))
-    cand = cand.filter(_required_ok()).withColumn("score", F.round(_score(stats), 6))
+    cand = cand.filter(_required_ok()).withColumn("score", F.round(_score(stats), SCORE_DIGITS))
     return _top_k(cand, limit)
 
 
@@ -296,10 +298,10 @@ def workspace_symbols(index: DataFrame, stats: ScoreStats, pattern: str, root: s
     hits = (index.filter(F.col("user_space") & F.col("node_type").isin(rules.WORKSPACE_SYMBOL_TYPES)
                          & prefix_match("name", pattern))
             .join(F.broadcast(types), "node_type", "left")
-            .withColumn("score", F.round(F.col("type_idf"), 6)))
+            .withColumn("score", F.round(F.col("type_idf"), SCORE_DIGITS)))
     w = Window.orderBy(F.col("score").desc(), "file_id", "line", "start_col", "seq")
     top = hits.orderBy(F.col("score").desc(), "file_id", "line", "start_col", "seq").limit(limit)
     return top.withColumn("rank", F.row_number().over(w).cast("bigint")).select(
         "rank", "name", symbol_kind("node_type").alias("kind"),
         absolute_path("path_parts", F.lit(True), root).alias("path"),
-        F.col("line").alias("start_line"), "start_col", F.col("line").alias("end_line"), "end_col", "score")
+        F.col("line").alias("start_line"), "start_col", F.col("line").alias("end_line"), "end_col", F.round("score", 6).alias("score"))

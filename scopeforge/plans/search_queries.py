@@ -110,14 +110,14 @@ def _definitions(branch):
         hits = S.find_definitions(spark, probes, idx, stats,
                                   groups=definition_groups(spark, sf_dir, rules.DEFINITION_LIMIT))
         return hits.select("probe_id", "rank", S.absolute_path("path_parts", "user_space", ROOT).alias("path"),
-                           "name", "node_type", "line", "start_col", "end_col", "score")
+                           "name", "node_type", "line", "start_col", "end_col", F.round("score", 6).alias("score"))
     return run
 
 
 def q_references(spark, sf_dir):
     r = _refs(spark, sf_dir)
     return r.select("probe_id", "rank", "file_id", "name", "node_type", "category", "line",
-                    "start_col", "end_col", "score")
+                    "start_col", "end_col", F.round("score", 6).alias("score"))
 
 
 def q_highlights(spark, sf_dir):
@@ -178,9 +178,9 @@ def sql_symbol_search(pattern=PATTERN_PLAIN, regex=False):
     kinds = " ".join(f"WHEN s.node_type = {sp.q(t)} THEN {sp.q(k)}" for t, k in rules.SYMBOL_KINDS.items())
     return _with(sp.symbols_cte(), sp.STATS) + f"""
 SELECT row_number() OVER (ORDER BY score DESC, file_id, line, start_col, seq) AS rank,
-       name, kind, path, line AS start_line, start_col, line AS end_line, end_col, score
+       name, kind, path, line AS start_line, start_col, line AS end_line, end_col, round(score, 6) AS score
 FROM (
-  SELECT s.*, round(t.idf, 6) AS score,
+  SELECT s.*, round(t.idf, 9) AS score,
          CASE {kinds} ELSE {sp.q(rules.SYMBOL_KIND_DEFAULT)} END AS kind,
          {sp.q(ROOT)} || '/' || array_to_string(s.path_parts, '/') AS path
   FROM symbols s JOIN type_idf t ON t.term = s.node_type
@@ -225,7 +225,7 @@ cand AS (
 scored AS (
   SELECT cand.*, round(multiplicity * coalesce(type_idf, 0) + {sp.length_norm('len(scope_path)')} *
          coalesce((SELECT sum(cw.w) FROM cw WHERE cw.probe_id = cand.probe_id
-                   AND list_contains(cand.scope_path, cw.term)), 0), 6) AS score
+                   AND list_contains(cand.scope_path, cw.term)), 0), 9) AS score
   FROM cand),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, file_id, line, start_col, seq) AS rank
@@ -257,7 +257,7 @@ def sql_definitions(branch: str) -> str:
        ELSE TRUE END"""
     return _with(sp.symbols_cte(), sp.STATS, _usage_probes_sql(pred), _lookup_sql(True)) + _scored_sql(
         clauses, ("usage",), "AND d.category = 'assignment'", "", required, rules.DEFINITION_LIMIT) + f"""
-SELECT probe_id, rank, {_abs_path()} AS path, name, node_type, line, start_col, end_col, score FROM ranked"""
+SELECT probe_id, rank, {_abs_path()} AS path, name, node_type, line, start_col, end_col, round(score, 6) AS score FROM ranked"""
 
 
 REF_PROBES_SQL = f"""
@@ -277,7 +277,7 @@ def _refs_sql() -> str:
 
 def sql_references():
     return _refs_sql() + """
-SELECT probe_id, rank, file_id, name, node_type, category, line, start_col, end_col, score FROM ranked"""
+SELECT probe_id, rank, file_id, name, node_type, category, line, start_col, end_col, round(score, 6) AS score FROM ranked"""
 
 
 def sql_highlights():
