@@ -244,9 +244,19 @@ def find_definitions(spark: SparkSession, probes: DataFrame, index: DataFrame, s
     the usage type; BM25 score; top ``limit`` per probe.  ``groups`` are the stored
     ``scope_groups(index, 'assignment', limit)`` of the index version, if any, with the
     limit that they were built with."""
-    u = materialize(point_lookup(probes, index, usage_only=True), "lookup")
-    return _search_grouped(spark, u, index, stats, definition_clauses(), ["usage"], "assignment",
+    u = point_lookup(probes, index, usage_only=True)
+    # the answer depends on the symbol under the cursor only by these columns, so probes
+    # that agree in them are searched once and share the hits
+    same = ["u_name", "u_node_type", "u_class_scope", "u_scope_path"]
+    u = materialize(u.withColumn("_lead", F.xxhash64(F.to_json(F.struct(*same)))), "lookup")
+    lead = u.groupBy("_lead", *same).agg(F.min("probe_id").alias("probe_id"))
+    leads = materialize(u.join(lead.select("probe_id"), "probe_id", "left_semi"), "lookup-leads")
+    hits = _search_grouped(spark, leads, index, stats, definition_clauses(), ["usage"], "assignment",
                            limit, groups)
+    to = lead.select("_lead", *same, F.col("probe_id").alias("_of"))
+    members = materialize(u.select("probe_id", "_lead", *same).join(to, ["_lead", *same]).select("probe_id", "_of"),
+                          "lookup-members")
+    return hits.withColumnRenamed("probe_id", "_of").join(members, "_of").drop("_of")
 
 
 def find_references(spark: SparkSession, probes: DataFrame, index: DataFrame, stats: ScoreStats,
