@@ -68,11 +68,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, bytes_covered, decoded_sha256) of every document."""
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepiece_codec.encode(docs, model).select(
+    return sentencepiece_codec.encode(docs, model, decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        F.element_at("ends", -1).cast("long").alias("bytes_covered"))
-    return sentencepiece_codec.decode(encoded, model).select(
-        "doc_id", "n_tokens", "ids", "bytes_covered", F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.element_at("ends", -1).cast("long").alias("bytes_covered"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages),

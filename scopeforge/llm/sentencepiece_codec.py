@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import table, text_buffer, text_slices
 
 SPACE = "▁"
-#: Distinct units that a task remembers.
-CACHE_UNITS = 300_000
+#: Distinct units that a worker remembers.
+CACHE_UNITS = 200_000
+#: Bytes of text that a task works on at a time: a piece takes about 40 bytes of arrays.
+TASK_BYTES = 1 << 20
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
@@ -123,6 +125,7 @@ class Model:
         self.surface = [self.unknown_surface.encode() if k == _UNKNOWN else b"" if k == _CONTROL
                         else bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode()
                         for p, k in zip(self.pieces, self.kinds)]
+        self.controls = [i for i, k in enumerate(self.kinds) if k == _CONTROL]
         self.end = self.processor.eos_id()
 
     def normalise(self, text: str) -> tuple[str, np.ndarray | None, np.ndarray | None]:
@@ -227,7 +230,8 @@ class UnitTable:
         return np.array(sizes, np.int32)
 
     def lookup(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        need = set(units) - self.row.keys()
+        need = set(units)
+        need.difference_update(self.row)
         if need:
             if len(self.row) + len(need) > self.limit:
                 self.clear()
@@ -240,6 +244,17 @@ class UnitTable:
         return self.ids[at], self.size[at], n
 
 
+_TABLES: dict[str, UnitTable] = {}
+
+
+def unit_table(model_path: str) -> UnitTable:
+    """The table of this worker process, shared by its tasks."""
+    if model_path not in _TABLES:
+        _TABLES.clear()
+        _TABLES[model_path] = UnitTable(Model(model_path))
+    return _TABLES[model_path]
+
+
 def encode_texts(texts: list[str], units: UnitTable):
     """Ids, begins, ends (flat) and the number of pieces of each text, without end ids."""
     model = units.model
@@ -289,16 +304,18 @@ def _identity_spans(forms, begins, ends, counts, model: Model):
 
 
 def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: str = "text",
-           add_end: bool = True) -> DataFrame:
+           add_end: bool = True, decoded: bool = False) -> DataFrame:
     """(doc_id, ids, begins, ends): ids of every text with an end id, and the original
-    byte span of each piece (the end id has the empty span behind the text)."""
+    byte span of each piece (the end id has the empty span behind the text).  ``decoded``
+    adds the text that the ids decode to, in the same task, so that the ids need not
+    travel to another Python stage."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        model = Model(model_path)
-        units = UnitTable(model)
+        units = unit_table(model_path)
+        model = units.model
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, TASK_BYTES):
                 texts = part.column(text).fill_null("").to_pylist()
                 ids, begins, ends, n = encode_texts(texts, units)
                 off = np.concatenate([[0], np.cumsum(n)])
@@ -309,16 +326,22 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text: st
                     off = off + np.arange(len(off))
                 lists = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x.astype(np.int32)))
                          for x in (ids, begins, ends)]
-                yield pa.RecordBatch.from_arrays([part.column(id_column), *lists],
-                                                 names=[id_column, "ids", "begins", "ends"])
+                names = [id_column, "ids", "begins", "ends"]
+                if decoded:
+                    back = [decode_ids(x.tolist(), model) for x in np.split(ids, off[1:-1])]
+                    lists.append(pa.array(back, pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays([part.column(id_column), *lists], names=names)
 
     return docs.select(id_column, text).mapInArrow(
-        run, f"`{id_column}` {kind}, ids array<int>, begins array<int>, ends array<int>")
+        run, f"`{id_column}` {kind}, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decoded)
 
 
 def decode_ids(ids: list[int], model: Model) -> str:
     """The text of a list of ids, as the library's decode gives it."""
     surface, kinds = model.surface, model.kinds
+    if any(c in ids[:-1] for c in model.controls):
+        return model.processor.decode(ids)  # a control id inside parts runs of byte pieces
     data = b"".join([surface[i] for i in ids])
     if model.dummy or model.squeeze:
         first = next((i for i in ids if kinds[i] != _CONTROL), None)
@@ -333,7 +356,7 @@ def decode_ids(ids: list[int], model: Model) -> str:
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """Adds ``decoded`` to rows with a column ``ids``."""
     def run(batches):
-        model = Model(model_path)
+        model = unit_table(model_path).model
         for batch in batches:
             column = batch.column("ids")
             ids, off = column.flatten().to_numpy(), column.value_lengths().fill_null(0).to_numpy().cumsum()
@@ -351,10 +374,7 @@ def _ddl(df: DataFrame) -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode(table(spark, sf_dir, "documents"), model)
-    digest = encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.element_at("ends", -1).cast("long").alias("bytes_covered"))
-    return decode(digest, model).select("doc_id", "n_tokens", "ids_sha256",
-                                        F.sha2("decoded", 256).alias("decoded_sha256"), "bytes_covered")
+    encoded = encode(table(spark, sf_dir, "documents"), model, decoded=True)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("bytes_covered"))

@@ -113,13 +113,18 @@ def _shared(found: DataFrame) -> DataFrame:
     """(doc_id, th, gram, begin, end, seg, first, many): the segments whose gram stands in
     two documents or more, the first document of their words, and the number of different
     segments of the gram."""
+    if not found.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "th"])
     flat = found.select("doc_id", "th", F.explode(F.arrays_zip("gram", "begin", "end", "seg")).alias("s")).select(
         "doc_id", "th", "s.gram", "s.begin", "s.end", "s.seg")
-    grams = flat.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    rows = materialize(flat.join(grams.select("gram"), "gram").distinct(), "fm-shared")
-    first = rows.groupBy("gram", "seg").agg(F.min("doc_id").alias("first"))
+    # the small sides are tables of their own, so that both sides of each join are plain
+    # exchanges, whose hot partitions Spark splits
+    grams = materialize(flat.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+                        .filter("low < high").select("gram"), "fm-grams")
+    rows = materialize(flat.join(grams, "gram"), "fm-shared")
+    first = materialize(rows.groupBy("gram", "seg").agg(F.min("doc_id").alias("first")), "fm-first")
     many = first.groupBy("gram").agg(F.count("*").alias("many"))
-    return rows.join(first.join(many, "gram"), ["gram", "seg"])
+    return rows.join(materialize(first.join(many, "gram"), "fm-many"), ["gram", "seg"])
 
 
 def _segments(holders: DataFrame) -> DataFrame:
