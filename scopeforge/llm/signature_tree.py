@@ -324,9 +324,16 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, k: int = SHINGLE,
           similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): spanning forests of the links inside the candidate groups.
 
-    ``sets``: (doc_id, th, sig) with one document of each signature; ``groups``: (node, label)."""
+    ``sets``: (doc_id, th, sig, n_shingles) with one document of each signature; ``groups``: (node, label)."""
     count = groups.groupBy("label").agg(F.count("*").alias("members"))
-    members = groups.join(count, "label").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    # linked sets are of one size class or of neighbours: a large group is cut into pairs of
+    # neighbouring classes, each set in two of them, before blocks are made
+    size_class = F.floor(F.log(F.col("n_shingles")) / (math.log(1 / similarity) * 1.0001)).cast("int")
+    members = groups.join(count, "label").join(sets.select(F.col("sig").alias("node"), "n_shingles"), "node")
+    members = members.withColumn("scheme", F.explode(F.when(
+        F.col("members") > BLOCK, F.array(size_class, size_class + 1)).otherwise(F.array(F.lit(-1)))))
+    parts = members.groupBy("label", "scheme").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.drop("n_shingles").join(parts, ["label", "scheme"])
     packs = sized(groups.count(), PACK)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = members.withColumn("own", own).withColumn(
@@ -335,8 +342,8 @@ def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, k: int = SHINGLE,
     small = F.pmod(F.xxhash64("label"), F.lit(packs)).cast("string")
     members = members.select(
         F.col("node").alias("sig"), "label", F.when(lo == hi, F.lit(-1)).otherwise(F.when(F.col("own") == hi, 1).otherwise(0)).alias("side"),
-        F.when(F.col("blocks") == 1, small).otherwise(F.concat_ws(":", "label", lo, hi)).alias("shard"))
-    texts = members.join(sets, "sig").join(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), ["doc_id", "th"]).select(
+        F.when(F.col("scheme") < 0, small).otherwise(F.concat_ws(":", "label", "scheme", lo, hi)).alias("shard"))
+    texts = members.join(sets.drop("n_shingles"), "sig").join(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), ["doc_id", "th"]).select(
         "shard", "label", "side", "sig", "text")
 
     def run(group: pa.Table) -> pa.Table:
@@ -364,10 +371,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMIL
     sets = materialize(document_sets(docs, k), "shingle-sets")
     groups = connected(materialize(candidate_groups(docs, k, similarity), "shingle-candidates"))
     first = (sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig")
-             .agg(F.min(F.struct("doc_id", "th")).alias("d")).select("sig", "d.doc_id", "d.th"))
+             .agg(F.min(F.struct("doc_id", "th", "n_shingles")).alias("d"))
+             .select("sig", "d.doc_id", "d.th", "d.n_shingles"))
     edges = materialize(links(docs, first, groups, k, similarity), "shingle-links")
     labels = connected(edges)
-    named = first.drop("th").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
+    named = first.drop("th", "n_shingles").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
         "label", F.coalesce("label", "sig"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(smallest, "label").select("sig", "component_id")
