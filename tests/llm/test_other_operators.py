@@ -83,6 +83,26 @@ def test_template_text_is_left_out_where_no_element_tells():
     assert main_text(page.format("x"), learned) == "Story x begins\nand x ends"
 
 
+def test_template_is_confirmed_by_all_pages_of_a_host(spark, tmp_path):
+    page = "<body><h2>Top</h2><div>{0}</div><h1>Story {1} begins</h1><p>and {1} ends</p><pre>by {1}</pre></body>"
+    rows = [(i, "http://h.x/a", page.format("Mild today" if i != 70 else "Storm today", i)) for i in range(100)]
+    # copies of one page are one page; of the other host all pages hold the text
+    rows += [(i, "http://h.x/b", page.format("Mild today", "copied")) for i in range(100, 200)]
+    rows += [(i, "http://k.x/a", page.format("Mild today", i)) for i in range(200, 220)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in QUERIES["op9_wrapper_html"](spark, str(tmp_path)).collect()}
+    for i, url, html in rows:
+        name = "copied" if 100 <= i < 200 else i
+        told = "" if i >= 200 else "Storm today\n" if i == 70 else "Mild today\n"
+        assert got[i] == f"{told}Story {name} begins\nand {name} ends\nby {name}", i
+
+
+def test_text_other_than_the_templates_is_kept():
+    page = "<body><h2>{1}</h2><h1>Story {0} begins</h1><p>and {0} ends</p></body>"
+    learned = learn([page.format(i, "Always here") for i in range(6)])
+    assert main_text(page.format("x", "Only here"), learned) == "Only here\nStory x begins\nand x ends"
+
+
 def test_marked_parts_are_left_out():
     page = ("<header>h</header><div class='cookie-notice'>c</div><main><h1>A &lt;b</h1><p>one  two<br>three<p>four <i>x</i>y"
             "<div id=comments><p>no</p></div></main><aside>s</aside><form>f</form><script>var t='</p>'</script>")
