@@ -109,6 +109,21 @@ def test_marked_parts_are_left_out():
     assert main_text(page, None) == "A <b\none two three\nfour xy"
 
 
+def test_marks_do_not_take_the_article():
+    story = "<h1>Head</h1><p>one two three</p>"
+    for page in ("<article class='post no-sidebar'>{}</article>", "<div class='site right-sidebar'><article>{}</article></div>",
+                 "<div class='layout sidebar'><main>{}</main></div>", "<div class='article-body has-ads'>{}</div>",
+                 "<article><div class='entry-header'><h1>Head</h1></div><p>one two three</p></article>",
+                 "<main><div class='banner'><article>{}</article></div></main>", "<article class='related'>{}</article>",
+                 "<form><div class=top>{}</div></form>", "<form><article>{}</article></form>", "<div class=widget>{}</div>"):
+        assert main_text(page.format(story), None) == "Head\none two three", page
+    # marks still count beside the article, also on articles' comments
+    rest = ("<div class='right-sidebar sidebar'>s</div><div id=related-posts><article>r</article></div><form><p>f</p></form>"
+            "<div class=site-footer>f</div><section class=comments><article class=comment>c</article></section>")
+    assert main_text(f"<article>{story}{rest}</article>{rest}", None) == "Head\none two three"
+    assert main_text(f"<div class=page>{story}{rest.replace('article', 'div')}</div>", None) == "Head\none two three"
+
+
 def test_mix_comes_near_targets_and_repeats_alike(spark, sf_dir):
     rows = QUERIES["op10_mix_sources"](spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
