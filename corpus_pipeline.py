@@ -15,16 +15,16 @@ from scopeforge.session import materialize
 
 #: Near duplicates: words of a shingle and similarity.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Mean posterior below which a document counts as in no known language.
+#: Mean of the words' highest posteriors below which a document counts as in no known language.
 LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; without letters, or with no
-    language near half of the words, they go."""
+    """Documents whose words are in languages that the labelled ones teach, in one or mixed;
+    without letters, or with words that no language claims, they go."""
     chain = crf_langid.fit(crf_langid.training_rows(docs))
-    found = crf_langid.predict(docs, chain, docs.columns, names=("_lang_pred", "_score"))
-    return found.filter((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    found = crf_langid.predict(docs, chain, docs.columns, names=("_lang_pred", "_score", "_sure"))
+    return found.filter((F.col("_lang_pred") != "und") & (F.col("_sure") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

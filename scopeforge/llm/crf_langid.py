@@ -268,8 +268,8 @@ class Labeller:
         full = lengths > 0
         return rows, lengths, self.chain.posteriors(self.scores[rows], lengths[full])
 
-    def documents(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text."""
+    def documents(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and the mean of its words' highest posteriors of each text."""
         rows, lengths, post = self.words(texts)
         plain = self.plain[rows]
         owner = np.repeat(np.arange(len(texts)), lengths)
@@ -278,7 +278,8 @@ class Labeller:
                          for k in range(len(self.chain.languages))], 1) / np.maximum(n, 1)[:, None]
         best = mean.argmax(1)
         names = [self.chain.languages[k] if m else "und" for k, m in zip(best.tolist(), n.tolist())]
-        return names, np.where(n > 0, np.clip(mean[np.arange(len(texts)), best], 0, 1), 0.0)
+        sure = np.bincount(owner[plain], post[plain].max(1), len(texts)) / np.maximum(n, 1)
+        return names, np.where(n > 0, np.clip(mean[np.arange(len(texts)), best], 0, 1), 0.0), np.clip(sure, 0, 1)
 
 
 _LABELLERS: dict[str, Labeller] = {}
@@ -293,8 +294,9 @@ def labeller_of(chain: Chain) -> Labeller:
 
 
 def predict(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text",
-            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with the language and the score, called ``names``."""
+            names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the language and the score, called ``names``; a
+    third name is that of the mean of the words' highest posteriors."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(chain)  # weights: BUCKETS x languages; lexicon: LEXICON_WORDS a language
     own = docs.select(*dict.fromkeys([*keep, text]))
@@ -306,14 +308,15 @@ def predict(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text",
             for part in text_slices(batch, text, CHAIN_BYTES):
                 texts = part.column(text).fill_null("").to_pylist()
                 if labeller.chain.languages:
-                    found, score = labeller.documents(texts)
+                    found, *scores = labeller.documents(texts)
                 else:
-                    found, score = ["und"] * len(texts), np.zeros(len(texts))
+                    found, scores = ["und"] * len(texts), [np.zeros(len(texts))] * 2
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in keep], pa.array(found, pa.string()), pa.array(score, pa.float64())],
+                    [*[part.column(c) for c in keep], pa.array(found, pa.string()),
+                     *[pa.array(s, pa.float64()) for s in scores[:len(names) - 1]]],
                     names=[*keep, *names])
 
-    return own.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    return own.mapInArrow(run, f"{schema}, `{names[0]}` string, " + ", ".join(f"`{n}` double" for n in names[1:]))
 
 
 def op6_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:

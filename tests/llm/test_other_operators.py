@@ -156,3 +156,16 @@ def test_pipeline_keeps_one_of_each_group_and_reruns_alike(spark, sf_dir):
     assert kept[1] <= kept[0] and kept[2] < kept[1] and kept[3] <= kept[2]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == kept[-1]
+
+
+def test_documents_that_mix_languages_stay(spark, sf_dir):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang IS NOT NULL")
+    # a stretch of each of the four languages in turn
+    parts = docs.filter("size(split(text, ' ')) > 90").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text")).orderBy("lang").collect()
+    assert len(parts) == 4
+    mixed = " ".join(" ".join(r["text"].split()[i:i + 15]) for i in range(0, 90, 15) for r in parts)
+    more = docs.limit(1).withColumn("doc_id", F.lit(-1).cast("long")).withColumn("text", F.lit(mixed)).withColumn(
+        "lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, docs.unionByName(more), sf_dir)
+    assert [r.text for r in kept.filter("doc_id = -1").collect()] == [mixed]
