@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import crf_langid, imatch, mixture, quality_votes, sentencepiece_codec, signature_tree, substring_fm, token_files, tool_calls, wrapper_html
+from . import (crf_langid, hard_negatives, imatch, mixture, quality_votes, sentencepiece_codec, signature_tree, simhash_pivots,
+               substring_fm, token_files, tool_calls, whitening, wrapper_html)
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -15,9 +16,13 @@ QUERIES = {
     "op8_signature_tree": signature_tree.op8_signature_tree,
     "op9_wrapper_html": wrapper_html.op9_wrapper_html,
     "op10_mix_sources": mixture.op10_mix_sources,
+    "op11_angular_negatives": hard_negatives.op11_angular_negatives,
+    "op12_simhash_pivots": simhash_pivots.op12_simhash_pivots,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
     "op3_tool_calls": tool_calls.ORACLE,
     "op10_mix_sources": mixture.ORACLE,
+    "op11_angular_negatives": hard_negatives.ORACLE,
 }

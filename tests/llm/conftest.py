@@ -41,6 +41,12 @@ def edge_dir(spark, tmp_path_factory):
              (4, "http://h.x/c", "<p " * 50), (5, "http://h.x/d", html.replace("one", "x " * 20_000))]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumnRenamed("x", "x").selectExpr(
         "*", "'c' AS host", "'c' AS learned", "'c' AS place").coalesce(1).write.parquet(f"{path}/pages.parquet")
+    nan = float("nan")
+    vectors = [(0, [0.5, 0.25, 0.0], 1), (50, [0.5, 0.25, 0.0], 1), (50, [0.5, 0.25, 0.0], 1), (1, [0.4, 0.2, 0.1], 2), (2, [0.0, 0.0, 0.0], 2),
+               (3, None, 1), (4, [0.1, None, 0.2], 1), (5, [nan, 0.0, 0.0], 1), (6, [0.1, 0.1, 0.1], None), (None, [0.3, 0.3, 0.0], 2),
+               (7, [], 2), (8, [0.5], 2), (9, [1e30, -1e30, 0.0], 3)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").selectExpr(
+        "*", "'c' AS rid", "'c' AS x", "'c' AS score", "'c' AS norm").coalesce(2).write.parquet(f"{path}/embeddings.parquet")
     chats = [(0, 0, "user", None), (0, 1, "assistant", None), (1, 0, "user", "a b c d e"), (1, 0, "user", "a b c d e"),
              (1, 1, "assistant", 'say "hi"\n'), (2, 1, "assistant", "lost"), (None, 0, "user", "q w e r t"), (3, None, "user", "u"),
              (4, 0, "system", "s"), (4, 1, "tool", "t")]
@@ -52,6 +58,6 @@ def edge_dir(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty_dir(spark, edge_dir, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "pages", "conversations"):
+    for name in ("documents", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{edge_dir}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{path}/{name}.parquet")
     return path

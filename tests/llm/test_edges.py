@@ -4,7 +4,7 @@ import pytest
 
 from scopeforge.llm.registry import QUERIES
 
-ROWS = {"op9_wrapper_html": 7, "op3_tool_calls": 8}
+ROWS = {"op9_wrapper_html": 7, "op3_tool_calls": 8, "op11_angular_negatives": 7, "op13_whitening": 24}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
