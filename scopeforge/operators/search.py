@@ -17,27 +17,55 @@ from ..functions.kinds import highlight_kind, symbol_kind
 from ..functions.paths import absolute_path
 from ..functions.text import prefix_match
 from .ranges import range_join
-from .skew import BROADCAST_MAX_ROWS, broadcast_if_small, count_at_most, salted_join
+from .skew import BROADCAST_MAX_ROWS, broadcast_if_small, salted_join
 from .stats import ScoreStats
 from ..session import materialize
+from ..sinks.index import bucket_of
 
 DEFAULT_ROOT = "/workspace"
 # A join key of the index is salted into parts of this many rows; tests lower it to
 # exercise the salted path.
 SALT_MIN_ROWS = 100_000
+# Names of a search that are pushed to the scan of the group tables.
+FEW_NAMES = 200
 # Scores that are equal to this many digits are ties.
 SCORE_DIGITS = 9
 _U = ["seq", "name", "node_type", "category", "scope_path", "class_scope", "start_col",
       "end_col", "path_parts", "user_space"]
 
 
-def point_lookup(probes: DataFrame, symbols: DataFrame, usage_only: bool, block: int = 256) -> DataFrame:
+def of_files(symbols: DataFrame, files: DataFrame, buckets: int | None) -> DataFrame:
+    """The part of a bucketed index that the files (file_id) of a search can be in: only
+    their buckets are read, and in these only row groups in their range of ids."""
+    if buckets is None or "bucket" not in symbols.columns:
+        return symbols
+    own = files.groupBy(bucket_of("file_id", buckets).alias("bucket")).agg(
+        F.min("file_id").alias("low"), F.max("file_id").alias("high")).collect()  # <= buckets rows
+    own = [r for r in own if r["low"] is not None]
+    if not own:
+        return symbols.limit(0)
+    if len(own) < buckets:
+        symbols = symbols.filter(F.col("bucket").isin(sorted(r["bucket"] for r in own)))
+    return symbols.filter(F.col("file_id").between(min(r["low"] for r in own), max(r["high"] for r in own)))
+
+
+def of_names(table: DataFrame, names: DataFrame, column: str = "name") -> DataFrame:
+    """A table cut to the names of a search, if these are few: a filter that reaches the scan."""
+    few = names.select(F.col(names.columns[0]).alias("n")).distinct().limit(FEW_NAMES + 1).collect()
+    return table if len(few) > FEW_NAMES else table.filter(F.col(column).isin([r["n"] for r in few]))
+
+
+def point_lookup(probes: DataFrame, symbols: DataFrame, usage_only: bool, block: int = 256,
+                 buckets: int | None = None) -> DataFrame:
     """Q-1 (usages only) / Q-2 (any category): the one symbol on the probe's line
     whose span covers the column, ends included (FN-5).  Ties: narrowest span,
-    then start column, then emission order.  Probes without a hit are dropped."""
+    then start column, then emission order.  Probes without a hit are dropped.
+    ``buckets``: of an index that has its ``bucket`` column."""
     # the probe table is written once and broadcast when its size is checked small;
     # otherwise the binned join shuffles both sides with bounded groups
-    probes, _ = broadcast_if_small(materialize(probes, "probes"))
+    probes = materialize(probes, "probes")
+    symbols = of_files(symbols, probes, buckets)
+    probes, _ = broadcast_if_small(probes)
     s = symbols.filter(F.col("category") == "usage") if usage_only else symbols
     s = s.select("file_id", "line", *[F.col(c).alias("u_" + c) for c in _U])
     j = range_join(probes, s, ["file_id", "line"], "col", "u_start_col", "u_end_col", block=block)
@@ -132,20 +160,13 @@ def _top_k(df: DataFrame, k: int) -> DataFrame:
             .withColumn("rank", F.col("_rn").cast("bigint")).drop("_rn"))
 
 
-def _candidates(spark, probe_side: DataFrame, index: DataFrame, keys: list[tuple[str, str]],
-                rows_bound: int | None = None) -> DataFrame:
+def _candidates(spark, probe_side: DataFrame, index: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
     """Join the probe side to the index on ``keys`` (probe column, index column).
 
-    The probe side is broadcast when its row count is checked to be small;
-    otherwise both sides shuffle and hot index keys are salted (J-2 skew)."""
-    if rows_bound is not None and rows_bound <= BROADCAST_MAX_ROWS:
-        # the caller proved the row count (one row per already counted probe)
-        ps, small = F.broadcast(probe_side), True
-    else:
-        # materialise the probe side once: it is counted for the broadcast decision
-        # and then joined, without computing it twice
-        probe_side = materialize(probe_side, "probe-side")
-        ps, small = broadcast_if_small(probe_side, BROADCAST_MAX_ROWS)
+    The probe side is written once, and broadcast when its rows and bytes are checked to
+    be few; otherwise both sides shuffle and hot index keys are salted (J-2 skew)."""
+    probe_side = materialize(probe_side, "probe-side")
+    ps, small = broadcast_if_small(probe_side, BROADCAST_MAX_ROWS)
     if small:
         cond = None
         for pc, ic in keys:
@@ -166,32 +187,38 @@ def scope_key(col: str = "scope_path") -> Column:
     return F.concat(F.size(col).cast("string"), F.lit(":"), F.array_join(col, "\u0001"))
 
 
+GROUP_KEYS = ["name", "node_type", "scope_key"]
+_TIES = ["file_id", "line", "start_col", "seq"]
+
+
+def first_members(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group in tie order (a partial ``WindowGroupLimit``
+    runs before the shuffle)."""
+    tie = Window.partitionBy(*GROUP_KEYS).orderBy(*_TIES)
+    return rows.withColumn("_m", F.row_number().over(tie)).filter(F.col("_m") <= limit).drop("_m")
+
+
 def scope_groups(index: DataFrame, category: str | None, limit: int) -> tuple[DataFrame, DataFrame]:
     """Index pre-aggregated for cross-file search: (name, node_type, scope_key) groups
-    with their member count, and each group's first ``limit`` members in tie order
-    (a partial ``WindowGroupLimit`` runs before the shuffle).  Computed once per
-    index version and stored beside it."""
+    with their member count and first member, and each group's first ``limit`` members in
+    tie order.  Computed once per index version and stored beside it."""
     idx = index.filter(F.col("category") == category) if category else index
     idx = idx.withColumn("scope_key", scope_key())
-    gkeys = ["name", "node_type", "scope_key"]
-    groups = idx.groupBy(*gkeys).agg(F.count(F.lit(1)).alias("n"), F.first("scope_path").alias("scope_path"))
-    tie = Window.partitionBy(*gkeys).orderBy("file_id", "line", "start_col", "seq")
-    members = idx.withColumn("_m", F.row_number().over(tie)).filter(F.col("_m") <= limit).drop("_m", "scope_path")
-    return groups, members
+    groups = idx.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("n"), F.first("scope_path").alias("scope_path"),
+                                          F.min(F.struct(*_TIES)).alias("first"))
+    return groups, first_members(idx.drop("scope_path"), limit)
 
 
 def _probe_side(spark: SparkSession, u: DataFrame, stats: ScoreStats, clauses: Column,
-                directions: list[str]) -> tuple[DataFrame, list[str], int]:
-    """One row per probe: name, allowed-type map and weighted clauses.  Also
-    returns a proven upper bound of its row count (the lookup rows, counted once)."""
+                directions: list[str]) -> tuple[DataFrame, list[str]]:
+    """One row per probe: name, allowed-type map and weighted clauses."""
     wc = _weighted_clauses(u, clauses, stats)
     probe_side = _allowed_types(spark, u, directions, stats).join(wc, "probe_id", "left") \
         .withColumn("clauses", F.coalesce("clauses", F.array().cast(
             "array<struct<pos:int,term:string,required:boolean,w:double>>")))
     extra = [c for c in probe_side.columns if c.startswith("p_") and c != "p_file_id"]
     return probe_side.select(
-        "probe_id", F.col("file_id").alias("p_file_id"), "u_name", "allowed", "clauses", *extra), extra, \
-        count_at_most(u, BROADCAST_MAX_ROWS)
+        "probe_id", F.col("file_id").alias("p_file_id"), "u_name", "allowed", "clauses", *extra), extra
 
 
 def _search_grouped(spark: SparkSession, u: DataFrame, index: DataFrame, stats: ScoreStats,
@@ -207,44 +234,50 @@ def _search_grouped(spark: SparkSession, u: DataFrame, index: DataFrame, stats:
     kept group expands to its stored first ``limit`` members.  The result equals
     ranking every (probe, symbol) pair.
     """
-    probe_side, extra, bound = _probe_side(spark, u, stats, clauses, directions)
+    probe_side, extra = _probe_side(spark, u, stats, clauses, directions)
     grp, members, built = groups if groups is not None else (*scope_groups(index, category, limit), limit)
     if limit > built:
         raise ValueError(f"the stored groups keep {built} members, fewer than the {limit} asked for")
-    gkeys = ["name", "node_type", "scope_key"]
-    pg = _type_weights(_candidates(spark, probe_side, grp, [("u_name", "name")], bound))
+    grp, members = of_names(grp, u.select("u_name")), of_names(members, u.select("u_name"))
+    pg = _type_weights(_candidates(spark, probe_side, grp, [("u_name", "name")]))
     pg = pg.filter(_required_ok()).withColumn("score", F.round(_score(stats), SCORE_DIGITS))
+    # a group behind ``limit`` others, by score and first member, has as many symbols before
+    # it: each task keeps that many groups of a probe before the shuffle
+    best = Window.partitionBy("probe_id").orderBy(F.col("score").desc(), "first")
+    pg = pg.select("probe_id", "score", "n", "first", *extra, *GROUP_KEYS).withColumn(
+        "_rn", F.row_number().over(best)).filter(F.col("_rn") <= limit).drop("_rn", "first")
     by_score = Window.partitionBy("probe_id").orderBy(F.col("score").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("probe_id", "score")
     pg = pg.withColumn("_higher", F.sum("n").over(by_score) - F.sum("n").over(same)) \
         .filter(F.col("_higher") < limit)
-    pg = pg.select("probe_id", "score", *extra, *gkeys)
-    cand = pg.join(members, gkeys, "inner")
+    pg = pg.select("probe_id", "score", *extra, *GROUP_KEYS)
+    cand = pg.join(members, GROUP_KEYS, "inner")
     return _top_k(cand, limit)
 
 
 def _search_same_file(spark: SparkSession, u: DataFrame, index: DataFrame, stats: ScoreStats,
-                      clauses: Column, directions: list[str], category: str | None, limit: int) -> DataFrame:
+                      clauses: Column, directions: list[str], category: str | None, limit: int,
+                      buckets: int | None = None) -> DataFrame:
     """Same-file search: candidates share the probe's file, so the pairs per probe
     are bounded by the file's occurrences of one name; they are joined directly
     (the probe side is broadcast after a size check) and scored in the row."""
-    probe_side, _, bound = _probe_side(spark, u, stats, clauses, directions)
-    idx = index.filter(F.col("category") == category) if category else index
+    probe_side, _ = _probe_side(spark, u, stats, clauses, directions)
+    idx = of_files(index.filter(F.col("category") == category) if category else index, u, buckets)
     keys = [("p_file_id", "file_id"), ("u_name", "name")]
-    cand = _type_weights(_candidates(spark, probe_side, idx, keys, bound))
+    cand = _type_weights(_candidates(spark, probe_side, idx, keys))
     cand = cand.filter(_required_ok()).withColumn("score", F.round(_score(stats), SCORE_DIGITS))
     return _top_k(cand, limit)
 
 
 def find_definitions(spark: SparkSession, probes: DataFrame, index: DataFrame, stats: ScoreStats,
                      limit: int = rules.DEFINITION_LIMIT,
-                     groups: tuple[DataFrame, DataFrame, int] | None = None) -> DataFrame:
+                     groups: tuple[DataFrame, DataFrame, int] | None = None, buckets: int | None = None) -> DataFrame:
     """Q-3: assignments with the probe's name, a compatible type and the scope rule of
     the usage type; BM25 score; top ``limit`` per probe.  ``groups`` are the stored
     ``scope_groups(index, 'assignment', limit)`` of the index version, if any, with the
-    limit that they were built with."""
-    u = point_lookup(probes, index, usage_only=True)
+    limit that they were built with; ``buckets`` as in ``point_lookup``."""
+    u = point_lookup(probes, index, usage_only=True, buckets=buckets)
     # the answer depends on the symbol under the cursor only by these columns, so probes
     # that agree in them are searched once and share the hits
     same = ["u_name", "u_node_type", "u_class_scope", "u_scope_path"]
@@ -260,12 +293,12 @@ def find_definitions(spark: SparkSession, probes: DataFrame, index: DataFrame, s
 
 
 def find_references(spark: SparkSession, probes: DataFrame, index: DataFrame, stats: ScoreStats,
-                    limit: int = rules.REFERENCE_LIMIT) -> DataFrame:
+                    limit: int = rules.REFERENCE_LIMIT, buckets: int | None = None) -> DataFrame:
     """Q-4: symbols of the probed file with the same name, a type allowed by either
     map (counted per map) and the scope rule; top ``limit`` per probe."""
-    u = materialize(point_lookup(probes, index, usage_only=False), "lookup")
+    u = materialize(point_lookup(probes, index, usage_only=False, buckets=buckets), "lookup")
     u = u.withColumn("p_new_name", F.col("new_name")) if "new_name" in probes.columns else u
-    return _search_same_file(spark, u, index, stats, reference_clauses(), ["usage", "assignment"], None, limit)
+    return _search_same_file(spark, u, index, stats, reference_clauses(), ["usage", "assignment"], None, limit, buckets)
 
 
 def locations(hits: DataFrame, root: str = DEFAULT_ROOT) -> DataFrame:

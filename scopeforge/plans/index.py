@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.stats import ScoreStats, field_stats, idf, term_stats
 from ..session import shared_dir, write_once
-from ..sinks.index import write_symbols
+from ..sinks.index import bucket_count, write_symbols
 from ..sources import fixtures as fx
 
 
@@ -21,7 +21,8 @@ def _code_version() -> str:
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1()
     for rel in ("rules.py", "sources/fixtures.py", "operators/extract.py", "functions/text.py",
-                "operators/stats.py", "sinks/index.py"):
+                "operators/stats.py", "operators/search.py", "operators/upkeep.py", "sinks/index.py", "sinks/versions.py",
+                "sources/roots.py", "streaming/passes.py"):
         with open(os.path.join(here, rel), "rb") as f:
             h.update(f.read())
     return h.hexdigest()[:12]
@@ -52,7 +53,12 @@ def index_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 def symbol_index(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> DataFrame:
-    """Symbols of the documents fixture as a stored Parquet index.
+    """Symbols of the documents fixture as a stored Parquet index, without their bucket."""
+    return bucketed_index(spark, sf_dir, buckets)[0].drop("bucket")
+
+
+def bucketed_index(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> tuple[DataFrame, int]:
+    """(symbols with their bucket, number of buckets) of the stored index.
 
     Writing the index cuts the lineage (tokenising is done once, later scans read
     columnar data with pushdown) and makes it survive executor loss.
@@ -61,7 +67,7 @@ def symbol_index(spark: SparkSession, sf_dir: str, buckets: int | None = None) -
     b = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     write_once(spark, f"{path}/symbols", lambda p: write_symbols(
         fx.document_symbols(spark, fx.table(spark, sf_dir, "documents")), p, buckets=b))
-    return spark.read.parquet(f"{path}/symbols").drop("bucket")
+    return spark.read.parquet(f"{path}/symbols"), bucket_count(spark, f"{path}/symbols")
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> ScoreStats:
@@ -79,10 +85,12 @@ def index_stats(spark: SparkSession, sf_dir: str) -> ScoreStats:
 def definition_groups(spark: SparkSession, sf_dir: str, limit: int) -> tuple[DataFrame, DataFrame, int]:
     """Scope groups of the assignments, their first ``limit`` members and the limit,
     stored once per index version (input of cross-file definition search)."""
-    from ..operators.search import scope_groups
+    from ..operators.search import GROUP_KEYS, scope_groups
     path = index_path(spark, sf_dir)
     idx = symbol_index(spark, sf_dir)
     groups, members = scope_groups(idx, "assignment", limit)
-    write_once(spark, f"{path}/def_groups", lambda p: groups.write.parquet(p))
-    write_once(spark, f"{path}/def_members_{limit}", lambda p: members.write.parquet(p))
+    by_name = lambda df: df.repartitionByRange(*GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS)
+    # in order of the name, so that a search for few names reads few row groups
+    write_once(spark, f"{path}/def_groups", lambda p: by_name(groups).write.parquet(p))
+    write_once(spark, f"{path}/def_members_{limit}", lambda p: by_name(members).write.parquet(p))
     return spark.read.parquet(f"{path}/def_groups"), spark.read.parquet(f"{path}/def_members_{limit}"), limit

@@ -10,7 +10,7 @@ from ..operators import search as S
 from ..operators.stats import field_stats, term_stats
 from ..sources import fixtures as fx
 from . import sqlparts as sp
-from .index import definition_groups, index_stats, symbol_index
+from .index import bucketed_index, definition_groups, index_stats, symbol_index
 
 ROOT = S.DEFAULT_ROOT
 PATTERN_PLAIN = "th"
@@ -71,9 +71,9 @@ def symbol_probes(index: DataFrame) -> DataFrame:
 
 
 def _refs(spark, sf_dir):
-    idx = symbol_index(spark, sf_dir)
+    idx, buckets = bucketed_index(spark, sf_dir)
     stats = index_stats(spark, sf_dir)
-    return S.find_references(spark, symbol_probes(idx), idx, stats)
+    return S.find_references(spark, symbol_probes(idx), idx, stats, buckets=buckets)
 
 
 # ---------------------------------------------------------------- queries
@@ -87,16 +87,16 @@ def q_symbol_search_regex(spark, sf_dir):
 
 
 def q_point_lookup_usage(spark, sf_dir):
-    idx = symbol_index(spark, sf_dir)
-    u = S.point_lookup(line_probes(spark, sf_dir), idx, usage_only=True)
+    idx, buckets = bucketed_index(spark, sf_dir)
+    u = S.point_lookup(line_probes(spark, sf_dir), idx, usage_only=True, buckets=buckets)
     return u.select("probe_id", F.col("u_seq").alias("seq"), F.col("u_name").alias("name"),
                     F.col("u_node_type").alias("node_type"), F.col("u_start_col").alias("start_col"),
                     F.col("u_end_col").alias("end_col"))
 
 
 def q_point_lookup_any(spark, sf_dir):
-    idx = symbol_index(spark, sf_dir)
-    u = S.point_lookup(line_probes(spark, sf_dir), idx, usage_only=False)
+    idx, buckets = bucketed_index(spark, sf_dir)
+    u = S.point_lookup(line_probes(spark, sf_dir), idx, usage_only=False, buckets=buckets)
     return u.select("probe_id", F.col("u_seq").alias("seq"), F.col("u_name").alias("name"),
                     F.col("u_category").alias("category"), F.col("u_start_col").alias("start_col"),
                     F.col("u_end_col").alias("end_col"))
@@ -104,11 +104,11 @@ def q_point_lookup_any(spark, sf_dir):
 
 def _definitions(branch):
     def run(spark, sf_dir):
-        idx = symbol_index(spark, sf_dir)
+        idx, buckets = bucketed_index(spark, sf_dir)
         stats = index_stats(spark, sf_dir)
         probes = usage_probes(idx, DEF_BRANCHES[branch][1]())
         hits = S.find_definitions(spark, probes, idx, stats,
-                                  groups=definition_groups(spark, sf_dir, rules.DEFINITION_LIMIT))
+                                  groups=definition_groups(spark, sf_dir, rules.DEFINITION_LIMIT), buckets=buckets)
         return hits.select("probe_id", "rank", S.absolute_path("path_parts", "user_space", ROOT).alias("path"),
                            "name", "node_type", "line", "start_col", "end_col", F.round("score", 6).alias("score"))
     return run
@@ -239,8 +239,8 @@ probes AS (
   WHERE category = 'usage' AND file_id % {QUERY_FILES} = 0 AND {pred})"""
 
 
-def sql_definitions(branch: str) -> str:
-    pred = DEF_BRANCHES[branch][0]
+def sql_definitions_of(pred: str, symbols: str) -> str:
+    """The ranked definitions of every usage of the query files that ``pred`` takes."""
     local = ", ".join(sp.q(t) for t in rules.LOCAL_SCOPE_TYPES)
     boost = rules.RECEIVER_SCOPE_BOOST
     clauses = f"""
@@ -255,8 +255,12 @@ def sql_definitions(branch: str) -> str:
        WHEN u.u_node_type IN ({local}) THEN list_has_all(d.scope_path, u.u_scope_path)
        WHEN u.u_node_type = 'Send' AND len(u.u_class_scope) > 0 THEN list_has_all(d.scope_path, u.u_class_scope)
        ELSE TRUE END"""
-    return _with(sp.symbols_cte(), sp.STATS, _usage_probes_sql(pred), _lookup_sql(True)) + _scored_sql(
-        clauses, ("usage",), "AND d.category = 'assignment'", "", required, rules.DEFINITION_LIMIT) + f"""
+    return _with(symbols, sp.STATS, _usage_probes_sql(pred), _lookup_sql(True)) + _scored_sql(
+        clauses, ("usage",), "AND d.category = 'assignment'", "", required, rules.DEFINITION_LIMIT)
+
+
+def sql_definitions(branch: str) -> str:
+    return sql_definitions_of(DEF_BRANCHES[branch][0], sp.symbols_cte()) + f"""
 SELECT probe_id, rank, {_abs_path()} AS path, name, node_type, line, start_col, end_col, round(score, 6) AS score FROM ranked"""
 
 

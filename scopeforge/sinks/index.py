@@ -33,7 +33,7 @@ def write_symbols(symbols: DataFrame, path: str, buckets: int = 64, mode: str =
     """SNK-1: write symbol rows with their bucket column, and the number of buckets beside
     them: a later pass reads it there, whatever its own settings are."""
     (symbols.withColumn("bucket", bucket_of("file_id", buckets))
-     .hint("rebalance", "bucket")
+     .hint("rebalance", "bucket").sortWithinPartitions("bucket", *[c for c in ("file_id", "line") if c in symbols.columns])
      .write.mode(mode).partitionBy("bucket").parquet(path))
     layout = symbols.sparkSession.createDataFrame([(buckets,)], "buckets int")
     layout.coalesce(1).write.mode("overwrite").parquet(layout_path(path))

@@ -303,3 +303,68 @@ def write_document_tree(docs: DataFrame, path: str) -> None:
     top = F.when(F.col("source").isin(NODE_MODULES_SOURCES), F.lit("node_modules")).otherwise(F.lit("app"))
     (docs.select(top.alias("top"), "lang", "source", text.alias("value"))
      .write.mode("overwrite").partitionBy("top", "lang", "source").text(path))
+
+
+# ---------------------------------------------------------------------------
+# Pages as source roots on the shared file system (FIXTURES.md §2.7)
+LOCK_LINES = ["GEM", "  specs:", "    dep (1.0)", "      other (2.0)", "    rough (1.0)", "    gone (1.0)"]
+#: Folder of a page, by its number: a workspace with a nested included folder, a pruned and
+#: a passing one; a dependency, one with unreadable files, and one that no lockfile names.
+PAGE_FOLDERS = [("app/src", "page_id % 8 IN (0, 1, 2)"), ("app/old", "page_id % 8 = 3"),
+                ("app/shared", "page_id % 8 = 4"), ("app/tmp", "page_id % 8 = 5"),
+                ("home/gems/dep-1.0", "page_id % 32 IN (14, 22, 30)"), ("home/gems/rough-1.0", "page_id % 32 = 6"),
+                ("home/gems/other-2.0", "page_id % 8 = 7")]
+NEW_PAGE = 1_000_000        # numbers of pages that come in the second pass
+INTERFACE_SLOTS = (11, 16)  # tokens at index mod 24 in this range are a block and its content
+
+
+def _write_pages(pages: DataFrame, path: str, text) -> None:
+    """One file ``page=<number>/part-*.txt`` a page; folders that are there are replaced."""
+    (pages.select("page", text.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("page").text(path))
+
+
+def write_page_tree(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The roots as the first pass finds them."""
+    pages = table(spark, sf_dir, "pages").withColumn("page", F.col("page_id")).withColumn("html", F.coalesce("html", F.lit("")))
+    for folder, where in PAGE_FOLDERS:
+        bad = F.concat(F.unhex(F.lit("FF")).cast("string"), "html")
+        _write_pages(pages.filter(where), f"{path}/{folder}", bad if "rough" in folder else F.col("html"))
+    lock = spark.createDataFrame([("\n".join(LOCK_LINES),)], "value string")
+    # compressed, so that its part file is no source file of the tree
+    lock.coalesce(1).write.mode("overwrite").option("compression", "gzip").text(f"{path}/app/Gemfile.lock")
+
+
+def change_page_tree(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """What happens before the second pass: files change (some no longer parse), a folder
+    goes, files come, and the unreadable ones are mended."""
+    from ..session import delete_path
+    pages = table(spark, sf_dir, "pages").withColumn("page", F.col("page_id")).withColumn("html", F.coalesce("html", F.lit("")))
+    changed = F.when(F.col("page_id") % 32 == 0, F.concat(F.lit("changed "), "html")).otherwise(F.concat("html", F.lit(" ###")))
+    _write_pages(pages.filter("page_id % 16 = 0"), f"{path}/app/src", changed)
+    _write_pages(pages.filter("page_id % 8 = 1").withColumn("page", F.col("page_id") + NEW_PAGE), f"{path}/app/new", F.col("html"))
+    _write_pages(pages.filter("page_id % 32 = 6"), f"{path}/home/gems/rough-1.0", F.col("html"))
+    delete_path(spark, f"{path}/app/old")
+
+
+def page_key():
+    return F.regexp_extract("path", r"page=(\d+)", 1).cast("bigint")
+
+
+def page_symbols(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Symbols of a tree's files: tokens as in the documents; a file that is indexed for its
+    interface has none of its blocks (EXT-7)."""
+    docs = files.select(F.col("file_id").alias("doc_id"), F.lit("tree").alias("lang"), F.lit("page").alias("source"), "text")
+    own = document_symbols(spark, docs).drop("user_space").join(files.select("file_id", "user_space", "interface_only"), "file_id")
+    slot = F.col("seq") % SEQ_LINE_SHIFT % len(DOC_TOKEN_KINDS)
+    return own.filter(~(F.col("interface_only") & slot.between(*INTERFACE_SLOTS))).select(*SYMBOL_COLUMNS)
+
+
+def page_messages(files: DataFrame) -> DataFrame:
+    """The parser's messages of a tree's files: ``###`` ends parsing, ``<br>`` is a warning."""
+    zero = F.lit(0).cast("bigint")
+    found = F.array(F.struct(F.lit("###").alias("mark"), F.lit(False).alias("parse_ok")),
+                    F.struct(F.lit("<br>").alias("mark"), F.lit(True).alias("parse_ok")))
+    return (files.withColumn("m", F.explode(found)).filter(F.expr("contains(text, m.mark)"))
+            .select("file_id", zero.alias("start_line"), zero.alias("start_col"), zero.alias("end_line"), zero.alias("end_col"),
+                    F.concat(F.lit("found "), "m.mark").alias("message"), "m.parse_ok"))
