@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extract_queries, io_queries, pass_queries, search_queries
+from . import extract_queries, io_queries, pass_queries, program_queries, search_queries
 
-_FAMILIES = [search_queries, extract_queries, io_queries, pass_queries]
+_FAMILIES = [search_queries, extract_queries, io_queries, pass_queries, program_queries]
 
 
 def all_queries():

@@ -272,10 +272,15 @@ probes AS (
 
 
 def _refs_sql() -> str:
+    return sql_references_of(sp.symbols_cte())
+
+
+def sql_references_of(symbols: str) -> str:
+    """The ranked references of every symbol of the query files."""
     local = ", ".join(sp.q(t) for t in rules.LOCAL_SCOPE_TYPES)
     clauses = "SELECT probe_id, unnest(u_scope_path) AS term, 1.0 AS boost FROM u"
     required = f"(u.u_node_type NOT IN ({local}) OR list_has_all(d.scope_path, u.u_scope_path))"
-    return _with(sp.symbols_cte(), sp.STATS, REF_PROBES_SQL, _lookup_sql(False)) + _scored_sql(
+    return _with(symbols, sp.STATS, REF_PROBES_SQL, _lookup_sql(False)) + _scored_sql(
         clauses, ("usage", "assignment"), "", "AND d.file_id = u.file_id", required, rules.REFERENCE_LIMIT)
 
 

@@ -198,7 +198,7 @@ def customer_const_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n.name").filter(F.col("name").isNotNull())
 
 
-def call_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def call_tree_nodes(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """One file per order: a Send (method from the priority) whose receiver is the
     customer constant (a Const when the order status is F, else an Lvar) with its
     nation / region qualifiers, and one argument per line item (Sym for return
@@ -206,12 +206,14 @@ def call_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: file_id, node_id, parent_id, slot, child_ix, kind, name, pre, post.
     """
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders") if orders is None else orders
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     methods = spark.createDataFrame(PRIORITY_METHODS, "o_orderpriority string, method string")
     li = numbered_lineitems(spark, sf_dir)
+    if orders is not None:
+        li = li.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     nargs = li.groupBy("l_orderkey").agg(F.max("arg_ix").alias("max_ix"))
     calls = (o.join(F.broadcast(methods), "o_orderpriority", "left")
              .join(nargs, o.o_orderkey == nargs.l_orderkey, "left")
@@ -247,14 +249,15 @@ HEAD_NODES = 8              # numbers before the call tree's own
 NODE_CHARS, LINE_CHARS = 16, 64
 
 
-def program_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, lines): every order's call tree as the body of a method in a class.
+def program_nodes(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, lines): every order's call tree (of ``orders``, if given) as the body of a method in a class.
 
     class S<status>::Order, an alias (new name a symbol, old name one for even customers),
     and ``def run`` (``def self.run`` for odd customers) around the call.  A node with
     number ``pre`` stands at character 16 * (pre + 8); lines have 64 characters."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), "o_orderstatus", "o_custkey")
-    tree = call_tree_nodes(spark, sf_dir).withColumn("parent_id", F.when(F.col("node_id") == 0, -2).otherwise(
+    all_orders = table(spark, sf_dir, "orders") if orders is None else orders
+    o = all_orders.select(F.col("o_orderkey").alias("file_id"), "o_orderstatus", "o_custkey")
+    tree = call_tree_nodes(spark, sf_dir, orders).withColumn("parent_id", F.when(F.col("node_id") == 0, -2).otherwise(
         F.col("parent_id")).cast("bigint")).withColumn("slot", F.when(F.col("node_id") == 0, "body").otherwise(F.col("slot")))
     last = tree.filter("node_id = 0").select("file_id", F.col("post").alias("last"))
     odd = F.col("o_custkey") % 2 != 0
@@ -368,3 +371,20 @@ def page_messages(files: DataFrame) -> DataFrame:
     return (files.withColumn("m", F.explode(found)).filter(F.expr("contains(text, m.mark)"))
             .select("file_id", zero.alias("start_line"), zero.alias("start_col"), zero.alias("end_line"), zero.alias("end_col"),
                     F.concat(F.lit("found "), "m.mark").alias("message"), "m.parse_ok"))
+
+
+def edited_orders(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(programs that an edit changes, with their new call; programs that it removes)."""
+    gone = orders.filter("o_orderkey % 11 = 0")
+    changed = orders.filter("o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0").withColumn("o_orderpriority", F.lit("1-URGENT"))
+    return changed, gone
+
+
+def program_symbols(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Symbols of the programs by the whole extraction, with their file columns."""
+    from ..operators.extract import extract_symbols
+    from ..session import materialize
+    nodes, lines = program_nodes(spark, sf_dir, orders)
+    found = extract_symbols(spark, nodes, materialize(lines, "program-lines"))
+    return found.withColumn("path_parts", F.array(F.lit("app"), F.col("file_id").cast("string"))).withColumn(
+        "user_space", F.col("file_id") % 10 != 0).select(*SYMBOL_COLUMNS)

@@ -129,6 +129,33 @@ def _registry(spark, roots: DataFrame, scan: DataFrame, bad: DataFrame, done: Da
     return now.unionByName(done.select("root", "source", "status"))
 
 
+def change_files(spark: SparkSession, home: str, events: DataFrame, extract: Callable[[DataFrame], DataFrame],
+                 limit: int = rules.DEFINITION_LIMIT) -> Snapshot | None:
+    """ST-4 / ST-7: events (file_id, version, event_type, length, ...) onto the index at ``home``.
+
+    Of each file the last event by version counts, if the index holds no later one: late and
+    repeated events change nothing.  The symbols of a file become those that ``extract``
+    finds for its event; a ``delete`` leaves none.  The versions are a table of the index,
+    bucketed as the symbols, and published with them."""
+    draft = Store(spark, home).begin()
+    last = events.groupBy("file_id").agg(F.max(F.struct("version", *[c for c in events.columns if c not in ("file_id", "version")]))
+                                         .alias("e")).select("file_id", "e.*")
+    if draft.base:
+        held = draft.base.table("files").select("file_id", F.col("version").alias("_held"))
+        last = last.join(held, "file_id", "left").filter("_held IS NULL OR version > _held").drop("_held")
+    last = materialize(last, "last-events")
+    if nothing_changed(last):
+        return None
+    came = materialize(extract(last.filter("event_type <> 'delete'")), "came")
+    files = last.select("file_id", "version", "length")
+    if draft.base is None:
+        info = _first(spark, draft, came, files, limit)
+    else:
+        info = _next(draft, came, files.select("file_id"), limit)
+        draft.replace("files", files, files.select("file_id"))
+    return draft.publish(info | {"limit": limit, "n_changed": last.count()})
+
+
 def _first(spark: SparkSession, draft: Draft, came: DataFrame, files: DataFrame, limit: int) -> dict:
     size = files.agg(F.sum("length")).first()[0] or 0
     buckets = buckets_for(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
