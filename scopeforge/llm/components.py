@@ -29,7 +29,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Rounds of a large star (every larger neighbour of a node to the smallest one) and a
     small star (the node and its smaller neighbours to the smallest one), until the edges
     stay as they are: then each points from a node to its component's smallest.  The
-    number of rounds grows with the logarithm of the longest chain."""
+    number of rounds grows with the logarithm of the longest chain.  The smallest neighbours
+    are a table before they are joined, so that Spark splits the neighbours of a hub."""
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     now = materialize(now, "components")
     state = None
@@ -39,10 +40,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         state = mark
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "component-low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large.filter("u > v").distinct(), "component-large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "component-low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         now = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "components")
     low = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))

@@ -1,17 +1,19 @@
 """Shingle Jaccard join by signature trees (operator 8).
 
-1. ``document_sets``: size and 64-bit signature of each document's set of shingles; equal
-   sets are one node from here on, so groups of copies never meet again.
-2. ``candidate_groups``: two sets with Jaccard >= t differ in fewer than m elements, with
-   m from their size class; of m parts of the hash space they hold at least one alike.
-   Part keys are shuffled in packed form by key range; nodes that share a key are joined to
-   groups.  Every link lies inside a group, so nothing is lost.
-3. ``links``: each group's texts meet in one task (large groups as pairs of blocks).  Sets
-   are leaves of a signature tree, whose nodes hold the OR of the token bitmaps and the
-   size range of what is below.  A dual traversal drops node pairs whose largest possible
-   overlap is too small; surviving leaf pairs that are not connected yet are verified on
-   the sets themselves.  A task returns a spanning forest, not all pairs.
-4. components over the forests.
+1. ``document_sets``: size, 64-bit signature and token bitmap of each document's set of
+   shingles; equal sets are one node from here on, so groups of copies never meet again.
+2. ``candidate_lists``: two sets with Jaccard >= t differ in fewer than m elements, with m
+   from their size class; of m parts of the hash space they hold at least one alike.  Part
+   keys are shuffled in packed form by key range; the nodes that share a key are a list.
+   Every link lies inside a list.
+3. ``survivors``: sets of a list are leaves of a signature tree, whose nodes hold the OR of
+   the token bitmaps and the size range of what is below.  A dual traversal drops node pairs
+   whose largest possible overlap is too small.  Only bitmaps are shuffled for it, a few bits
+   an element; what survives joins nodes to groups.
+4. ``links``: the sets of a group meet in one task as packed hashes (large groups as pairs of
+   blocks), are traversed again, and pairs that are not connected yet are verified on the
+   sets themselves.  A task returns a spanning forest, not all pairs.
+5. components over the forests.
 
 Null, empty and wordless texts: size 0, linked with nothing.  Repeated rows and ids: the
 rows are kept; an id's component is the smallest id of its row's set.  Null ids never
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scopeforge.operators.skew import broadcast_if_small
 from scopeforge.session import materialize
 
 from .common import gram_hashes, inside, lower_ascii, mix, sized, span_hashes, table, text_buffer, text_slices, words_of
@@ -34,11 +37,17 @@ from .components import connected, forest
 
 SHINGLE, SIMILARITY = 3, 0.9
 #: Keys of a range that one task sorts, and the least number of ranges.
-RANGE_KEYS, LEAST_RANGES = 2_000_000, 16
+RANGE_KEYS, LEAST_RANGES = 1_000_000, 16
 #: Keys that a map task holds before it hands them on.
-HELD_KEYS = 1_000_000
-#: Most documents of a block of a group, and about how many of small groups go together.
-BLOCK, PACK = 2048, 256
+HELD_KEYS = 500_000
+#: Ways to deal a set's elements to parts.
+WAYS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
+#: Nodes, bytes of bitmaps and shingles of a block, and about those that small lists or groups bring together.
+BLOCK_NODES, BLOCK_BYTES, BLOCK_SHINGLES = 2048, 4 << 20, 500_000
+#: Bits of a bitmap are at least twice the elements, up to this power of two.
+MOST_BITS = 16
+#: Bytes of group members that are broadcast to find their texts.
+MEMBER_BYTES = 32 << 20
 FANOUT = 8
 
 
@@ -72,8 +81,32 @@ def _signatures(gram: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(total[ends] - total[ends - size] + size.astype(np.uint64)).view(np.int64)
 
 
+def bit_powers(size: np.ndarray) -> np.ndarray:
+    """The power of two of each bitmap's bits."""
+    return np.clip(np.ceil(np.log2(np.maximum(2 * size, 1))), 6, MOST_BITS).astype(np.int64)
+
+
+def bitmaps(gram: np.ndarray, size: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit words of the bitmaps of all sets, and how many each has; the low bits of a
+    hash are its place, so that a larger bitmap folds to a smaller one."""
+    words = np.where(size > 0, 1 << np.maximum(power - 6, 0), 0)
+    owner = np.repeat(np.arange(len(size)), size)
+    bit = gram & ((np.uint64(1) << power.astype(np.uint64)) - np.uint64(1))[owner]
+    flags = np.zeros(int(words.sum()), np.uint64)
+    first = np.cumsum(words) - words
+    np.bitwise_or.at(flags, first[owner] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return flags, words
+
+
+def binary_rows(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of 64-bit values as binary."""
+    offsets = np.concatenate([[0], np.cumsum(counts) * 8])
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [
+        None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
 def document_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, th, n_shingles, sig); ``th`` tells the texts of a repeated id apart."""
+    """(doc_id, th, n_shingles, sig, bits); ``th`` tells the texts of a repeated id apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -83,51 +116,66 @@ def document_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 gram, size = shingle_sets(lower_ascii(buf), off, k)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("th"), pa.array(size.astype(np.int64)),
-                     pa.array(_signatures(gram, size))], names=["doc_id", "th", "n_shingles", "sig"])
+                     pa.array(_signatures(gram, size)), binary_rows(*bitmaps(gram, size, bit_powers(size)))],
+                    names=["doc_id", "th", "n_shingles", "sig", "bits"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(
-        run, f"doc_id {kind}, th long, n_shingles long, sig long")
+        run, f"doc_id {kind}, th long, n_shingles long, sig long, bits binary")
 
 
 def part_keys(gram: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all parts of each set, and how many each set has.
+    """Keys of each set, and how many each set has.
 
     Sizes fall into classes as wide as the similarity allows two linked sets to differ, so
     linked sets are of one class or of neighbours.  A set takes part in the scheme of its
     class as an upper and in the next as a lower member.  In scheme s with largest size U
     linked sets (not both upper) differ in at most d = (1 - t) U elements, which touch at
     most d parts.  A set with elements in more than d parts therefore shares one of them
-    with every linked set; the few sets with fewer get a key of the scheme itself."""
+    with every linked set.  The few sets with fewer are dealt to parts again in another way,
+    among themselves; what is left after the last way meets by elements: of two linked sets,
+    one of the first d + 1 elements of each, in one order of all, is the same."""
     width = math.log(1 / similarity) * 1.0001
     owner = np.repeat(np.arange(len(size)), size)
-    spread = mix(gram + np.uint64(0x2545F4914F6CDD1D))
     base = np.zeros(len(size), np.int64)
     some = size > 0
     base[some] = np.floor(np.log(size[some]) / width).astype(np.int64)
     keys, owners = [], []
     for scheme in (base, base + 1):
         differ = np.floor((1 - similarity) * np.exp((scheme + 1) * width) + 1e-6).astype(np.int64)
-        parts = np.where(some, differ + 1 + -(-differ // 10), 0)
-        ends = np.cumsum(parts)
-        cell = (ends - parts)[owner] + (spread % parts[owner].astype(np.uint64)).astype(np.int64)
-        sums = np.zeros(int(parts.sum()), np.uint64)
-        np.add.at(sums, cell, gram)
-        who = np.repeat(np.arange(len(size)), parts)
-        part = np.arange(len(sums)) - np.repeat(ends - parts, parts)
-        label = (scheme[who] * 1_000_003 + part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        full = sums != 0
-        keys.append(mix(mix(sums[full]) + label[full]))
-        owners.append(who[full])
-        sparse = np.flatnonzero(some & (np.bincount(who[full], minlength=len(size)) <= differ))
-        keys.append(mix(scheme[sparse].astype(np.uint64) + np.uint64(0x6A09E667F3BCC909)))
-        owners.append(sparse)
+        own, who, active = gram, owner, some
+        for way in WAYS:
+            spread = mix(own + np.uint64(way))
+            parts = np.where(active, differ + 1 + -(-differ // 10), 0)
+            ends = np.cumsum(parts)
+            cell = (ends - parts)[who] + (spread % parts[who].astype(np.uint64)).astype(np.int64)
+            sums = np.zeros(int(parts.sum()), np.uint64)
+            np.add.at(sums, cell, own)
+            holder = np.repeat(np.arange(len(size)), parts)
+            part = np.arange(len(sums)) - np.repeat(ends - parts, parts)
+            label = (scheme[holder] * 1_000_003 + part).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(way)
+            full = sums != 0
+            keys.append(mix(mix(sums[full]) + label[full]))
+            owners.append(holder[full])
+            active = active & (np.bincount(holder[full], minlength=len(size)) <= differ)
+            left = active[who]
+            own, who = own[left], who[left]
+            if not len(own):
+                break
+        else:
+            order = np.lexsort((mix(own), who))
+            own, who = own[order], who[order]
+            n = np.bincount(who, minlength=len(size))
+            rank = np.arange(len(own)) - (np.cumsum(n) - n)[who]
+            early = rank <= differ[who]
+            keys.append(mix(own[early] + mix(scheme[who[early]].astype(np.uint64) + np.uint64(0x6A09E667F3BCC909))))
+            owners.append(who[early])
     key, who = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(who, kind="stable")
     return key[order], np.bincount(who, minlength=len(size))
 
 
-def candidate_groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): signatures of sets that share a part key, as spanning forests."""
+def candidate_lists(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(list, sig): the signatures of sets that share a part key.  Keys with the same sets make one list."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a word of about six bytes is a shingle; a set has about 2.5 (1 - t) keys per shingle
     ranges = sized(int(total / 6 * 2.5 * (1 - similarity)), RANGE_KEYS, LEAST_RANGES)
@@ -172,24 +220,36 @@ def candidate_groups(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMI
 
     def shared(group: pa.Table) -> pa.Table:
         key, sig = [], []
-        for row in group.to_pylist():
-            own = np.frombuffer(row["sigs"], np.int64)
-            n = len(row["keys"]) // 8
-            index = np.frombuffer(row["who"], np.uint16 if len(row["who"]) == 2 * n else np.uint32)
-            key.append(np.frombuffer(row["keys"], np.uint64))
-            sig.append(own[index])
+        for keys_, who, sigs in zip(*(group[c] for c in ("keys", "who", "sigs"))):
+            own = np.frombuffer(keys_.as_buffer(), np.uint64)
+            index = np.frombuffer(who.as_buffer(), np.uint16 if len(who.as_buffer()) == 2 * len(own) else np.uint32)
+            key.append(own)
+            sig.append(np.frombuffer(sigs.as_buffer(), np.int64)[index])
         key, sig = np.concatenate(key), np.concatenate(sig)
         order = np.argsort(key)
         key, sig = key[order], sig[order]
-        same = np.flatnonzero(key[1:] == key[:-1])
-        a, b = sig[same], sig[same + 1]
-        a, b = a[a != b], b[a != b]
-        node, label = forest(a, b)
-        other = node != label
-        return pa.table({"a": label[other], "b": node[other]})
+        same = key[1:] == key[:-1]
+        both = np.zeros(len(key), bool)
+        both[1:] = same
+        both[:-1] |= same
+        key, sig = key[both], sig[both]
+        order = np.lexsort((sig, key))
+        key, sig = key[order], sig[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+        key, sig = key[new], sig[new]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(key)))
+        name = np.add.reduceat(mix(sig.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+        name = mix(name + n.astype(np.uint64))
+        once = np.zeros(len(first), bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        once &= n > 1
+        kept = np.repeat(once, n)
+        return pa.table({"list": np.repeat(name.view(np.int64)[once], n[once]), "sig": sig[kept]})
 
     packed = docs.select("text").mapInArrow(keys, "lane int, keys binary, who binary, sigs binary")
-    return packed.groupBy("lane").applyInArrow(shared, "a long, b long").distinct()
+    return packed.groupBy("lane").applyInArrow(shared, "list long, sig long").distinct()
 
 
 class SignatureTree:
@@ -197,13 +257,8 @@ class SignatureTree:
     range of ``FANOUT`` nodes below, and the most elements that bitmaps of its leaves lose
     to equal bits."""
 
-    def __init__(self, gram: np.ndarray, size: np.ndarray):
+    def __init__(self, flags: np.ndarray, size: np.ndarray):
         self.size = size
-        bits = 1 << max(6, min(16, int(4 * size.max()).bit_length()))
-        owner = np.repeat(np.arange(len(size)), size)
-        bit = (gram & np.uint64(bits - 1)).astype(np.int64)
-        flags = np.zeros((len(size), bits // 64), np.uint64)
-        np.bitwise_or.at(flags, (owner, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
         lost = size - np.bitwise_count(flags).sum(1, dtype=np.int64)
         self.levels = [(flags, size, size, lost)]
         while len(self.levels[-1][0]) > FANOUT:
@@ -283,7 +338,9 @@ def join_group(gram: np.ndarray, size: np.ndarray, block: np.ndarray | None, sim
         return np.repeat(start[sets] - (ends - size[sets]), size[sets]) + np.arange(int(ends[-1]))
 
     def tree(sets: np.ndarray) -> SignatureTree:
-        return SignatureTree(gram[places(sets)], size[sets])
+        power = np.full(len(sets), min(MOST_BITS, int(4 * size[sets].max()).bit_length()))
+        power = np.maximum(power, 6)
+        return SignatureTree(bitmaps(gram[places(sets)], size[sets], power)[0].reshape(len(sets), -1), size[sets])
 
     def roots(sets: np.ndarray) -> np.ndarray:
         at = parent[sets]
@@ -320,70 +377,141 @@ def join_group(gram: np.ndarray, size: np.ndarray, block: np.ndarray | None, sim
     return roots(np.arange(n))
 
 
+def _sharded(members: DataFrame, group: str, weight: int, amounts: list[tuple]) -> DataFrame:
+    """``members`` (``group``, node, ...) with the ``shard`` where they meet and their ``side``: small
+    groups together (side -1), large ones as pairs of blocks.  ``amounts``: (column, most of a
+    block); the first one's sum also packs the small groups."""
+    sums = [F.sum(c).alias(f"_{i}") for i, (c, _) in enumerate(amounts)]
+    blocks = F.greatest(*[F.ceil(F.col(f"_{i}") / most) for i, (_, most) in enumerate(amounts)], F.lit(1)).cast("int")
+    sizes = materialize(members.groupBy(group).agg(*sums).withColumn("blocks", blocks), "group-sizes")
+    packs = sized(int(sizes.filter("blocks = 1").agg(F.sum("_0")).first()[0] or 0), weight)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = members.join(sizes.select(group, "blocks"), group).withColumn("own", own).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("own", "with"), F.greatest("own", "with")
+    small = F.pmod(F.xxhash64(group), F.lit(packs)).cast("string")
+    side = F.when(lo == hi, F.lit(-1)).otherwise(F.when(F.col("own") == hi, 1).otherwise(0)).cast("int")
+    shard = F.when(F.col("blocks") == 1, small).otherwise(F.concat_ws(":", group, lo, hi))
+    return members.withColumn("side", side).withColumn("shard", shard).drop("own", "with", "blocks")
+
+
+def _ordered(group: pa.Table, name: str):
+    """(sorted table, rows of each ``name``)."""
+    group = group.sort_by([(name, "ascending"), ("node", "ascending")])
+    label, node = group[name].to_numpy(), group["node"].to_numpy()
+    each = np.split(np.arange(len(label)), np.flatnonzero(np.diff(label)) + 1)
+    return group, node, [own[np.concatenate([[True], node[own][1:] != node[own][:-1]])] for own in each]
+
+
+def _words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All 64-bit values of a binary column, and how many each row has."""
+    buffers = [v.as_buffer() for v in column]
+    counts = np.array([b.size // 8 for b in buffers], np.int64)
+    return np.concatenate([np.frombuffer(b, np.uint64) for b in buffers]) if buffers else np.zeros(0, np.uint64), counts
+
+
+def survivors(lists: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): spanning forests of the pairs that the signature trees of the lists leave.
+
+    ``sets``: (sig, n_shingles, bits) of each set."""
+    members = lists.withColumnRenamed("sig", "node").join(
+        sets.select(F.col("sig").alias("node"), "n_shingles", "bits"), "node").withColumn("weight", F.octet_length("bits"))
+    members = _sharded(materialize(members, "list-members"), "list", BLOCK_BYTES,
+                       [("weight", BLOCK_BYTES), (F.lit(1), BLOCK_NODES)]).drop("weight")
+
+    def run(group: pa.Table) -> pa.Table:
+        group, node, each = _ordered(group, "list")
+        size, side = group["n_shingles"].to_numpy(), group["side"].to_numpy()
+        flags, words = _words(group["bits"])
+        first = np.cumsum(words) - words
+        a, b = [], []
+        for own in each:
+            own = own[np.argsort(size[own], kind="stable")]
+            width = int(words[own].min())
+            folded = np.stack([np.bitwise_or.reduce(flags[first[i]:first[i] + words[i]].reshape(-1, width), axis=0) for i in own])
+            if side[own[0]] < 0:
+                left = right = own
+                i, j = traverse(SignatureTree(folded, size[own]), None, similarity)
+            else:
+                here = side[own] == 0
+                left, right = own[here], own[~here]
+                if not len(left) or not len(right):
+                    continue
+                i, j = traverse(SignatureTree(folded[here], size[left]), SignatureTree(folded[~here], size[right]), similarity)
+            if len(i):
+                at, label = forest(left[i], right[j])
+                other = at != label
+                a.append(node[label[other]])
+                b.append(node[at[other]])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a + none), "b": np.concatenate(b + none)})
+
+    return members.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+
+
+def packed_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(node, grams): the shingle hashes of the ``wanted`` (doc_id, th, node) documents."""
+    few, _ = broadcast_if_small(wanted, max_bytes=MEMBER_BYTES)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(few, ["doc_id", "th"]).select("node", "text")
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                buf, off = text_buffer(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("node"), binary_rows(*shingle_sets(lower_ascii(buf), off, k))],
+                                                 names=["node", "grams"])
+
+    return texts.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+
+
 def links(docs: DataFrame, sets: DataFrame, groups: DataFrame, k: int = SHINGLE,
           similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): spanning forests of the links inside the candidate groups.
+    """(a, b): spanning forests of the links inside the groups.
 
     ``sets``: (doc_id, th, sig, n_shingles) with one document of each signature; ``groups``: (node, label)."""
-    count = groups.groupBy("label").agg(F.count("*").alias("members"))
-    # linked sets are of one size class or of neighbours: a large group is cut into pairs of
-    # neighbouring classes, each set in two of them, before blocks are made
-    size_class = F.floor(F.log(F.col("n_shingles")) / (math.log(1 / similarity) * 1.0001)).cast("int")
-    members = groups.join(count, "label").join(sets.select(F.col("sig").alias("node"), "n_shingles"), "node")
-    members = members.withColumn("scheme", F.explode(F.when(
-        F.col("members") > BLOCK, F.array(size_class, size_class + 1)).otherwise(F.array(F.lit(-1)))))
-    parts = members.groupBy("label", "scheme").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.drop("n_shingles").join(parts, ["label", "scheme"])
-    packs = sized(groups.count(), PACK)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = members.withColumn("own", own).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("own", "with"), F.greatest("own", "with")
-    small = F.pmod(F.xxhash64("label"), F.lit(packs)).cast("string")
-    members = members.select(
-        F.col("node").alias("sig"), "label", F.when(lo == hi, F.lit(-1)).otherwise(F.when(F.col("own") == hi, 1).otherwise(0)).alias("side"),
-        F.when(F.col("scheme") < 0, small).otherwise(F.concat_ws(":", "label", "scheme", lo, hi)).alias("shard"))
-    texts = members.join(sets.drop("n_shingles"), "sig").join(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), ["doc_id", "th"]).select(
-        "shard", "label", "side", "sig", "text")
+    members = materialize(groups.join(sets.select(F.col("sig").alias("node"), "n_shingles", "doc_id", "th"), "node"), "group-members")
+    grams = materialize(packed_sets(docs, members.select("doc_id", "th", "node"), k), "packed-sets")
+    dealt = _sharded(members.drop("doc_id", "th"), "label", BLOCK_SHINGLES, [("n_shingles", BLOCK_SHINGLES), (F.lit(1), BLOCK_NODES)])
+    dealt = dealt.drop("n_shingles").join(grams, "node")
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("label", "ascending"), ("sig", "ascending")])
-        label, sig = group["label"].to_numpy(), group["sig"].to_numpy()
+        group, node, each = _ordered(group, "label")
         side = group["side"].to_numpy()
-        column = group["text"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        gram, size = _words(group["grams"])
+        first = np.cumsum(size) - size
         a, b = [], []
-        for own in np.split(np.arange(len(label)), np.flatnonzero(np.diff(label)) + 1):
-            own = own[np.concatenate([[True], sig[own][1:] != sig[own][:-1]])]  # one document of a repeated id
-            buf, off = text_buffer(column.take(pa.array(own)))
-            gram, size = shingle_sets(lower_ascii(buf), off, k)
-            found = join_group(gram, size, side[own] if side[own[0]] >= 0 else None, similarity)
+        for own in each:
+            some = np.concatenate([gram[first[i]:first[i] + size[i]] for i in own])
+            found = join_group(some, size[own], side[own] if side[own[0]] >= 0 else None, similarity)
             linked = found != np.arange(len(own))
-            a.append(sig[own][found[linked]])
-            b.append(sig[own][linked])
+            a.append(node[own][found[linked]])
+            b.append(node[own][linked])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return texts.groupBy("shard").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("shard").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, th, n_shingles, component, component_id) of every row of ``docs`` (doc_id, text).
+
+    ``component`` tells components apart that repeated ids would give one name; null without words or id."""
     sets = materialize(document_sets(docs, k), "shingle-sets")
-    groups = connected(materialize(candidate_groups(docs, k, similarity), "shingle-candidates"))
-    first = (sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig")
-             .agg(F.min(F.struct("doc_id", "th", "n_shingles")).alias("d"))
-             .select("sig", "d.doc_id", "d.th", "d.n_shingles"))
-    edges = materialize(links(docs, first, groups, k, similarity), "shingle-links")
+    lists = materialize(candidate_lists(docs, k, similarity), "shingle-lists")
+    first = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(
+        F.min(F.struct("doc_id", "th", "n_shingles")).alias("d"), F.first("bits").alias("bits"))
+    first = materialize(first.select("sig", "d.doc_id", "d.th", "d.n_shingles", "bits"), "first-of-sets")
+    groups = connected(materialize(survivors(lists, first, similarity), "shingle-survivors"))
+    edges = materialize(links(docs, first.drop("bits"), groups, k, similarity), "shingle-links")
     labels = connected(edges)
-    named = first.drop("th", "n_shingles").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
-        "label", F.coalesce("label", "sig"))
+    named = materialize(first.select("sig", "doc_id").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
+        "label", F.coalesce("label", "sig")), "shingle-labels")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.join(smallest, "label").select("sig", "component_id")
-    return sets.join(of_set, "sig", "left").select(
-        "doc_id", "n_shingles",
+    of_set = materialize(named.join(smallest, "label").select("sig", F.col("label").alias("component"), "component_id"), "shingle-components")
+    return sets.drop("bits").join(of_set, "sig", "left").select(
+        "doc_id", "th", "n_shingles", "component",
         F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
         .alias("component_id"))
 
 
 def op8_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
