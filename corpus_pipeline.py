@@ -23,16 +23,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words are in languages that the labelled ones teach, in one or mixed;
     without letters, or with words that no language claims, they go."""
     chain = crf_langid.fit(crf_langid.training_rows(docs))
-    found = crf_langid.predict(docs, chain, docs.columns, names=("_lang_pred", "_score", "_sure"))
-    return found.filter((F.col("_lang_pred") != "und") & (F.col("_sure") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score, sure = unused(docs, "lang_pred", "score", "sure")
+    found = crf_langid.predict(docs, chain, docs.columns, names=(lang, score, sure))
+    return found.filter((F.col(lang) != "und") & (F.col(sure) >= LEAST_SCORE)).select(*docs.columns)
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for n in (f"_{name}{'_' * i}" for i in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    found = signature_tree.near_duplicates(docs.select("doc_id", "text"), SHINGLE, SIMILARITY)
-    first = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "first")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not first.filter("_rows > 1").isEmpty():  # rows that repeat an id and text are one document
+    """One document of each group of near duplicates: the one with the smallest id (of
+    several texts of that id, one); rows that repeat an id and text are one document."""
+    th, = unused(docs, "th")
+    found = signature_tree.near_duplicates(docs.select("doc_id", "text"), SHINGLE, SIMILARITY).filter("doc_id IS NOT NULL")
+    found = materialize(found.groupBy("component", "doc_id", F.col("th").alias(th)).agg(F.count("*").alias("rows")), "near-duplicates")
+    best = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", th, "rows")).alias("d")).select("d.*")
+    first = materialize(best.union(found.filter("component IS NULL").select("doc_id", th, "rows")), "first-of-duplicates")
+    kept = docs.withColumn(th, F.xxhash64("text")).join(first.select("doc_id", th), ["doc_id", th], "left_semi").select(*docs.columns)
+    if not first.filter("rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.union(docs.filter("doc_id IS NULL"))
 
@@ -40,28 +51,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the word windows that an earlier document holds; documents of which
     nothing is left go."""
+    th, kept = unused(docs, "th", "kept")
     cut = substring_fm.deduplicate(docs.select("doc_id", "text")).filter("kept IS NOT NULL").select(
-        "doc_id", F.col("th").alias("_th"), F.col("kept").alias("_kept")).dropDuplicates(["doc_id", "_th"])
-    joined = docs.withColumn("_th", F.xxhash64("text")).join(cut, ["doc_id", "_th"], "left").filter(
-        "_kept IS NULL OR _kept <> ''")
-    text = F.coalesce("_kept", "text")
-    return joined.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(
-        F.length("_kept")).cast(docs.schema["n_chars"].dataType)).withColumn("text", text).select(*docs.columns)
+        "doc_id", F.col("th").alias(th), F.col("kept").alias(kept)).dropDuplicates(["doc_id", th])
+    joined = docs.withColumn(th, F.xxhash64("text")).join(cut, ["doc_id", th], "left").filter(
+        F.col(kept).isNull() | (F.col(kept) != ""))
+    text = F.coalesce(kept, "text")
+    return joined.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(
+        F.length(kept)).cast(docs.schema["n_chars"].dataType)).withColumn("text", text).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each reading of their source; of a
     document at the end of its source's share only the words that are taken."""
-    docs = materialize(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-documents")
-    sizes, _, mixed = mixture.mix(docs, rid="_rid")
-    taken = (mixed.groupBy("rid", "epoch").agg(F.min("from_word").alias("_from"), F.sum("words").alias("_words"))
-             .join(sizes.select("rid", F.col("size").alias("_size")), "rid").drop("epoch").withColumnRenamed("rid", "_rid"))
+    rid, start, words, size = unused(docs, "rid", "from", "words", "size")
+    columns = docs.columns
+    docs = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-documents")
+    sizes, _, mixed = mixture.mix(docs, rid=rid)
+    taken = (mixed.groupBy("rid", "epoch").agg(F.min("from_word").alias(start), F.sum("words").alias(words))
+             .join(sizes.select("rid", F.col("size").alias(size)), "rid").drop("epoch").withColumnRenamed("rid", rid))
     part = F.array_join(F.slice(F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+"),
-                                (F.col("_from") + 1).cast("int"), F.col("_words").cast("int")), " ")
-    whole = F.col("_words") == F.col("_size")
-    joined = docs.join(taken, "_rid").withColumn("text", F.when(whole, F.col("text")).otherwise(part))
+                                (F.col(start) + 1).cast("int"), F.col(words).cast("int")), " ")
+    whole = F.col(words) == F.col(size)
+    joined = docs.join(taken, rid).withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     return joined.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(
-        docs.schema["n_chars"].dataType)).select(*[c for c in docs.columns if c != "_rid"])
+        docs.schema["n_chars"].dataType)).select(*columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
