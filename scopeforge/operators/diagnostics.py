@@ -9,17 +9,18 @@ from .ranges import asof_lines
 
 
 def to_diagnostics(messages: DataFrame, lines: DataFrame, key: str = "file_id") -> DataFrame:
-    """Begin and end offsets become (line, column) through two as-of joins on the
-    line starts (FN-7 / J-6)."""
-    m = messages.select(key, "msg_id", "message", "begin_off", "end_off")
-    b = asof_lines(m.select(key, "msg_id", F.col("begin_off").alias("off")), lines, key)
-    # a fresh projection of the line table, so the two as-of joins do not share
-    # column identities when they are joined back together
-    lines2 = lines.select(*[F.col(c).alias(c) for c in lines.columns])
-    e = asof_lines(m.select(key, "msg_id", F.col("end_off").alias("off")), lines2, key)
-    b = b.select(key, "msg_id", F.col("line").alias("start_line"), F.col("col").alias("start_col"))
-    e = e.select(key, "msg_id", F.col("line").alias("end_line"), F.col("col").alias("end_col"))
-    return m.join(b, [key, "msg_id"]).join(e, [key, "msg_id"]).select(
+    """Begin and end offsets become (line, column) through one as-of join on the line
+    starts (FN-7 / J-6): a message is two offsets, and one row again after it."""
+    offsets = messages.select(key, "msg_id", "message", F.explode(F.array(
+        F.struct(F.lit("start").alias("side"), F.col("begin_off").alias("off")),
+        F.struct(F.lit("end").alias("side"), F.col("end_off").alias("off")))).alias("_o")).select(
+            key, "msg_id", "message", "_o.side", "_o.off")
+    of = lambda side, column: F.max(F.when(F.col("side") == side, F.col(column)))
+    both = asof_lines(offsets, lines, key).groupBy(key, "msg_id", "message").agg(
+        of("start", "line").alias("start_line"), of("start", "col").alias("start_col"),
+        of("end", "line").alias("end_line"), of("end", "col").alias("end_col"))
+    # a message whose offset lies in no line has no place
+    return both.filter("start_line IS NOT NULL AND end_line IS NOT NULL").select(
         key, "start_line", "start_col", "end_line", "end_col", "message")
 
 

@@ -7,12 +7,14 @@ per-file tree walk on the driver or in Python.  ``extract_symbols`` composes the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.kinds import singleton_label
-from ..session import materialize
+from ..session import materialize, shared_dir
 from .ranges import asof_lines, interval_contains, sequence_in_group
 
 
@@ -93,19 +95,25 @@ def qualifier_chain(nodes: DataFrame, key: str = "file_id") -> DataFrame:
     Result: (key, node_id, chain ARRAY<STRING>) for every Const node.
     """
     none = F.array().cast("array<string>")
+    spark = nodes.sparkSession
     consts = nodes.filter(F.col("kind") == "Const").select(key, "node_id")
     edges = nodes.filter((F.col("slot") == "scope") & (F.col("kind") == "Const")).select(
         key, F.col("parent_id").alias("node_id"), F.col("node_id").alias("_at"), F.col("name").alias("_name"))
     chains = materialize(consts.join(edges, [key, "node_id"], "left").select(
         key, "node_id", "_at", F.when(F.col("_at").isNotNull(), F.array("_name")).otherwise(none).alias("chain")),
         "qualifier-chains")
-    while not chains.filter(F.col("_at").isNotNull()).isEmpty():
-        far = chains.select(F.col(key), F.col("node_id").alias("_at"), F.col("_at").alias("_next"),
-                            F.col("chain").alias("_more"))
-        chains = materialize(chains.join(far, [key, "_at"], "left").select(
+    # whole chains are written once; only open ones and what they end at go into a round
+    whole = f"{shared_dir(spark)}/stages/qualifier-whole-{uuid.uuid4().hex[:12]}"
+    while True:
+        chains.filter(F.col("_at").isNull()).select(key, "node_id", "chain").write.mode("append").parquet(whole)
+        open_ = chains.filter(F.col("_at").isNotNull())
+        if open_.isEmpty():
+            return spark.read.parquet(whole)
+        far = open_.unionByName(spark.read.parquet(whole).withColumn("_at", F.lit(None).cast(chains.schema["_at"].dataType)))
+        far = far.select(F.col(key), F.col("node_id").alias("_at"), F.col("_at").alias("_next"), F.col("chain").alias("_more"))
+        chains = materialize(open_.join(far, [key, "_at"], "left").select(
             key, "node_id", F.col("_next").alias("_at"),
             F.concat("chain", F.coalesce("_more", none)).alias("chain")), "qualifier-chains")
-    return chains.select(key, "node_id", "chain")
 
 
 def receiver_scope(nodes: DataFrame, key: str = "file_id") -> DataFrame:

@@ -349,8 +349,9 @@ lock_lines AS (
   SELECT unnest(['    ' || e, '  ' || e, '      ' || e]) AS value
   FROM (SELECT replace(s_name, '#', '-') || ' (' || CAST(s_suppkey AS VARCHAR) || '.0)' AS e FROM supplier)),
 entries AS (
-  SELECT regexp_extract(value, {sp.q(SRC.LOCK_PATTERN)}, 1) AS name,
-         regexp_extract(value, {sp.q(SRC.LOCK_PATTERN)}, 2) AS version FROM lock_lines),
+  -- four blanks and no fifth, a name, and a version in brackets
+  SELECT CASE WHEN value LIKE '    %(%)%' AND value NOT LIKE '     %' THEN split_part(value[5:], ' ', 1) ELSE '' END AS name,
+         split_part(split_part(value, '(', 2), ')', 1) AS version FROM lock_lines),
 deps AS (
   SELECT {sp.q(GEM_HOME + '/gems/')} || name || '-' || version AS root, TRUE AS interface_only, FALSE AS user_space
   FROM entries WHERE name <> ''

@@ -172,21 +172,20 @@ def _abs_path(alias="") -> str:
 
 
 def sql_symbol_search(pattern=PATTERN_PLAIN, regex=False):
-    types = ", ".join(sp.q(t) for t in rules.WORKSPACE_SYMBOL_TYPES)
     match = (f"regexp_full_match(s.name, {sp.q(pattern + '.*')})" if regex
              else f"starts_with(s.name, {sp.q(pattern)})")
-    kinds = " ".join(f"WHEN s.node_type = {sp.q(t)} THEN {sp.q(k)}" for t, k in rules.SYMBOL_KINDS.items())
     return _with(sp.symbols_cte(), sp.STATS) + f"""
 SELECT row_number() OVER (ORDER BY score DESC, file_id, line, start_col, seq) AS rank,
        name, kind, path, line AS start_line, start_col, line AS end_line, end_col, round(score, 6) AS score
 FROM (
   SELECT s.*, round(t.idf, 9) AS score,
-         CASE {kinds} ELSE {sp.q(rules.SYMBOL_KIND_DEFAULT)} END AS kind,
+         CASE WHEN s.node_type[:3] IN ('Ali', 'Def') THEN 'METHOD' WHEN s.node_type = 'Module' THEN 'MODULE'
+              WHEN s.node_type = 'Gvasgn' THEN 'VARIABLE' ELSE 'CLASS' END AS kind,
          {sp.q(ROOT)} || '/' || array_to_string(s.path_parts, '/') AS path
   FROM symbols s JOIN type_idf t ON t.term = s.node_type
-  WHERE s.user_space AND s.node_type IN ({types}) AND {match}
+  WHERE s.user_space AND s.node_type IN ('Alias', 'Def', 'Defs', 'Casgn', 'Class', 'Module', 'Gvasgn') AND {match}
   ORDER BY score DESC, file_id, line, start_col, seq
-  LIMIT {rules.WORKSPACE_LIMIT})"""
+  LIMIT 100)"""
 
 
 def _lookup_sql(usage_only: bool) -> str:
@@ -241,8 +240,8 @@ probes AS (
 
 def sql_definitions_of(pred: str, symbols: str) -> str:
     """The ranked definitions of every usage of the query files that ``pred`` takes."""
-    local = ", ".join(sp.q(t) for t in rules.LOCAL_SCOPE_TYPES)
-    boost = rules.RECEIVER_SCOPE_BOOST
+    local = ", ".join(sp.q(t) for t in [*sp.LOCALS, "Lvar"])
+    boost = 10000.0
     clauses = f"""
   SELECT probe_id, unnest(u_class_scope) AS term, 1.0 AS boost FROM u WHERE u_node_type = 'Const'
   UNION ALL SELECT probe_id, unnest(u_scope_path), 1.0 FROM u WHERE u_node_type = 'Const'
@@ -256,7 +255,7 @@ def sql_definitions_of(pred: str, symbols: str) -> str:
        WHEN u.u_node_type = 'Send' AND len(u.u_class_scope) > 0 THEN list_has_all(d.scope_path, u.u_class_scope)
        ELSE TRUE END"""
     return _with(symbols, sp.STATS, _usage_probes_sql(pred), _lookup_sql(True)) + _scored_sql(
-        clauses, ("usage",), "AND d.category = 'assignment'", "", required, rules.DEFINITION_LIMIT)
+        clauses, ("usage",), "AND d.category = 'assignment'", "", required, 50)
 
 
 def sql_definitions(branch: str) -> str:
@@ -277,11 +276,11 @@ def _refs_sql() -> str:
 
 def sql_references_of(symbols: str) -> str:
     """The ranked references of every symbol of the query files."""
-    local = ", ".join(sp.q(t) for t in rules.LOCAL_SCOPE_TYPES)
+    local = ", ".join(sp.q(t) for t in [*sp.LOCALS, "Lvar"])
     clauses = "SELECT probe_id, unnest(u_scope_path) AS term, 1.0 AS boost FROM u"
     required = f"(u.u_node_type NOT IN ({local}) OR list_has_all(d.scope_path, u.u_scope_path))"
     return _with(symbols, sp.STATS, REF_PROBES_SQL, _lookup_sql(False)) + _scored_sql(
-        clauses, ("usage", "assignment"), "", "AND d.file_id = u.file_id", required, rules.REFERENCE_LIMIT)
+        clauses, ("usage", "assignment"), "", "AND d.file_id = u.file_id", required, 100)
 
 
 def sql_references():

@@ -43,16 +43,35 @@ def emit_rules_sql() -> str:
     return f"SELECT * FROM {values(rows, ['kind', 'slot', 'category', 'node_type'])}"
 
 
+#: Which types meet, stated by families and not by the engine's maps.
+_CALLS = "CSend Send Super ZSuper".split()
+_CONSTANTS = "Casgn Class Module".split()
+LOCALS = "Arg Kwarg Kwoptarg Kwrestarg Lvasgn MatchVar Optarg Restarg Shadowarg".split()
+
+
 def type_rules_sql(directions=("usage",)) -> str:
     rows = []
     if "usage" in directions:
-        rows += [(p, m) for p, ms in rules.USAGE_TYPES.items() for m in ms]
+        rows += [(p, m) for p in [*_CALLS, "Alias"] for m in [*_CALLS, "Alias", "Def", "Defs"]]
+        rows += [("Const", m) for m in [*_CONSTANTS, "Const"]] + [("Lvar", m) for m in [*LOCALS, "Lvar"]]
+        rows += [(f"{v}var", f"{v}{m}") for v in "CGI" for m in ("var", "vasgn")]
     if "assignment" in directions:
-        rows += [(p, m) for p, ms in rules.ASSIGNMENT_TYPES.items() for m in ms]
+        rows += [(p, m) for p in ("Alias", "Def", "Defs") for m in [*_CALLS, "Alias"]]
+        rows += [("Alias", "Def"), ("Alias", "Defs"), ("Def", "Def"), ("Defs", "Defs")]
+        rows += [(p, m) for p in _CONSTANTS for m in [*_CONSTANTS, "Const"]] + [(p, m) for p in LOCALS for m in [*LOCALS, "Lvar"]]
+        rows += [(f"{v}vasgn", f"{v}{m}") for v in "CGI" for m in ("var", "vasgn")]
     return (f"SELECT probe_type, match_type, count(*) AS multiplicity FROM "
             f"{values(rows, ['probe_type', 'match_type'])} GROUP BY ALL")
 
 
+#: Definitions that class-level macros make, by the language's rules: a reader, a writer, or both.
+MACROS_SQL = """
+SELECT 'attr_' || m AS method, 'all' AS arg_policy, FALSE AS allow_str, s AS suffix
+FROM (VALUES ('reader', ''), ('writer', '='), ('accessor', ''), ('accessor', '=')) AS t(m, s)
+UNION ALL SELECT 'alias_method', 'first', TRUE, ''
+UNION ALL SELECT unnest(['belongs_to', 'has_one', 'has_many', 'has_and_belongs_to_many']), 'first', FALSE, ''"""
+
+
 LINES = """
 doc_lines AS (
   SELECT doc_id, lang, source, unnest(ls) AS line_text, unnest(range(len(ls))) AS line
