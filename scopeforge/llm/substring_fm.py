@@ -123,7 +123,7 @@ def _shared(found: DataFrame) -> DataFrame:
                         .filter("low < high").select("gram"), "fm-grams")
     rows = materialize(flat.join(grams, "gram"), "fm-shared")
     first = materialize(rows.groupBy("gram", "seg").agg(F.min("doc_id").alias("first")), "fm-first")
-    many = first.groupBy("gram").agg(F.count("*").alias("many"))
+    many = materialize(first.groupBy("gram").agg(F.count("*").alias("many")), "fm-counts")
     return rows.join(materialize(first.join(many, "gram"), "fm-many"), ["gram", "seg"])
 
 
