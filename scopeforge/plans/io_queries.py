@@ -273,19 +273,25 @@ def _feed_messages(texts):
 
 
 def _live(spark, sf_dir):
+    """The index after the feed's micro-batches, and its statistics and groups with it."""
     return LV.live_index(spark, _feed_files(spark, sf_dir),
                          lambda texts: fx.document_symbols(spark, _feed_documents(texts)), _feed_messages)
 
 
 def q_stream_index(spark, sf_dir):
     """ST-4: the symbol index after all micro-batches; a text that fails leaves the old rows."""
-    return spark.read.parquet(_live(spark, sf_dir)["symbols"]).select(
+    return _live(spark, sf_dir).open().table("symbols").select(
         "file_id", "seq", "category", "node_type", "name", "line", "start_col", "end_col")
 
 
 def q_stream_index_diagnostics(spark, sf_dir):
     """ST-5 / SNK-7: the diagnostics table after all micro-batches."""
-    return spark.read.parquet(_live(spark, sf_dir)["diagnostics"]).drop("bucket")
+    return _live(spark, sf_dir).open().table("diagnostics").drop("bucket")
+
+
+def q_stream_term_stats(spark, sf_dir):
+    """AGG-1 on the live path: the statistics follow every micro-batch."""
+    return _live(spark, sf_dir).open().table("terms").select("field", "term", "df")
 
 
 def q_stream_periodic_refresh(spark, sf_dir):
@@ -319,6 +325,7 @@ QUERIES = {
     "stream_periodic_refresh": q_stream_periodic_refresh,
     "stream_index": q_stream_index,
     "stream_index_diagnostics": q_stream_index_diagnostics,
+    "stream_term_stats": q_stream_term_stats,
 }
 
 
@@ -476,7 +483,12 @@ WHERE event_type = 'error'"""
 # the index of a batch rebuild from each file's last text that did not fail
 SQL_STREAM_INDEX = "WITH documents AS (SELECT user_id AS doc_id, 'feed' AS lang, 'feed' AS source, props AS text FROM events "
 SQL_STREAM_INDEX += f"""WHERE event_type IN {_REINDEX} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
-""" + sp.symbols_cte() + """
+""" + sp.symbols_cte()
+SQL_STREAM_TERM_STATS = SQL_STREAM_INDEX + """
+SELECT 'scope' AS field, term, CAST(count(*) AS BIGINT) AS df
+FROM (SELECT unnest(list_distinct(scope_path)) AS term FROM symbols) GROUP BY term
+UNION ALL SELECT 'node_type', node_type, CAST(count(*) AS BIGINT) FROM symbols GROUP BY node_type"""
+SQL_STREAM_INDEX += """
 SELECT file_id, seq, category, node_type, name, line, start_col, end_col FROM symbols"""
 SQL_STREAM_INDEX_DIAGNOSTICS = """
 SELECT user_id AS file_id, 0::BIGINT AS start_line, 0::BIGINT AS start_col,
@@ -515,4 +527,5 @@ ORACLES = {
     "stream_periodic_refresh": SQL_STREAM_REFRESH,
     "stream_index": SQL_STREAM_INDEX,
     "stream_index_diagnostics": SQL_STREAM_INDEX_DIAGNOSTICS,
+    "stream_term_stats": SQL_STREAM_TERM_STATS,
 }

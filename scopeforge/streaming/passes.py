@@ -25,7 +25,7 @@ from ..sinks.index import nothing_changed
 from ..sinks.versions import Draft, Snapshot, Store, buckets_for
 from ..sources.files import SOURCE_GLOB, decode
 from ..sources.roots import SOURCES, all_roots, list_files, present_roots, read_contents
-from .feed import OVERLAP_SECONDS
+from .feed import OVERLAP_SECONDS, REINDEX_EVENTS
 
 STATE = ["file_id", "path", "file_path", "root", "source", "interface_only", "user_space", "mtime", "length"]
 REGISTRY = "root string, source string, status string"
@@ -130,21 +130,25 @@ def _registry(spark, roots: DataFrame, scan: DataFrame, bad: DataFrame, done: Da
 
 
 def change_files(spark: SparkSession, home: str, events: DataFrame, extract: Callable[[DataFrame], DataFrame],
+                 diagnose: Callable[[DataFrame], DataFrame] | None = None, report_diagnostics: bool = True,
                  limit: int = rules.DEFINITION_LIMIT) -> Snapshot | None:
-    """ST-4 / ST-7: events (file_id, version, event_type, length, ...) onto the index at ``home``.
-
-    Of each file the last event by version counts, if the index holds no later one: late and
-    repeated events change nothing.  The symbols of a file become those that ``extract``
-    finds for its event; a ``delete`` leaves none.  The versions are a table of the index,
-    bucketed as the symbols, and published with them."""
+    """ST-4, ST-5, ST-7: events (file_id, version, event_type, length, ...) onto the index at ``home``.
+
+    The symbols of a file become those that ``extract`` finds for its last event, by version,
+    that asks for a reindex and has no message (SNK-6); a ``delete`` leaves none.  Its
+    diagnostics become those of its last event of any kind.  ``diagnose`` gives the messages
+    of events under their ``file_id``, which is the event's number here.  An event that is
+    not later than the version that the index holds changes nothing, so late and repeated
+    ones do no harm.  The held versions are tables of the index, bucketed as the symbols."""
     draft = Store(spark, home).begin()
-    last = events.groupBy("file_id").agg(F.max(F.struct("version", *[c for c in events.columns if c not in ("file_id", "version")]))
-                                         .alias("e")).select("file_id", "e.*")
-    if draft.base:
-        held = draft.base.table("files").select("file_id", F.col("version").alias("_held"))
-        last = last.join(held, "file_id", "left").filter("_held IS NULL OR version > _held").drop("_held")
-    last = materialize(last, "last-events")
-    if nothing_changed(last):
+    events = materialize(events.withColumn("_event", F.monotonically_increasing_id()), "events")
+    none = spark.createDataFrame([], "_event long")
+    found = materialize(diagnose(events.drop("file_id").withColumnRenamed("_event", "file_id"))
+                        .withColumnRenamed("file_id", "_event"), "event-messages") if diagnose else none
+    good = events.filter(F.col("event_type").isin(*REINDEX_EVENTS, "delete")).join(found.select("_event"), "_event", "left_anti")
+    last = _newest(good, draft.base, "files")
+    seen = _newest(events, draft.base, "seen") if diagnose and report_diagnostics else none
+    if nothing_changed(last, seen):
         return None
     came = materialize(extract(last.filter("event_type <> 'delete'")), "came")
     files = last.select("file_id", "version", "length")
@@ -153,9 +157,27 @@ def change_files(spark: SparkSession, home: str, events: DataFrame, extract: Cal
     else:
         info = _next(draft, came, files.select("file_id"), limit)
         draft.replace("files", files, files.select("file_id"))
+    if diagnose and report_diagnostics:
+        keys, rows = seen.select("file_id", "version"), found.join(seen.select("_event", "file_id"), "_event").drop("_event")
+        for name, new in (("seen", keys), ("diagnostics", rows)):
+            if name in draft.tables:
+                draft.replace(name, new, keys.select("file_id"))
+            else:
+                draft.create(name, new, "file_id", draft.tables["files"]["buckets"], ["file_id"])
     return draft.publish(info | {"limit": limit, "n_changed": last.count()})
 
 
+def _newest(events: DataFrame, base: Snapshot | None, held: str) -> DataFrame:
+    """The last event of each file, by version, that is later than the one of table ``held``."""
+    rest = [c for c in events.columns if c not in ("file_id", "version")]
+    last = events.groupBy("file_id").agg(F.max(F.struct("version", "_event", *[c for c in rest if c != "_event"])).alias("e"))
+    last = last.select("file_id", "e.*")
+    if base and held in base.tables:
+        old = base.table(held).select("file_id", F.col("version").alias("_held"))
+        last = last.join(old, "file_id", "left").filter("_held IS NULL OR version > _held").drop("_held")
+    return materialize(last, "last-events")
+
+
 def _first(spark: SparkSession, draft: Draft, came: DataFrame, files: DataFrame, limit: int) -> dict:
     size = files.agg(F.sum("length")).first()[0] or 0
     buckets = buckets_for(size, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -180,3 +180,33 @@ def test_kept_up_groups_and_statistics_equal_a_rebuild(spark, tmp_path, limit):
 
 def test_buckets_follow_the_bytes():
     assert buckets_for(0, 8) == 8 and buckets_for(100 << 20, 8) == 13 and buckets_for(1 << 60, 8) == 1 << 16
+
+
+def test_late_and_repeated_events_lose(spark, tmp_path):
+    """Versions decide, not arrival; a text with a message keeps the old symbols but shows the message."""
+    home = f"{tmp_path}/index"
+    schema = "file_id long, version long, event_type string, text string, length long"
+
+    def batch(*events):
+        P.change_files(spark, home, spark.createDataFrame([(*e, 10) for e in events], schema), words, bad)
+        version = Store(spark, home).open()
+        return (sorted((r.file_id, r.name) for r in version.table("symbols").collect()),
+                sorted((r.file_id, r.message) for r in version.table("diagnostics").collect()))
+
+    def words(events):
+        return extract(events.withColumn("file_path", F.concat(F.lit("/d/f"), "file_id")).withColumn("user_space", F.lit(True)))
+
+    def bad(events):
+        return events.filter(F.col("text").contains("!")).select("file_id", F.lit("bad").alias("message"))
+
+    assert batch((1, 5, "change", "a b"), (1, 4, "save", "older"), (2, 1, "open", "x"), (3, 1, "change", "c !")) == (
+        [(1, "a"), (1, "b")], [(3, "bad")])
+    assert batch((1, 3, "change", "late"), (1, 5, "change", "a b"), (3, 2, "change", "c"), (2, 2, "save", "y")) == (
+        [(1, "a"), (1, "b"), (2, "y"), (3, "c")], [])
+    assert batch((1, 6, "change", "new !"), (2, 3, "delete", None)) == ([(1, "a"), (1, "b"), (3, "c")], [(1, "bad")])
+    n = Store(spark, home).versions()
+    batch((1, 6, "change", "new !"), (2, 3, "change", "again"), (3, 1, "change", "late"))
+    assert Store(spark, home).versions() == n        # nothing later than what is held: no version
+    version = Store(spark, home).open()
+    index = version.table("symbols").drop("bucket")
+    assert rows(version.table("terms").select("field", "term", "df")) == rows(term_stats(index).select("field", "term", "df"))

@@ -52,3 +52,14 @@ def test_prefix_match(spark):
     assert sorted(r.n for r in df.filter(prefix_match("n", "to")).collect()) == ["total", "tote"]
     assert [r.n for r in df.filter(prefix_match("n", "C[a]")).collect()] == ["Cart"]
     assert df.filter(prefix_match("n", "(")).count() == 0
+
+
+def test_prefix_patterns_are_the_java_engines(spark):
+    """FN-12: classes and groups that only the evaluating engine knows; a bad pattern matches nothing."""
+    from scopeforge.functions.text import prefix_match
+    df = spark.createDataFrame([("Ärger",), ("ärger",), ("abab",), ("xyz",)], "name string")
+    found = lambda p: sorted(r.name for r in df.filter(prefix_match("name", p)).collect())
+    assert found(r"\p{Lu}[a-z]") == ["Ärger"]
+    assert found(r"(?<two>ab)\k<two>") == ["abab"]
+    assert found("ab") == ["abab"] and found("") == sorted(["Ärger", "ärger", "abab", "xyz"])
+    assert found("(") == [] and found("a)|(b") == []
