@@ -7,9 +7,12 @@ different languages, as code-switched text does.  Forward-backward gives each wo
 posterior; a document's language has the largest mean posterior over its words with
 letters, and that mean is the score.
 
-The model is fitted on at most ``PER_LANGUAGE`` whole labelled documents of each of the
-``MAX_LANGUAGES`` most frequent languages, chosen by a hash of the id; prediction covers
-every document and reads nothing but its text.
+The model learns every language that a labelled document has.  It is fitted on a bounded
+sample: whole labelled documents chosen by a hash of the id, at most ``PER_LANGUAGE`` of a
+language (fewer, but ``LEAST_PER_LANGUAGE``, where there are so many languages that all would
+pass ``SAMPLE_ROWS``), of ``SAMPLE_BYTES`` in all shared alike by the languages, and of these
+at most ``LANGUAGE_WORDS`` words of a language in runs.  Prediction covers every document and
+reads nothing but its text.
 
 Null text, or no letter: ``und`` with score 0.  Without labelled documents everything is
 ``und``.  Ties go to the language that sorts first.  Repeated rows and ids are kept.  Only
@@ -25,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scopeforge.session import materialize
+
 from .common import mix, powers, table, text_slices
 
-PER_LANGUAGE, MAX_LANGUAGES = 400, 64
+PER_LANGUAGE, LEAST_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES = 400, 20, 25_600, 256 << 20
 #: Words of a run, runs of a training sequence, words of all runs of a language.
 RUN_WORDS, RUNS, LANGUAGE_WORDS = 24, 8, 200_000
 LEXICON_WORDS = 500
-BUCKETS = 1 << 17
+#: Buckets of features; a power of two, halved as languages double so that the weights stay of one size.
+BUCKETS, WEIGHTS = 1 << 17, 1 << 23
 EPOCHS, STEP_SEQUENCES, RATE, DECAY = 5, 128, 0.05, 1e-4
 CACHE_WORDS = 300_000
 #: Word types whose features are made at a time.
@@ -93,7 +99,10 @@ class Chain:
     def __init__(self, languages: list[str], lexicon: dict[str, list[int]]):
         self.languages, self.lexicon, self.key = languages, lexicon, uuid.uuid4().hex
         n = len(languages)
-        self.weights = np.zeros((BUCKETS, n), np.float32)
+        self.buckets = BUCKETS
+        while self.buckets * n > WEIGHTS and self.buckets > 1 << 12:
+            self.buckets //= 2
+        self.weights = np.zeros((self.buckets, n), np.float32)
         self.start, self.move = np.zeros(n), np.zeros((n, n))
 
     def emissions(self, words: list[str]) -> np.ndarray:
@@ -101,13 +110,28 @@ class Chain:
         out = np.zeros((len(words), len(self.languages)), np.float32)
         for at in range(0, len(words), TYPES):
             flat, n = features(words[at:at + TYPES], self.lexicon)
+            flat &= self.buckets - 1
             total = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.weights[flat], 0, dtype=float)])
             ends = np.cumsum(n)
             out[at:at + TYPES] = total[ends] - total[ends - n]
         return out
 
     def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Forward-backward over chains that lie one behind the other in ``scores``."""
+        """Of every word, over chains that lie one behind the other in ``scores``."""
+        ahead, back, _ = self.passes(scores, lengths)
+        both = ahead * back
+        return both / both.sum(1, keepdims=True)
+
+    def expected_moves(self, ahead: np.ndarray, back: np.ndarray, heat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Expected number of each transition over all chains."""
+        later = np.ones(len(heat), bool)
+        later[np.cumsum(lengths) - lengths] = False
+        later = np.flatnonzero(later)
+        pair = ahead[later - 1][:, :, None] * np.exp(self.move)[None] * (heat[later] * back[later])[:, None, :]
+        return (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+
+    def passes(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward values of every word, scaled to a sum of one, and its heat."""
         heat = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float64)
         start = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
@@ -131,8 +155,7 @@ class Chain:
             back[at] = now
             now = (now * heat[at]) @ move.T
             now /= now.sum(1, keepdims=True)
-        both = ahead * back
-        return both / both.sum(1, keepdims=True)
+        return ahead, back, heat
 
 
 def fit(samples: list[tuple[str, str]], seed: int = 7) -> Chain:
@@ -168,9 +191,10 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Chain:
     types = sorted({w for _, run in runs for w in run})
     row = {w: i for i, w in enumerate(types)}
     flat, n_of = features(types, lexicon)
+    flat &= chain.buckets - 1
     begin = np.cumsum(n_of) - n_of
     n = len(languages)
-    squares, move_squares, start_squares = np.full((BUCKETS, n), 1e-6), np.full((n, n), 1e-6), np.full(n, 1e-6)
+    squares, move_squares, start_squares = np.full((chain.buckets, n), 1e-6), np.full((n, n), 1e-6), np.full(n, 1e-6)
     for _ in range(EPOCHS):
         order = rng.permutation(len(runs))
         step = RUNS * STEP_SEQUENCES
@@ -185,28 +209,25 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Chain:
             feature = flat[np.repeat(begin[used] - (ends - count), count) + np.arange(int(ends[-1]))]
             total = np.concatenate([np.zeros((1, n)), np.cumsum(chain.weights[feature], 0, dtype=float)])
             scores = (total[ends] - total[ends - count])[which]
-            post = chain.posteriors(scores, lengths)
+            ahead, back, heat = chain.passes(scores, lengths)
+            post = ahead * back
+            post /= post.sum(1, keepdims=True)
             slope = -post
             slope[np.arange(len(gold)), gold] += 1
             by_type = np.zeros((len(used), n))
             np.add.at(by_type, which, slope)
             spread = np.repeat(by_type, count, axis=0)
-            change = np.stack([np.bincount(feature, spread[:, k], BUCKETS) for k in range(n)], 1)
+            change = np.stack([np.bincount(feature, spread[:, k], chain.buckets) for k in range(n)], 1)
             change = change / len(lengths) - DECAY * chain.weights
             squares += change ** 2
             chain.weights += (RATE * change / np.sqrt(squares)).astype(np.float32)
-            # expected moves, from neighbours' posteriors given the scores
             first = np.cumsum(lengths) - lengths
             inner = np.ones(len(gold), bool)
             inner[first] = False
             later = np.flatnonzero(inner)
-            heat = np.exp(scores - scores.max(1, keepdims=True))
-            move = np.exp(chain.move)
-            pair = post[later - 1][:, :, None] * move[None] * (heat[later] * post[later])[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
             seen_moves = np.zeros((n, n))
             np.add.at(seen_moves, (gold[later - 1], gold[later]), 1)
-            change = (seen_moves - pair.sum(0)) / len(lengths) - DECAY * chain.move
+            change = (seen_moves - chain.expected_moves(ahead, back, heat, lengths)) / len(lengths) - DECAY * chain.move
             move_squares += change ** 2
             chain.move += RATE * change / np.sqrt(move_squares)
             change = (np.bincount(gold[first], minlength=n) - post[first].sum(0)) / len(lengths)
@@ -223,17 +244,19 @@ def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     """The bounded sample: whole texts of labelled documents that are not held out."""
     known = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL").filter(
         ~F.coalesce(held_out(), F.lit(False)))
-    n_of = {r["lang"]: r["count"] for r in known.groupBy("lang").count()
-            .orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not n_of:
+    n_of = materialize(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = n_of.count()
+    if not languages:
         return []
+    per = min(PER_LANGUAGE, max(LEAST_PER_LANGUAGE, SAMPLE_ROWS // languages))
+    most = SAMPLE_BYTES // languages
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    # twice the wanted share by hash first, so that few rows reach the ranking
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, (2 * PER_LANGUAGE + 20) / n)))
-                         for k, n in n_of.items()])
     best = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
-    rows = (known.withColumn("place", place).filter(F.col("place") < share)
-            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= PER_LANGUAGE))
+    # about twice the wanted share by hash first, so that few rows reach the ranking
+    rows = (known.filter(F.octet_length("text") <= most).withColumn("place", place)
+            .join(F.broadcast(n_of), "lang").filter(F.col("place") < (2 * per + 20) / F.col("n"))
+            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per)
+            .withColumn("bytes", F.sum(F.octet_length("text")).over(best)).filter(F.col("bytes") <= most))
     return [(r["lang"], r["text"]) for r in rows.select("lang", "text").collect()]
 
 
