@@ -1,6 +1,7 @@
 """I-Match fingerprints with randomised lexicons (operator 7).
 
-The lexicon holds the terms (lower-cased words) whose share of documents lies in a band.
+The lexicon holds the terms (lower-cased words) that stand in two documents at least and
+whose share of documents lies in a band.
 Every subset of it keeps a term by a hash of the term and the subset's number, at rates
 from dense to sparse.  A fingerprint has one 32-bit hash per subset, of the distinct terms
 of the text that the subset keeps, in sorted order; a sparse subset misses small edits, so
@@ -8,7 +9,9 @@ the share of equal parts tells how much of the in-band vocabulary two texts have
 common.  A text without in-band terms is hashed by all its distinct terms.
 
 The band's lower edge bounds the lexicon: at most (mean distinct terms of a document) /
-``LOW`` terms, whatever the number of documents.
+``LOW`` terms, whatever the number of documents.  Where that mean passes ``LOW * MAX_LEXICON``
+the edge rises, so that no more than ``MAX_LEXICON`` terms are broadcast: likeness is then
+told by commoner terms only.
 
 The next document is the next row by descending id (ids in buckets between exact
 boundaries; the row behind a boundary is copied into the bucket before it).  Null text:
