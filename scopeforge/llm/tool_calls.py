@@ -4,6 +4,7 @@
   calls    (conv_id, turn, call_id, name, arguments: JSON, after: array of call ids)
   results  (conv_id, turn, call_id, content)
   schemas  (name, field, type, required), types as in JSON schema
+  messages (conv_id, turn, role, content), turns that are neither; they keep their places
 and joins calls and results by (conversation, id), orders both so that a result follows its
 call and a call the results that it needs, checks arguments against the tool's fields, and
 writes canonical JSON: members sorted, no white space, numbers and strings in one spelling.
@@ -24,10 +25,12 @@ exact repeats are all but one duplicates.  Further columns are not read.  Empty:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scopeforge.session import materialize
+from scopeforge.session import materialize, shared_dir
 
 from .common import table, word_count
 
@@ -72,38 +75,38 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def _moved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, at, depth, cycle): the place of every message.  ``nodes``: (node, conv_id,
-    turn); ``edges``: (source, target).  A target's place lies behind all its sources."""
+    turn); ``edges``: (conv_id, source, target).  A target's place lies behind all its
+    sources.  Each round takes up only the chats in which something still moves."""
+    spark = nodes.sparkSession
     sizes = nodes.groupBy("conv_id").agg(F.count("*").alias("many"))
-    places = nodes.select("node", "conv_id", F.col("turn").alias("at"), F.lit(0).cast("long").alias("depth"))
-    places = materialize(places, "tool-places")
-    first = True
+    places = materialize(nodes.select("node", "conv_id", F.col("turn").alias("at"), F.lit(0).cast("long").alias("depth")), "tool-places")
+    settled, first = f"{shared_dir(spark)}/stages/tool-settled-{uuid.uuid4().hex[:12]}", True
     while True:
         source = places.select(F.col("node").alias("source"), F.col("at").alias("s_at"), F.col("depth").alias("s_depth"))
         target = places.select(F.col("node").alias("target"), F.col("at").alias("t_at"), F.col("depth").alias("t_depth"))
         late = (edges.join(source, "source").join(target, "target")
                 .filter(F.struct("s_at", "s_depth") >= F.struct("t_at", "t_depth"))
-                .groupBy("target").agg(F.max(F.struct("s_at", "s_depth")).alias("behind")))
+                .groupBy("conv_id", F.col("target").alias("node")).agg(F.max(F.struct("s_at", "s_depth")).alias("behind")))
         if first and late.isEmpty():
             return places.withColumn("cycle", F.lit(False))
-        first = False
         # a message that has moved behind as many messages as its chat holds is on a cycle or
-        # behind one; rounds go on until all of a cycle have
-        late = materialize(late, "tool-late")
-        moved = (places.join(late, F.col("node") == F.col("target"), "left").join(
-            sizes.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))))
-        open_ = F.col("behind").isNotNull() & (F.col("behind.s_depth") <= 2 * F.col("many"))
-        step = materialize(moved.select(
-            "node", "conv_id", F.when(open_, F.col("behind.s_at")).otherwise(F.col("at")).alias("at"),
-            F.when(open_, F.col("behind.s_depth") + 1).otherwise(F.col("depth")).alias("depth"),
-            open_.alias("open"), (F.col("depth") >= F.col("many")).alias("cycle")), "tool-places")
-        places = step.select("node", "conv_id", "at", "depth")
-        if step.filter("open").isEmpty():
-            return step.select("node", "conv_id", "at", "depth", "cycle")
-
-
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(conv_id, position, turn, kind, call_id, status, problems, message), one row per call
-    and result, ``position`` counting from 1 in each conversation."""
+        # behind one; its chat goes on until all of a cycle have
+        late = materialize(late.join(sizes, "conv_id").filter(F.col("behind.s_depth") <= 2 * F.col("many")), "tool-late")
+        moving = materialize(late.select("conv_id").distinct(), "tool-chats")
+        still = places.join(moving, "conv_id", "left_anti").join(sizes.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
+        still.select("node", "conv_id", "at", "depth", (F.col("depth") >= F.col("many")).alias("cycle")).write.mode("append").parquet(settled)
+        if moving.isEmpty():
+            return spark.read.parquet(settled)
+        places = materialize(places.join(moving, "conv_id", "left_semi").join(late.select("node", "behind"), "node", "left").select(
+            "node", "conv_id", F.coalesce("behind.s_at", "at").alias("at"),
+            F.coalesce(F.col("behind.s_depth") + 1, "depth").alias("depth")), "tool-places")
+        edges = materialize(edges.join(moving, "conv_id", "left_semi"), "tool-edges")
+        first = False
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """(conv_id, position, turn, kind, call_id, status, problems, message), one row per call,
+    result and plain message, ``position`` counting from 1 in each conversation."""
     calls = checked(calls.select("conv_id", "turn", "call_id", "name", "arguments", "after"), schemas)
     text = F.coalesce("canonical", quoted(F.col("arguments")))
     calls = calls.select(
@@ -116,7 +119,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         F.lit(None).cast("array<string>").alias("problems"),
         F.concat(F.lit('{"content":'), quoted(F.col("content")), F.lit(',"id":'), quoted(F.col("call_id")),
                  F.lit(',"type":"tool_result"}')).alias("message"))
-    rows = materialize(calls.unionByName(results).withColumn("node", F.monotonically_increasing_id()), "tool-rows")
+    rows = calls.unionByName(results)
+    if messages is not None:
+        none = F.lit(None)
+        rows = rows.unionByName(messages.select(
+            "conv_id", "turn", F.lit("message").alias("kind"), none.cast("string").alias("call_id"),
+            none.cast("array<string>").alias("after"), none.cast("string").alias("argument_status"),
+            none.cast("array<string>").alias("problems"),
+            F.concat(F.lit('{"content":'), quoted(F.col("content")), F.lit(',"role":'), quoted(F.col("role")),
+                     F.lit(',"type":"message"}')).alias("message")))
+    rows = materialize(rows.withColumn("node", F.monotonically_increasing_id()), "tool-rows")
 
     # of each id the first call and the first result; the others are duplicates
     id_ = ["conv_id", "call_id"]
@@ -126,10 +138,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     result_lead = lead.filter("kind = 'result'").select(*id_, F.col("lead").alias("result_node"))
     pairs = materialize(call_lead.join(result_lead, id_, "full"), "tool-pairs")
     needs = (rows.filter("kind = 'call'").select("conv_id", F.explode("after").alias("call_id"), F.col("node").alias("target"))
-             .join(pairs, id_).select(F.coalesce("result_node", "call_node").alias("source"), "target"))
-    edges = (pairs.filter("call_node IS NOT NULL AND result_node IS NOT NULL")
-             .select(F.col("call_node").alias("source"), F.col("result_node").alias("target")).union(needs)
-             .filter("source <> target"))
+             .join(pairs, id_).select("conv_id", F.coalesce("result_node", "call_node").alias("source"), "target"))
+    edges = materialize(pairs.filter("call_node IS NOT NULL AND result_node IS NOT NULL")
+                        .select("conv_id", F.col("call_node").alias("source"), F.col("result_node").alias("target")).union(needs)
+                        .filter("source <> target"), "tool-edges")
     places = _moved(rows.select("node", "conv_id", F.col("turn").cast("long").alias("turn")), edges)
 
     status = (F.when(F.col("cycle"), "cycle").when(F.col("argument_status").isNotNull(), F.col("argument_status"))
@@ -158,7 +170,8 @@ ASK = [("ask", "text", "string", True), ("ask", "words", "integer", True), ("ask
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as tool use: a user turn calls ``ask`` with its text and number of
     words (as a string where there are fewer than four, which the schema refuses) and needs
-    the answer to the user turn before; an assistant turn answers the turn before it."""
+    the answer to the user turn before; an assistant or tool turn answers the turn before it;
+    turns of any other role, or of none, are plain messages."""
     chats = table(spark, sf_dir, "conversations")
     n = word_count("text")
     number = F.when(n < 4, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n.cast("string"))
@@ -167,10 +180,12 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("call_id"), F.lit("ask").alias("name"),
         F.concat(F.lit('{ "words" : '), number, F.lit(" , "), F.substr(body, F.lit(2))).alias("arguments"),
         F.array(F.concat_ws(":", "conv_id", F.col("turn") - 2)).alias("after"))
-    results = chats.filter("role = 'assistant'").select(
+    results = chats.filter("role IN ('assistant', 'tool')").select(
         "conv_id", "turn", F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     schemas = spark.createDataFrame(ASK, "name string, field string, type string, required boolean")
-    return link(calls, results, schemas)
+    others = chats.filter("role IS NULL OR role NOT IN ('user', 'assistant', 'tool')").select(
+        "conv_id", "turn", "role", F.col("text").alias("content"))
+    return link(calls, results, schemas, others)
 
 
 ORACLE = r"""
@@ -180,13 +195,17 @@ c AS (SELECT conv_id, turn, 'call' AS kind, conv_id || ':' || turn AS call_id, n
         || '},"id":"' || conv_id || ':' || turn || '","name":"ask","type":"tool_call"}' AS message FROM m WHERE role = 'user'),
 r AS (SELECT conv_id, turn, 'result' AS kind, conv_id || ':' || (turn - 1) AS call_id,
         '{"content":' || to_json(text) || ',"id":"' || conv_id || ':' || (turn - 1) || '","type":"tool_result"}' AS message
-      FROM m WHERE role = 'assistant'),
+      FROM m WHERE role IN ('assistant', 'tool')),
 a AS (SELECT c.conv_id, c.turn, c.kind, c.call_id, CASE WHEN bad THEN 'invalid_arguments' WHEN r.call_id IS NULL THEN 'no_result'
         ELSE 'ok' END AS status, CASE WHEN bad THEN 'type:words' ELSE '' END AS problems, c.message
       FROM c LEFT JOIN r USING (call_id)
       UNION ALL
       SELECT r.conv_id, r.turn, r.kind, r.call_id, CASE WHEN c.call_id IS NULL THEN 'orphan_result' ELSE 'ok' END, NULL, r.message
-      FROM r LEFT JOIN c USING (call_id))
+      FROM r LEFT JOIN c USING (call_id)
+      UNION ALL
+      SELECT conv_id, turn, 'message', NULL, 'ok', NULL, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":'
+        || coalesce(to_json(role)::VARCHAR, 'null') || ',"type":"message"}'
+      FROM m WHERE role IS NULL OR role NOT IN ('user', 'assistant', 'tool'))
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind)::BIGINT AS position, turn, kind, call_id, status,
        problems, message FROM a
 """
