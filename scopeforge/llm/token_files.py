@@ -18,9 +18,11 @@ import os
 import re
 import uuid
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,10 @@ from .common import table, text_buffer, text_slices
 #: Ids of a sequence, and sequences of a record batch.
 SEQUENCE = 2048
 BATCH_SEQUENCES = 64
-#: Distinct space-led chunks whose ids a worker remembers.
-CACHE_CHUNKS = 600_000
+#: Bytes of text whose distinct parts are looked up together.
+TEXT_BYTES = 8 << 20
+#: Distinct chunks whose ids a worker remembers.
+CACHE_CHUNKS = 900_000
 END_ID = 0
 _SPACES = re.compile(r"\s\s")
 
@@ -58,19 +62,35 @@ class ChunkTable:
         self.row: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.start = np.zeros(1, np.int64)
+        #: Calls that found each chunk here.
+        self.found = np.zeros(0, np.uint16)
+
+    def forget(self) -> None:
+        """Keep the half of the table, at most, that was found most often; most chunks come once."""
+        order = np.sort(self.found)
+        least = max(1, int(order[-(self.limit // 2)]) + 1 if len(order) > self.limit // 2 else 1)
+        rows = np.flatnonzero(self.found >= least)
+        n = np.diff(self.start)[rows]
+        ends = np.cumsum(n)
+        keep = np.zeros(len(self.found), bool)
+        keep[rows] = True
+        self.ids = self.ids[np.repeat(self.start[rows] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.start = np.concatenate([[0], ends])
+        chunks = [c for c, kept in zip(self.row, keep.tolist()) if kept]  # a dict is in order of its rows
+        self.row = dict(zip(chunks, range(len(chunks))))
+        self.found = np.zeros(len(chunks), np.uint16)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, new: list[str]) -> None:
+    def _add(self, new: set[str]) -> None:
         """Chunks that begin with one space and end with another character are encoded as
         one text, each being cut off in front of its space, and told apart by bytes."""
-        joins = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
-        known = set(joins)
-        alone = [c for c in new if c not in known]
+        joins = [c for c in new if c[1:] == c.strip() and len(c) > 1 and c[0] == " "]
+        alone = list(new.difference(joins))
         if joins:
             ids = np.array(self.encode(["".join(joins)])[0], np.uint32)
-            ends = np.cumsum([len(c.encode()) for c in joins])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, joins)), np.int64, len(joins)))
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             self._put(joins, ids, ends)
         if alone:
@@ -81,23 +101,33 @@ class ChunkTable:
         self.row.update(zip(chunks, range(len(self.row), len(self.row) + len(chunks))))
         self.ids = np.concatenate([self.ids, ids])
         self.start = np.concatenate([self.start, self.start[-1] + ends])
+        self.found = np.concatenate([self.found, np.zeros(len(chunks), np.uint16)])
 
-    def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number of ids of each chunk."""
-        need = set(chunks)
-        need.difference_update(self.row)
+    def rows(self, chunks: list[str]) -> np.ndarray:
+        """The row of each chunk, after the new ones are added."""
+        need = set(filterfalse(self.row.__contains__, chunks))
+        known = len(self.row)
         if need:
-            if len(self.row) + len(need) > self.limit:
-                self.clear()
-                need = set(chunks)
-            self._add(list(need))
+            if known + len(need) > self.limit:
+                self.forget()
+                known = len(self.row)
+                need = set(filterfalse(self.row.__contains__, chunks))
+            self._add(need)
         rows = np.fromiter(map(self.row.__getitem__, chunks), np.int64, len(chunks))
+        self.found[rows[rows < known]] += 1  # once a call
+        return rows
+
+    def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number of ids of each row."""
         first, n = self.start[rows], self.start[rows + 1] - self.start[rows]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat(first - (ends - n), n) + np.arange(total)
         return self.ids[at], n
 
+    def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids_of(self.rows(chunks))
+
 
 _TABLES: dict[str, ChunkTable] = {}
 
@@ -114,11 +144,9 @@ def chunk_table(tokenizer: str) -> ChunkTable:
 def cut_at_spaces(text: str) -> list[str]:
     """Parts of ``text``, each but the first with its leading space; white space other
     than single spaces stays inside a part."""
+    if not _SPACES.search(text) and "\0" not in text:
+        return text.replace(" ", "\0 ").split("\0")
     parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    if not _SPACES.search(text):
-        return [parts[0], *[" " + p for p in parts[1:]]]
     out, held = [], parts[0]
     for p in parts[1:]:
         if p and held and not p[0].isspace() and not held[-1].isspace():
@@ -131,12 +159,39 @@ def cut_at_spaces(text: str) -> list[str]:
 
 
 def encode_documents(texts: list[str], chunks: ChunkTable) -> tuple[np.ndarray, np.ndarray]:
-    """All ids (without end ids) and the number of ids of each document."""
-    cut = [cut_at_spaces(t) if t else [] for t in texts]
-    ids, n = chunks.lookup([c for parts in cut for c in parts])
+    """All ids (without end ids) and the number of ids of each document.
+
+    Texts whose white space is single are cut and told apart by Arrow, so that only distinct
+    parts become Python strings; the others are cut one by one."""
+    simple = [i for i, t in enumerate(texts) if t and not _SPACES.search(t)]
+    whole = set(simple)
+    other = [i for i, t in enumerate(texts) if t and i not in whole]
+    cut = [cut_at_spaces(texts[i]) for i in other]
+    parts = pc.split_pattern(pa.array([texts[i] for i in simple], pa.large_string()), " ")
+    offsets = parts.offsets.to_numpy()
+    spelled = parts.flatten().dictionary_encode()
+    place, words = spelled.indices.to_numpy(), spelled.dictionary.to_pylist()
+    head = np.zeros(len(place), bool)
+    head[offsets[:-1]] = True
+    used = np.zeros(len(words), bool)
+    used[place[~head]] = True
+    later = [" " + w for w, u in zip(words, used.tolist()) if u]
+    heads = [words[i] for i in place[head].tolist()]
+    rows = chunks.rows([*later, *heads, *(c for own in cut for c in own)])
+    row_of = np.zeros(len(words), np.int64)
+    row_of[used] = rows[:len(later)]
+    rest = rows[len(later) + len(heads):]
+    count = np.zeros(len(texts), np.int64)
+    count[simple], count[other] = np.diff(offsets), [len(c) for c in cut]
+    first = np.cumsum(count) - count
+    flat = np.zeros(int(count.sum()), np.int64)
+    flat[np.repeat(first[simple] - offsets[:-1], count[simple]) + np.arange(len(place))] = row_of[place]
+    flat[first[simple]] = rows[len(later):len(later) + len(heads)]
+    own = count[other]
+    flat[np.repeat(first[other] - (np.cumsum(own) - own), own) + np.arange(len(rest))] = rest
+    ids, n = chunks.ids_of(flat)
     total = np.concatenate([[0], np.cumsum(n)])
-    ends = np.cumsum([len(c) for c in cut])
-    return ids, np.diff(np.concatenate([[0], total[ends]]))
+    return ids, total[first + count] - total[first]
 
 
 class _Store:
@@ -187,7 +242,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, uri: str, sequence: int =
 
         def tokens():
             for batch in batches:
-                for part in text_slices(batch, "text"):
+                for part in text_slices(batch, "text", TEXT_BYTES):
                     texts = part.column("text").fill_null("").to_pylist()
                     ids, n = encode_documents(texts, chunks)
                     index.append((part.column("doc_id"), n + 1))
@@ -266,7 +321,7 @@ def read_token_files(shards: DataFrame, uri: str, id_type: str = "long") -> Data
                     yield pa.record_batch({"doc_id": part.column("doc_id"), "start": pa.array(starts + row["before"]),
                                            "n_tokens": pa.array(n), "ids_crc32": pa.array(crc)})
 
-    # one file to a task: the files are the unit of work
+    # the files are the unit of work
     many = at.repartition(max(1, shards.count()), "shard")
     return many.mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
