@@ -4,7 +4,7 @@ import pytest
 
 from scopeforge.llm.registry import QUERIES
 
-ROWS = {"op9_wrapper_html": 7, "op3_tool_calls": 8, "op11_angular_negatives": 7, "op13_whitening": 24}
+ROWS = {"op9_wrapper_html": 7, "op3_tool_calls": 10, "op11_angular_negatives": 7, "op13_whitening": 24}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -28,6 +28,22 @@ def test_pipeline_on_edges(spark, edge_dir, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
 
 
+def test_repeated_ids_and_clashing_names_in_the_pipeline(spark):
+    """A near copy goes although its id has another text, too; columns of any name stay."""
+    import corpus_pipeline
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(6, long), (7, long + " z"), (7, "other words of this id"), (7, "third text, not like the others at all"),
+            (8, ""), (8, "eight"), (None, long), (9, "twice the same"), (9, "twice the same")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, "c", "c", "c") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, _th string, _kept string, th string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted(
+        (str(i), t) for i, t in dict.fromkeys(rows) if (i, t) != (7, long + " z"))
+    assert corpus_pipeline.repeated_passages(spark, got, "").columns == docs.columns
+    assert corpus_pipeline.mix(spark, got, "").columns == docs.columns
+
+
 def test_empty_texts_have_only_the_end_id(spark, edge_dir):
     n = {r.doc_id: r.n_tokens for r in rows(spark, edge_dir, "op1_sentencepiece")}
     assert n[0] == n[1] == 1
@@ -53,6 +69,7 @@ def test_tool_call_states(spark, edge_dir):
     assert ("0", "1", "result", "ok") in got
     assert [g[3] for g in got if g[:3] == ("1", "0", "call")] == ["duplicate_call", "ok"]
     assert ("2", "1", "result", "orphan_result") in got
+    assert ("4", "0", "message", "ok") in got and ("4", "1", "result", "orphan_result") in got  # system and tool turns
 
 
 def test_pages(spark, edge_dir):

@@ -109,6 +109,42 @@ def test_marked_parts_are_left_out():
     assert main_text(page, None) == "A <b\none two three\nfour xy"
 
 
+def test_what_an_article_holds_stays():
+    """Equal on all pages or marked on a piece of prose: inside an article it is text."""
+    pages = [f"<body><div>Same</div><article><h1>Story {i}</h1><div class='by'>By our staff</div><p>Body {i} a</p><p>Body {i} b</p>"
+             f"<h2>Part {i}</h2><p class='share'>Profit per share rose</p><div class='ad'>Buy {i}</div></article></body>" for i in range(30)]
+    learned = learn(pages)
+    assert learned["template"]
+    assert main_text(pages[3], learned) == "Story 3\nBy our staff\nBody 3 a\nBody 3 b\nPart 3\nProfit per share rose"
+
+
+def test_unmarked_menu_that_never_changes_is_left_out():
+    """A repeated group is compared as a whole; where one page has another item, its own stays."""
+    menu = "<ul><li><a>Home</a></li><li><a>News</a></li><li><a>Sport</a></li></ul>"
+    pages = [f"<body>{menu}<div><p>Text {i} one</p><p>Text {i} two</p></div></body>" for i in range(30)]
+    learned = learn(pages)
+    assert main_text(pages[7], learned) == "Text 7 one\nText 7 two"
+    other = pages[7].replace("Sport", "Other")
+    assert main_text(other, learned).startswith("Home\nNews\nOther")
+    changing = learn([*pages, other])
+    assert main_text(pages[7], changing) == "Home\nNews\nSport\nText 7 one\nText 7 two"
+
+
+def test_long_repeats_fold():
+    """Bodies of more items than any fixed number, inner repeats first."""
+    body = [("t", f"a{i}") for i in range(70)]
+    assert fold(body * 3) == [("+", [body, body, body])]
+    inner = [("t", "ul"), ("t", "li"), ("t", "li"), ("t", "/ul")]
+    folded = fold(inner * 2)
+    assert folded == [("+", [[("t", "ul"), ("+", [[("t", "li")], [("t", "li")]]), ("t", "/ul")]] * 2)]
+
+
+def test_marks_in_other_words():
+    page = "<body><div><p>Text</p></div>" + "".join(
+        f"<div class='{c}'><p>x</p></div>" for c in ("subscription-box", "breadcrumb-trail", "cookiebar", "kommentare", "werbung")) + "</body>"
+    assert main_text(page, None) == "Text"
+
+
 def test_marks_do_not_take_the_article():
     story = "<h1>Head</h1><p>one two three</p>"
     for page in ("<article class='post no-sidebar'>{}</article>", "<div class='site right-sidebar'><article>{}</article></div>",

@@ -206,6 +206,57 @@ def test_code_switched_words_are_told_apart():
     assert labeller.documents(["12 ##", ""]) [0] == ["und", "und"]
 
 
+def test_transitions_follow_the_likelihood():
+    """Expected moves against finite differences of the log-likelihood, summed over all paths."""
+    import itertools
+    rng = np.random.default_rng(3)
+    chain = crf_langid.Chain(["a", "b", "c"], {})
+    chain.start, chain.move = rng.normal(size=3), rng.normal(size=(3, 3))
+    lengths = np.array([6, 1, 4])
+    scores = rng.normal(size=(11, 3)) * 2
+    gold = rng.integers(0, 3, 11)
+
+    def likelihood():
+        total = 0.0
+        for begin, n in zip(np.cumsum(lengths) - lengths, lengths):
+            def path(p):
+                return chain.start[p[0]] + sum(scores[begin + i, k] for i, k in enumerate(p)) + sum(
+                    chain.move[x, y] for x, y in zip(p, p[1:]))
+            total += path(gold[begin:begin + n]) - np.log(sum(np.exp(path(p)) for p in itertools.product(range(3), repeat=int(n))))
+        return total
+
+    ahead, back, heat = chain.passes(scores, lengths)
+    expected = chain.expected_moves(ahead, back, heat, lengths)
+    seen = np.zeros((3, 3))
+    for begin, n in zip(np.cumsum(lengths) - lengths, lengths):
+        np.add.at(seen, (gold[begin:begin + n - 1], gold[begin + 1:begin + n]), 1)
+    for x in range(3):
+        for y in range(3):
+            value = chain.move[x, y]
+            chain.move[x, y] = value + 1e-5
+            up = likelihood()
+            chain.move[x, y] = value - 1e-5
+            slope = (up - likelihood()) / 2e-5
+            chain.move[x, y] = value
+            assert abs(slope - (seen - expected)[x, y]) < 1e-6
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample has room for at the usual size: none is left out."""
+    monkeypatch.setattr(crf_langid, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(crf_langid, "WEIGHTS", 1 << 18)
+    monkeypatch.setattr(crf_langid, "LEAST_PER_LANGUAGE", 4)
+    rows = [(1000 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + (i * j) % 26)}x" for j in range(30)), f"l{k:02}")
+            for k in range(70) for i in range(12 if k else 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = crf_langid.training_rows(docs)
+    assert len({lang for lang, _ in sample}) == 70 and len(sample) <= 70 * 4
+    chain = crf_langid.fit(sample)
+    assert len(chain.languages) == 70 and chain.weights.size <= 1 << 19
+    got = crf_langid.predict(docs, chain, ["doc_id", "lang"]).collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.9 * len(got)
+
+
 def test_posteriors_against_enumeration():
     from itertools import product
     rng = np.random.default_rng(2)
@@ -225,6 +276,52 @@ def test_posteriors_against_enumeration():
         at += n
 
 
+def test_imatch_fingerprints_against_plain_python(spark, sf_dir, texts):
+    """Lexicon, subsets, fingerprints and likeness of texts, edited and next texts, term by term."""
+    from scopeforge.llm.common import mix, span_hashes
+    whole = (1 << 64) - 1
+    mix_ = lambda x: int(mix(np.array([x & whole], np.uint64))[0])
+
+    def terms(text):
+        words = set(re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text)))
+        return {int(span_hashes(np.frombuffer(b := w.encode(), np.uint8), np.array([0]), np.array([len(b)]))[0]) >> 16 for w in words}
+
+    of = {i: terms(t) for i, t in texts.items()}
+    df = {}
+    for own in of.values():
+        for t in own:
+            df[t] = df.get(t, 0) + 1
+    lex = {t for t, n in df.items() if n > 1 and imatch.LOW * len(texts) <= n <= imatch.HIGH * len(texts)}
+
+    def fingerprint(text):
+        own = terms(text)
+        held = own & lex
+        if not held:
+            total = sum(mix_(t + 0x14057B7EF767814F) for t in own)
+            return [mix_(total + k) >> 32 for k in range(1, len(imatch.RATES) + 1)]
+        out = []
+        for k, rate in enumerate(imatch.RATES):
+            kept = [t for t in held if mix_(t + k * 0x9E3779B97F4A7C15) < int(rate * 2.0 ** 64)]
+            total = sum(mix_(t + 0x5851F42D4C957F2D) for t in kept) & whole
+            out.append(mix_(total) >> 32 if total else 0)
+        return out
+
+    def near(a, b):
+        filled = [(x, y) for x, y in zip(a, b) if x or y]
+        return sum(x == y for x, y in filled) / len(filled) if filled else 1.0
+
+    got = {r.doc_id: r for r in QUERIES["op7_imatch"](spark, sf_dir).collect()}
+    ids = sorted(texts, reverse=True)
+    for at in range(0, len(ids), 4):
+        i, j = ids[at], ids[(at + 1) % len(ids)]
+        k = len(texts[i])
+        edited = texts[i][:k - k // 2] + texts[j][:k // 2]
+        a, e, n = fingerprint(texts[i]), fingerprint(edited), fingerprint(texts[j])
+        assert got[i].fingerprint == "".join(f"{x:08x}" for x in a)
+        assert got[i].edited_fingerprint == "".join(f"{x:08x}" for x in e)
+        assert abs(got[i].near_edited - near(a, e)) < 1e-12 and abs(got[i].near_next - near(a, n)) < 1e-12
+
+
 def test_imatch_edits_and_likeness(spark, sf_dir, texts):
     got = {r.doc_id: r for r in QUERIES["op7_imatch"](spark, sf_dir).collect()}
     order = sorted(texts, reverse=True)
@@ -272,6 +369,51 @@ def test_near_duplicates_against_all_pairs(spark, sf_dir, texts, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == components(texts, k, percent)
 
 
+def test_groups_in_blocks_with_long_texts(spark, monkeypatch):
+    """One large group of near copies of long texts, a passage that many others share, and
+    blocks far smaller than both: the same components as by all pairs."""
+    monkeypatch.setattr(signature_tree, "BLOCK_NODES", 7)
+    monkeypatch.setattr(signature_tree, "BLOCK_BYTES", 4096)
+    monkeypatch.setattr(signature_tree, "BLOCK_SHINGLES", 5000)
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10 ** 9, n)]
+    base, passage, rows = word(1500), word(60), {}
+    for i in range(40):
+        own = list(base)
+        for at in rng.integers(0, 1500, int(rng.integers(1, 25))):
+            own[at] = f"x{i}"
+        rows[i] = " ".join(own)
+    for i in range(40, 110):
+        at = int(rng.integers(0, 90))
+        own = word(int(rng.integers(100, 400)))
+        rows[i] = " ".join(own[:at] + passage + own[at:])
+    for i in range(110, 150):
+        rows[i] = " ".join(word(int(rng.integers(1, 12))))
+        rows[i + 100] = rows[i] + " tail"
+    got = signature_tree.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3), 5, 0.8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()}
+    assert got == components(rows, 5, 80)
+    assert len({got[i][1] for i in range(40)}) < 20 < len({got[i][1] for i in range(40, 110)})
+
+
+def test_bitmaps_fold_and_bound_the_overlap():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (3, 40, 700, 900)]
+    sets.append(np.unique(np.concatenate([sets[2][:650], sets[3][:30]])))
+    gram, size = np.concatenate(sets), np.array([len(s) for s in sets])
+    power = signature_tree.bit_powers(size)
+    flags, words = signature_tree.bitmaps(gram, size, power)
+    first = np.cumsum(words) - words
+    fold = lambda i, w: np.bitwise_or.reduce(flags[first[i]:first[i] + words[i]].reshape(-1, w), axis=0)
+    for i in range(5):
+        for j in range(i):
+            w = min(words[i], words[j])
+            x, y = fold(i, w), fold(j, w)
+            assert (x == signature_tree.bitmaps(sets[i], size[i:i + 1], np.array([int(w).bit_length() + 5]))[0]).all()
+            lost = min(size[k] - int(np.bitwise_count(f).sum()) for k, f in ((i, x), (j, y)))
+            assert len(np.intersect1d(sets[i], sets[j])) <= int(np.bitwise_count(x & y).sum()) + lost
+
+
 def test_signature_trees_against_all_pairs(monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 62, 120).astype(np.uint64)
@@ -306,3 +448,14 @@ def test_linked_sets_share_a_part_key():
                     continue
                 key, count = signature_tree.part_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), similarity)
                 assert set(key[:count[0]].tolist()) & set(key[count[0]:].tolist())
+
+
+def test_unrelated_sets_share_no_part_key():
+    """Sets with elements in few parts have no key in common but by an element."""
+    rng = np.random.default_rng(7)
+    size = rng.integers(5, 100, 4000)
+    gram = np.concatenate([np.unique(rng.integers(0, 1 << 62, n)).astype(np.uint64) for n in size])
+    key, count = signature_tree.part_keys(gram, size, 0.8)
+    who = np.repeat(np.arange(len(size)), count)
+    pairs = np.unique(np.stack([key, who.astype(np.uint64)], 1), axis=0)
+    assert len(np.unique(pairs[:, 0])) == len(pairs)
