@@ -24,11 +24,18 @@ def to_diagnostics(messages: DataFrame, lines: DataFrame, key: str = "file_id")
         key, "start_line", "start_col", "end_line", "end_col", "message")
 
 
-def by_file(diags: DataFrame, key: str = "file_id") -> DataFrame:
-    """AGG-4: all diagnostics of a file as one list (nulls dropped), flattened to text."""
+def by_file(diags: DataFrame, key: str = "file_id", page_lines: int | None = None) -> DataFrame:
+    """AGG-4: all diagnostics of a file as one list (nulls dropped), flattened to text.
+
+    A file may have any number of them: with ``page_lines`` a list holds those that begin in
+    that many lines, under the page's number, so that no row and no task holds a whole file."""
+    keys = [key]
+    if page_lines:
+        diags = diags.withColumn("page", F.floor(F.col("start_line") / page_lines))
+        keys.append("page")
     lst = F.array_sort(F.collect_list(F.struct("start_line", "start_col", "end_line", "end_col", "message")))
-    return diags.groupBy(key).agg(F.count(F.lit(1)).alias("n_messages"), lst.alias("_l")).select(
-        key, "n_messages",
+    return diags.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_messages"), lst.alias("_l")).select(
+        *keys, "n_messages",
         F.array_join(F.transform("_l", lambda d: F.concat_ws(
             ":", d["start_line"].cast("string"), d["start_col"].cast("string"),
             d["end_line"].cast("string"), d["end_col"].cast("string"))), ";").alias("ranges"))

@@ -25,6 +25,7 @@ GEM_HOME = "/home/dev/.gem/ruby"
 STDLIB_ROOT = "/usr/lib/ruby/3.3.0"
 ROOT_RE = r"^([^/]*//[^/]*)"
 TREE_GLOB = "*.txt"
+PAGE_LINES = 8                              # lines of a page of diagnostics
 SALT_MIN_ROWS = 100_000                      # the fixture tree is written by Spark's text writer
 
 
@@ -136,6 +137,10 @@ def q_diagnostics_by_file(spark, sf_dir):
     return D.by_file(_diags(spark, sf_dir))
 
 
+def q_diagnostics_pages(spark, sf_dir):
+    return D.by_file(_diags(spark, sf_dir), page_lines=PAGE_LINES)
+
+
 def q_diagnostics_gate(spark, sf_dir):
     files = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"),
                                                         F.lit(True).alias("parse_ok"))
@@ -310,6 +315,7 @@ QUERIES = {
     "run_config": q_run_config,
     "diagnostics": q_diagnostics,
     "diagnostics_by_file": q_diagnostics_by_file,
+    "diagnostics_pages": q_diagnostics_pages,
     "diagnostics_gate": q_diagnostics_gate,
     "latest_text_per_file": q_latest_text_per_file,
     "changed_files": q_changed_files,
@@ -405,6 +411,8 @@ SELECT file_id, CAST(count(*) AS BIGINT) AS n_messages,
                   CAST(end_line AS VARCHAR) || ':' || CAST(end_col AS VARCHAR), ';'
                   ORDER BY start_line, start_col, end_line, end_col, message) AS ranges
 FROM diags GROUP BY file_id"""
+SQL_DIAGNOSTICS_PAGES = SQL_DIAGNOSTICS_BY_FILE.replace("SELECT file_id, CAST(count", "SELECT file_id, start_line // 8 AS page, CAST(count").replace(
+    "GROUP BY file_id", "GROUP BY file_id, start_line // 8")
 SQL_DIAGNOSTICS_GATE = _DIAG + """
 SELECT d.doc_id AS file_id, CAST(count(g.file_id) AS BIGINT) AS n_messages, count(g.file_id) = 0 AS indexed_strict,
        TRUE AS indexed_lenient
@@ -512,6 +520,7 @@ ORACLES = {
     "run_config": SQL_RUN_CONFIG,
     "diagnostics": SQL_DIAGNOSTICS,
     "diagnostics_by_file": SQL_DIAGNOSTICS_BY_FILE,
+    "diagnostics_pages": SQL_DIAGNOSTICS_PAGES,
     "diagnostics_gate": SQL_DIAGNOSTICS_GATE,
     "latest_text_per_file": SQL_LATEST_TEXT,
     "changed_files": SQL_CHANGED_FILES,

@@ -309,7 +309,7 @@ def write_document_tree(docs: DataFrame, path: str) -> None:
 
 
 # ---------------------------------------------------------------------------
-# Pages as source roots on the shared file system (FIXTURES.md §2.7)
+# Pages as source roots on the shared file system
 LOCK_LINES = ["GEM", "  specs:", "    dep (1.0)", "      other (2.0)", "    rough (1.0)", "    gone (1.0)"]
 #: Folder of a page, by its number: a workspace with a nested included folder, a pruned and
 #: a passing one; a dependency, one with unreadable files, and one that no lockfile names.
