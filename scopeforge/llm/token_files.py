@@ -35,8 +35,10 @@ SEQUENCE = 2048
 BATCH_SEQUENCES = 64
 #: Bytes of text whose distinct parts are looked up together.
 TEXT_BYTES = 8 << 20
+#: Chunks whose ids are put together at a time.
+GATHERED = 1 << 17
 #: Distinct chunks whose ids a worker remembers.
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 600_000
 END_ID = 0
 _SPACES = re.compile(r"\s\s")
 
@@ -119,11 +121,14 @@ class ChunkTable:
 
     def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each row."""
-        first, n = self.start[rows], self.start[rows + 1] - self.start[rows]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(first - (ends - n), n) + np.arange(total)
-        return self.ids[at], n
+        out, count = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(rows), GATHERED):
+            own = rows[at:at + GATHERED]
+            first, n = self.start[own], self.start[own + 1] - self.start[own]
+            ends = np.cumsum(n)
+            out.append(self.ids[np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]))])
+            count.append(n)
+        return np.concatenate(out), np.concatenate(count)
 
     def lookup(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.ids_of(self.rows(chunks))
