@@ -39,11 +39,11 @@ LEXICON_WORDS = 500
 #: Buckets of features; a power of two, halved as languages double so that the weights stay of one size.
 BUCKETS, WEIGHTS = 1 << 17, 1 << 23
 EPOCHS, STEP_SEQUENCES, RATE, DECAY = 5, 128, 0.05, 1e-4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Word types whose features are made at a time.
 TYPES = 20_000
 #: Bytes of text whose chains run side by side; the longest document sets their steps.
-CHAIN_BYTES = 4 << 20
+CHAIN_BYTES = 2 << 20
 
 
 def letters(word: str) -> str:

@@ -39,11 +39,11 @@ SHINGLE, SIMILARITY = 3, 0.9
 #: Keys of a range that one task sorts, and the least number of ranges.
 RANGE_KEYS, LEAST_RANGES = 1_000_000, 16
 #: Keys that a map task holds before it hands them on.
-HELD_KEYS = 500_000
+HELD_KEYS = 300_000
 #: Ways to deal a set's elements to parts.
 WAYS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
 #: Nodes, bytes of bitmaps and shingles of a block, and about those that small lists or groups bring together.
-BLOCK_NODES, BLOCK_BYTES, BLOCK_SHINGLES = 2048, 4 << 20, 500_000
+BLOCK_NODES, BLOCK_BYTES, BLOCK_SHINGLES = 2048, 4 << 20, 400_000
 #: Bits of a bitmap are at least twice the elements, up to this power of two.
 MOST_BITS = 16
 #: Bytes of group members that are broadcast to find their texts.
