@@ -23,3 +23,29 @@ def test_extraction_broadcasts_rules_only(spark):
     assert _plan(EQ.q_extract_symbols(spark, SF)).count("BroadcastHashJoin") == 0
     # nation, region, the methods and the macro rules
     assert _plan(fx.call_tree_nodes(spark, SF)).count("BroadcastExchange") <= 3
+
+
+def test_index_shuffles_texts_and_not_their_symbols(spark, tmp_path, monkeypatch):
+    """A bucket of much text is several tasks; rows are sorted where they are made."""
+    from scopeforge.sinks import index as I
+    docs = fx.table(spark, SF, "documents").select("doc_id", "lang", "source", "text")
+    monkeypatch.setattr(I, "TASK_TEXT", 20_000)
+    dealt = I.deal_by_bucket(docs, "doc_id", "text", 2)
+    used = dealt.select(I.bucket_of("doc_id", 2).alias("b"), F.spark_partition_id().alias("p")).distinct()
+    assert min(r["count"] for r in used.groupBy("b").count().collect()) > 3
+    rows = fx.document_symbols(spark, dealt, dealt=True)
+    assert _plan(rows).count("Exchange") == 2          # the texts, and the broadcast rules
+    I.write_symbols(rows, str(tmp_path / "i"), 2, dealt=True)
+    found, plain = spark.read.parquet(str(tmp_path / "i")), fx.document_symbols(spark, docs)
+    assert found.count() == plain.count()
+    assert found.select(*plain.columns).exceptAll(plain).isEmpty()
+    assert found.filter(F.col("bucket") != I.bucket_of("file_id", 2)).isEmpty()
+
+
+def test_search_drops_rows_of_other_files_before_the_shuffle(spark):
+    from scopeforge.operators import search as S
+    from scopeforge.plans.index import bucketed_index
+    index, buckets = bucketed_index(spark, SF)
+    files = spark.createDataFrame([(50,), (100,)], "file_id long")
+    cut = S.of_files(index, files, buckets)
+    assert sorted(r[0] for r in cut.select("file_id").distinct().collect()) == [50, 100]
