@@ -49,3 +49,14 @@ def test_search_drops_rows_of_other_files_before_the_shuffle(spark):
     files = spark.createDataFrame([(50,), (100,)], "file_id long")
     cut = S.of_files(index, files, buckets)
     assert sorted(r[0] for r in cut.select("file_id").distinct().collect()) == [50, 100]
+
+
+def test_pages_are_written_by_several_tasks(spark, tmp_path):
+    """One small file of pages is one split; its pages are dealt out before they are written."""
+    import glob
+    import re
+    fx.write_page_tree(spark, SF, str(tmp_path / "tree"))
+    names = glob.glob(str(tmp_path / "tree/app/src/page=*/part-*.txt"))
+    pages = fx.table(spark, SF, "pages").filter("page_id % 8 IN (0, 1, 2)").count()
+    assert len(names) == pages
+    assert len({re.search(r"part-(\d+)", n)[1] for n in names}) > 1
