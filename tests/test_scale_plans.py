@@ -60,3 +60,35 @@ def test_pages_are_written_by_several_tasks(spark, tmp_path):
     pages = fx.table(spark, SF, "pages").filter("page_id % 8 IN (0, 1, 2)").count()
     assert len(names) == pages
     assert len({re.search(r"part-(\d+)", n)[1] for n in names}) > 1
+
+
+def test_nodes_of_frames_and_pruned_subtrees_make_no_pairs(spark):
+    """A node is shuffled once; nodes and roots of one file are not compared pair by pair."""
+    rng = __import__("random").Random(5)
+    spans = [(f, a, a + rng.randrange(0, 40), rng.random() < 0.5) for f in (1, 2) for a in rng.sample(range(400), 60)]
+    roots = spark.createDataFrame(spans, "file_id long, pre long, post long, self_included boolean")
+    rows = [(f, a, a + rng.randrange(0, 5), f"n{a}") for f in (1, 2, 3) for a in range(0, 400, 3)]
+    nodes = spark.createDataFrame([*rows, (None, 5, 6, "none")], "file_id long, pre long, post long, name string")
+    for block in (16, 1 << 20):
+        kept = X.prune_subtrees(nodes, roots, block=block)
+        inside = lambda n: any(f == n[0] and a <= n[1] and n[2] <= z and (own or a < n[1]) for f, a, z, own in spans)
+        assert sorted(map(tuple, kept.filter("file_id IS NOT NULL").collect())) == sorted(n for n in rows if not inside(n))
+        assert kept.filter("file_id IS NULL").count() == 1
+        assert "Join" not in _plan(kept)
+        frames = nodes.filter("file_id < 3").select("file_id", F.col("pre"), (F.col("pre") + 9).alias("post"), "name")
+        found = X.scope_paths(nodes.filter("file_id IS NOT NULL"), frames, block=block)
+        assert _plan(found).count("SortMergeJoin") == 1
+        want = {n: [x[3] for x in rows if x[0] == n[0] < 3 and x[1] < n[1] and n[2] < x[1] + 9] for n in rows}
+        assert {(r["file_id"], r["pre"], r["post"], r["name"]): r["scope_path"] for r in found.collect()} == want
+
+
+def test_offsets_meet_few_lines(spark):
+    """One-character lines: an offset is compared with those of a short stretch only."""
+    from scopeforge.operators.ranges import asof_lines
+    lines = spark.range(4096).select(F.lit(1).cast("long").alias("file_id"), F.col("id").alias("line"),
+                                     (F.col("id") * 2).alias("line_start"), F.lit(1).cast("long").alias("line_len"))
+    offsets = spark.range(8192).select(F.lit(1).cast("long").alias("file_id"), F.col("id").alias("off"))
+    found = asof_lines(offsets, lines, "file_id")
+    assert found.filter("line <> off div 2 OR col <> off % 2").isEmpty() and found.count() == 8192
+    block = int(__import__("inspect").signature(asof_lines).parameters["block"].default)
+    assert block <= 256
