@@ -20,6 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
+_REMEMBERED: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +83,7 @@ def powers(kind: str, n: int) -> np.ndarray:
     have = _POWERS.get(kind)
     if have is None or len(have) <= n:
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        steps = np.full(max(n + 1, SLICE_BYTES + 4096), base, np.uint64)
+        steps = np.full(1 << max(16, n.bit_length()), base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
         if len(have) <= 4 * SLICE_BYTES:
@@ -90,6 +91,18 @@ def powers(kind: str, n: int) -> np.ndarray:
     return have
 
 
+def remembered(key: str, make):
+    """What this worker process remembers under ``key``, made by ``make`` if it is new.  It
+    remembers one thing: Spark gives a worker to one stage after another, and the tables of
+    the stage before would stay beside the next one's."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _POWERS.clear()
+        pa.default_memory_pool().release_unused()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

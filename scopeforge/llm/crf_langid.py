@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scopeforge.session import materialize
 
-from .common import mix, powers, table, text_slices
+from .common import mix, powers, remembered, table, text_slices
 
 PER_LANGUAGE, LEAST_PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_BYTES = 400, 20, 25_600, 256 << 20
 #: Words of a run, runs of a training sequence, words of all runs of a language.
@@ -118,9 +118,11 @@ class Chain:
 
     def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Of every word, over chains that lie one behind the other in ``scores``."""
-        ahead, back, _ = self.passes(scores, lengths)
-        both = ahead * back
-        return both / both.sum(1, keepdims=True)
+        both, back = self.passes(scores, lengths)[:2]
+        both *= back
+        del back
+        both /= both.sum(1, keepdims=True)
+        return both
 
     def expected_moves(self, ahead: np.ndarray, back: np.ndarray, heat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Expected number of each transition over all chains."""
@@ -132,7 +134,8 @@ class Chain:
 
     def passes(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward and backward values of every word, scaled to a sum of one, and its heat."""
-        heat = np.exp(scores - scores.max(1, keepdims=True)).astype(np.float64)
+        heat = scores - scores.max(1, keepdims=True)
+        heat = np.exp(heat, out=heat).astype(np.float64, copy=False)
         start = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
         first, size = start[order], lengths[order]
@@ -289,6 +292,7 @@ class Labeller:
         rows = np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))
         lengths = np.array([len(w) for w in cut], np.int64)
         full = lengths > 0
+        del cut, flat, need  # as strings a slice is many times its bytes
         return rows, lengths, self.chain.posteriors(self.scores[rows], lengths[full])
 
     def documents(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -305,15 +309,9 @@ class Labeller:
         return names, np.where(n > 0, np.clip(mean[np.arange(len(texts)), best], 0, 1), 0.0), np.clip(sure, 0, 1)
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def labeller_of(chain: Chain) -> Labeller:
     """The labeller of this worker process, shared by its tasks."""
-    if chain.key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[chain.key] = Labeller(chain)
-    return _LABELLERS[chain.key]
+    return remembered(f"labeller {chain.key}", lambda: Labeller(chain))
 
 
 def predict(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text",

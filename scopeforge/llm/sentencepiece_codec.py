@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_buffer, text_slices
+from .common import remembered, table, text_buffer, text_slices
 
 SPACE = "▁"
 #: Distinct units that a worker remembers.
@@ -244,15 +244,9 @@ class UnitTable:
         return self.ids[at], self.size[at], n
 
 
-_TABLES: dict[str, UnitTable] = {}
-
-
 def unit_table(model_path: str) -> UnitTable:
     """The table of this worker process, shared by its tasks."""
-    if model_path not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model_path] = UnitTable(Model(model_path))
-    return _TABLES[model_path]
+    return remembered(f"units {model_path}", lambda: UnitTable(Model(model_path)))
 
 
 def encode_texts(texts: list[str], units: UnitTable):

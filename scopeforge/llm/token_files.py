@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from scopeforge.session import materialize, qualified, shared_dir
 
-from .common import table, text_buffer, text_slices
+from .common import remembered, table, text_buffer, text_slices
 
 #: Ids of a sequence, and sequences of a record batch.
 SEQUENCE = 2048
@@ -134,16 +134,10 @@ class ChunkTable:
         return self.ids_of(self.rows(chunks))
 
 
-_TABLES: dict[str, ChunkTable] = {}
-
-
 def chunk_table(tokenizer: str) -> ChunkTable:
     """The table of this worker process, shared by its tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if tokenizer not in _TABLES:
-        _TABLES.clear()
-        _TABLES[tokenizer] = ChunkTable(tokenizer)
-    return _TABLES[tokenizer]
+    return remembered(f"chunks {tokenizer}", lambda: ChunkTable(tokenizer))
 
 
 def cut_at_spaces(text: str) -> list[str]:

@@ -459,3 +459,25 @@ def test_unrelated_sets_share_no_part_key():
     who = np.repeat(np.arange(len(size)), count)
     pairs = np.unique(np.stack([key, who.astype(np.uint64)], 1), axis=0)
     assert len(np.unique(pairs[:, 0])) == len(pairs)
+
+
+def test_a_worker_remembers_the_tables_of_one_stage():
+    from scopeforge.llm import common
+    table = codec.unit_table(MODEL)
+    assert codec.unit_table(MODEL) is table
+    chain = crf_langid.Chain(["a", "b"], {})
+    assert crf_langid.labeller_of(chain) is crf_langid.labeller_of(chain)
+    assert len(common._REMEMBERED) == 1 and codec.unit_table(MODEL) is not table
+
+
+def test_labelling_a_slice_takes_a_bounded_multiple_of_its_bytes():
+    """Strings of the words and spare copies of the chains' values are gone before the largest arrays are made."""
+    import tracemalloc
+    labeller = crf_langid.Labeller(crf_langid.Chain(["a", "b", "c", "d"], {}))
+    texts = [" ".join(f"w{(i * j) % 997}" for i in range(700)) for j in range(300)]
+    labeller.documents(texts)
+    tracemalloc.start()
+    labeller.documents(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * sum(map(len, texts))
