@@ -92,3 +92,18 @@ def test_offsets_meet_few_lines(spark):
     assert found.filter("line <> off div 2 OR col <> off % 2").isEmpty() and found.count() == 8192
     block = int(__import__("inspect").signature(asof_lines).parameters["block"].default)
     assert block <= 256
+
+
+def test_a_pass_leaves_no_stage_tables(spark, tmp_path):
+    """What a micro-batch writes on its way is gone when its version is published."""
+    import os
+    from scopeforge.plans import program_queries as PQ
+    from scopeforge.session import shared_dir
+    from scopeforge.streaming import passes as P
+    held = lambda: set(os.listdir(f"{shared_dir(spark).removeprefix('file://')}/stages"))
+    materialize(spark.range(1), "test-held")
+    before = held()
+    orders = PQ._orders(spark, SF).filter("o_orderkey % 20 = 0")
+    version = P.change_files(spark, str(tmp_path / "index"), PQ._events(orders, 1, "change"), PQ._extract(spark, SF))
+    assert held() == before
+    assert version.table("symbols").select("file_id").distinct().count() == orders.count()
