@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from scopeforge.functions.text import prefix_match, token_starts
+from scopeforge.functions.text import blank_starts, prefix_match, token_starts
 from scopeforge.operators.ranges import interval_contains, range_join, sequence_in_group
 from scopeforge.operators.skew import salted_join
 
@@ -13,6 +13,12 @@ def test_token_starts(spark):
     assert [r.st for r in out] == [[0, 2, 5, 6], [0], [0, 2], [0, 1]]
 
 
+def test_blank_starts_equal_token_starts(spark):
+    rows = [("a bb  ccc",), ("",), ("é x",), (" lead",), (None,), ("trail ",), ("\U0001f600 y\tz w",), ("x " * 5000,)]
+    both = spark.createDataFrame(rows, "s string").coalesce(1).select("s", token_starts("s", " ").alias("a"), blank_starts("s").alias("b"))
+    assert all(r.a == r.b for r in both.filter("s IS NOT NULL").collect())
+
+
 def test_range_join_matches_brute_force(spark):
     pts = [(k, p) for k in range(3) for p in range(0, 700, 13)]
     rgs = [(k, i, lo, lo + w) for k in range(3) for i, (lo, w) in enumerate([(0, 5), (250, 300), (512, 0), (600, 90)])]

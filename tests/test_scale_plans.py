@@ -42,6 +42,20 @@ def test_index_shuffles_texts_and_not_their_symbols(spark, tmp_path, monkeypatch
     assert found.filter(F.col("bucket") != I.bucket_of("file_id", 2)).isEmpty()
 
 
+def test_index_sorts_texts_and_takes_terms_from_different_paths(spark):
+    """Symbols are neither sorted nor summed over in their rows; the terms of a scope path are taken once."""
+    from scopeforge.operators.stats import term_stats
+    from scopeforge.sinks import index as I
+    docs = fx.table(spark, SF, "documents").select("doc_id", "lang", "source", "text")
+    dealt = I.deal_by_bucket(docs, "doc_id", "text", 2, 3)
+    for part in dealt.select(I.bucket_of("doc_id", 2).alias("b"), "doc_id").rdd.glom().collect():
+        assert part == sorted(part)
+    rows = fx.document_symbols(spark, dealt, dealt=True)
+    assert "aggregate(" not in _plan(rows)
+    plan = _plan(term_stats(rows))
+    assert plan.count("HashAggregate") == 4 and plan.index("Generate explode") < plan.rindex("keys=[scope_path")
+
+
 def test_search_drops_rows_of_other_files_before_the_shuffle(spark):
     from scopeforge.operators import search as S
     from scopeforge.plans.index import bucketed_index
