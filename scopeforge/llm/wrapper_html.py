@@ -5,6 +5,8 @@ groups, inner ones first.  The streams of pages of a host are aligned one after
 with the wrapper so far: equal tags stay, differing texts become slots, items that one
 side lacks become optional, groups are aligned inside.  The result is a regular expression
 without unions (tags, fixed texts, slots, optional items, repeated groups), one per host.
+Pages are aligned in short runs; what a page of a run lacks cannot be template and goes with
+the run's end, and the wrappers of runs are aligned with each other, keeping what all have.
 
 Elements select the texts of a page: those in its article or main element, else those of
 its body, without regions that are marked as navigation, adverts, notices, comments and the
@@ -13,9 +15,8 @@ takes the template's fixed texts out: single ones, and repeated groups (menus) o
 texts are fixed.  Texts that the wrapper doesn't know, and pages of hosts without a template,
 go by their elements alone.
 
-The form of a wrapper is learned from at most ``SAMPLE`` distinct pages of a host, chosen by
-a hash of their streams.  Which of its texts are fixed is counted over all distinct pages of
-the host: a text is template only if every page has it at that place, and it is left out of a
+The form of a wrapper is learned from all distinct pages of a host, in parts of about ``PART``
+by a hash of their streams.  Which of its texts are fixed is counted over all of them, too: a text is template only if every page has it at that place, and it is left out of a
 page only where the page's own text equals it.  Every page is extracted.  Null or empty html: empty text.  A url without a host,
 or null, is of the host "".  Repeated rows are kept.  Only the named columns are read.
 Empty table: empty result.
@@ -28,18 +29,22 @@ import hashlib
 import html as entities
 import json
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scopeforge.operators.skew import shuffled
 from scopeforge.session import materialize
 
 from .common import table, text_slices
 
-SAMPLE = 12
+#: Streams that are aligned one after another with their optional items.
+RUN = 12
+#: Distinct pages, or wrappers of such parts, of a host that one task aligns at a time.
+PART = 128
 #: Streams and alignments that a worker remembers.
 REMEMBERED = 1024
 #: Distinct pages of a host from which on a text that never changes counts as template.
@@ -362,6 +367,33 @@ def infer(packed: list[list[str]]) -> list:
     return wrapper
 
 
+def required(wrapper: list, inside: bool = False) -> list:
+    """A wrapper without its optional items; the first item of a group tells the group and stays."""
+    return [[kind, required(value, True) if kind == "+" else value, False, *whole]
+            for n, (kind, value, optional, *whole) in enumerate(wrapper) if not optional or inside and not n]
+
+
+def shared(a: list, b: list, inside: bool = False) -> list:
+    """What two wrappers without optional items have in common; texts that differ are slots."""
+    first = [(0, 0)] if inside else []
+    n = len(first)
+    rest = pairs([wrapper_key(w) for w in a[n:]], [wrapper_key(w) for w in b[n:]])
+    out = []
+    for i, j in [*first, *((i + n, j + n) for i, j in rest)]:
+        kind, value, _, *whole = a[i]
+        if kind == "x":
+            value = value if value == b[j][1] else None
+        elif kind == "+":
+            value, whole = shared(value, b[j][1], True), [whole[0] if whole[0] == b[j][3] else None]
+        out.append([kind, value, False, *whole])
+    return out
+
+
+def form(packed: list[list[str]]) -> list:
+    """The wrapper of any number of streams: of all items that each of them has."""
+    return reduce(shared, (required(infer(packed[i:i + RUN])) for i in range(0, len(packed), RUN)))
+
+
 def tally(wrapper: list, packed: list[list[str]]) -> dict[int, list[int]]:
     """Over some streams, for each fixed text of the wrapper by its number: streams that have
     it wherever its place is, streams that have another text there, and body texts equal to
@@ -409,7 +441,7 @@ def settle(wrapper: list, counts: dict[int, list[int]]) -> dict:
 def learn(pages: list[str]) -> dict:
     """The wrapper of a host's pages and whether its fixed texts are template."""
     packed = [list(p) for p in sorted({tuple(pack(stream(p))) for p in pages})]
-    wrapper = infer(packed[:SAMPLE])
+    wrapper = form(packed)
     return settle(wrapper, tally(wrapper, packed))
 
 
@@ -454,19 +486,43 @@ def streams(pages: DataFrame) -> DataFrame:
             .mapInArrow(run, "host string, stream string").filter("stream IS NOT NULL").distinct())
 
 
+def host_forms(found: DataFrame) -> DataFrame:
+    """(host, wrapper): the form of every host's wrapper as JSON, from all its distinct streams.
+
+    Streams are dealt to parts of a host by their hash; the wrappers of parts are dealt again,
+    until a host has one.  A host's parts depend on its own pages only."""
+    def of_streams(group: pa.Table) -> pa.Table:
+        return joined(group, form([json.loads(s) for s in sorted(group["own"].to_pylist())]))
+
+    def of_wrappers(group: pa.Table) -> pa.Table:
+        return joined(group, reduce(shared, map(json.loads, sorted(group["own"].to_pylist()))))
+
+    def joined(group: pa.Table, wrapper: list) -> pa.Table:
+        return group.slice(0, 1).select(["host", "part", "parts"]).append_column("own", pa.array([json.dumps(wrapper)]))
+
+    def deal(number):
+        return F.ceil(number / F.lit(PART)).cast("long")
+
+    sizes = materialize(found.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "wrapper-sizes")
+    left = sizes.agg(F.max("n")).first()[0] or 0
+    own = found.join(shuffled(sizes), "host").select(
+        "host", F.pmod(F.xxhash64("stream"), deal(F.col("n"))).alias("part"), deal(F.col("n")).alias("parts"), F.col("stream").alias("own"))
+    # the join leaves a host in one task; its parts are dealt over all
+    own = own.repartition("host", "part")
+    align = of_streams
+    while True:
+        own = materialize(own.groupBy("host", "part", "parts").applyInArrow(
+            align, "host string, part long, parts long, own string"), "wrapper-forms")
+        left, align = -(-left // PART), of_wrappers
+        if left <= 1:
+            return own.select("host", F.col("own").alias("wrapper"))
+        own = own.select("host", F.pmod("part", deal(F.col("parts"))).alias("part"), deal(F.col("parts")).alias("parts"), "own")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, learned): the wrapper as JSON of every host that has a template."""
     found = materialize(streams(pages), "wrapper-streams")
-    best = Window.partitionBy("host").orderBy("place", "stream")
-    sample = (found.withColumn("place", F.xxhash64("stream"))
-              .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= SAMPLE))
-
-    def form(group: pa.Table) -> pa.Table:
-        return pa.table({"host": group["host"].slice(0, 1).combine_chunks(),
-                         "wrapper": pa.array([json.dumps(infer([json.loads(s) for s in sorted(group["stream"].to_pylist())]))])})
-
-    forms = materialize(sample.select("host", "stream").groupBy("host").applyInArrow(form, "host string, wrapper string"),
-                        "wrapper-forms")
+    forms = host_forms(found)
 
     def count(batches):
         for batch in batches:

@@ -1,14 +1,16 @@
 """Tool calls, pages, mixing, components and the pipeline."""
 
 import html as entities
+import json
 import re
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 import corpus_pipeline
 from oracle_compare import compare, duck
-from scopeforge.llm import mixture, tool_calls
+from scopeforge.llm import mixture, tool_calls, wrapper_html
 from scopeforge.llm.components import connected, forest
 from scopeforge.llm.registry import ORACLES, QUERIES
 from scopeforge.llm.wrapper_html import fold, learn, main_text, merge, begin_wrapper, stream
@@ -97,6 +99,24 @@ def test_template_is_confirmed_by_all_pages_of_a_host(spark, tmp_path):
         assert got[i] == f"{told}Story {name} begins\nand {name} ends\nby {name}", i
 
 
+@pytest.mark.parametrize("part", [4, 128])
+def test_form_of_a_wrapper_comes_from_all_pages_of_a_host(spark, monkeypatch, part):
+    """What one page of many lacks is in no wrapper, however the pages are dealt to tasks."""
+    monkeypatch.setattr(wrapper_html, "PART", part)
+    page = "<body>{1}<div>Always here</div><ul>{2}</ul><h1>Story {0} begins</h1><p>and {0} ends</p><pre>by {0}</pre></body>"
+    rows = [(i, "http://h.x/a", page.format(i, "" if i == 70 else "<h2>Top</h2>", f"<li><a>{i}</a></li>" * (2 + i % 3)))
+            for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    learned, = [json.loads(r.learned) for r in wrapper_html.wrappers(pages).collect()]
+    tags = [w[1] for w in learned["wrapper"] if w[0] == "t"]
+    assert "h2" not in tags and "div" in tags and not any(w[2] for w in learned["wrapper"])
+    assert [w[0] for w in learned["wrapper"]].count("+") == 1
+    for r in wrapper_html.extract(pages).collect():
+        items = [str(r.page_id)] * (2 + r.page_id % 3)
+        assert r.text == "\n".join([*([] if r.page_id == 70 else ["Top"]), *items, f"Story {r.page_id} begins",
+                                    f"and {r.page_id} ends", f"by {r.page_id}"])
+
+
 def test_text_other_than_the_templates_is_kept():
     page = "<body><h2>{1}</h2><h1>Story {0} begins</h1><p>and {0} ends</p></body>"
     learned = learn([page.format(i, "Always here") for i in range(6)])
