@@ -69,3 +69,21 @@ def test_prefix_patterns_are_the_java_engines(spark):
     assert found(r"(?<two>ab)\k<two>") == ["abab"]
     assert found("ab") == ["abab"] and found("") == sorted(["Ärger", "ärger", "abab", "xyz"])
     assert found("(") == [] and found("a)|(b") == []
+
+
+def test_groups_of_one_block_are_numbered_without_counts(spark):
+    """Only groups that reach beyond block 0 are counted; rows without a key or block keep a number."""
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    rows = [(g, v) for g in (0, 1, None) for v in range(0, 30, 7)]
+    one = sequence_in_group(spark.createDataFrame(rows, "g int, v int"), ["g"], "v", [F.col("v")], block=32)
+    rows += [(0, v) for v in (-40, 31, 32, 64, 65, None)] + [(1, None)]
+    more = sequence_in_group(spark.createDataFrame(rows, "g int, v int"), ["g"], "v", [F.col("v")], block=32)
+    far = sequence_in_group(spark.createDataFrame(rows, "g int, v int"), ["g"], "v", [F.col("v")], block=32,
+                            reach=spark.createDataFrame([(0, 70), (1, None)], "g int, v int"))
+    assert "Join" not in plan(one)
+    for out in (one, more, far):
+        found = out.collect()
+        for g in (0, 1, None):
+            own = [r.v for r in sorted((r for r in found if r.g == g), key=lambda r: r.seq)]
+            assert sorted(r.seq for r in found if r.g == g) == list(range(len(own)))
+            assert own == sorted(own, key=lambda v: (v is not None, v or 0))
