@@ -72,7 +72,7 @@ def test_prefix_patterns_are_the_java_engines(spark):
 
 
 def test_groups_of_one_block_are_numbered_without_counts(spark):
-    """Only groups that reach beyond block 0 are counted; rows without a key or block keep a number."""
+    """Blocks are counted only where a group goes beyond block 0; rows without a key or block keep a number."""
     plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
     rows = [(g, v) for g in (0, 1, None) for v in range(0, 30, 7)]
     one = sequence_in_group(spark.createDataFrame(rows, "g int, v int"), ["g"], "v", [F.col("v")], block=32)
