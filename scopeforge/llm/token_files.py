@@ -14,11 +14,12 @@ ordered by text.  Empty table: no file, no row.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
-from itertools import filterfalse
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +44,99 @@ END_ID = 0
 _SPACES = re.compile(r"\s\s")
 
 
+#: Classes of characters as the byte-level pre-tokeniser tells them apart; a character that
+#: is none of them for certain is _OTHER, and there is no cut beside it.
+_OTHER, _SPACE, _LINE, _LETTER, _DIGIT, _MARK, _QUOTE, _HIGH = range(8)
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, _HIGH, np.uint8)  # not white, but of unknown kind
+    out[:128] = [_LETTER if c.isalpha() else _DIGIT if c.isdigit() else _MARK for c in map(chr, range(128))]
+    out[:32] = out[127] = _OTHER
+    out[9:14], out[32], out[ord("'")] = _LINE, _SPACE, _QUOTE
+    return out
+
+
+def _pairs() -> np.ndarray:
+    """Whether a text may be cut between characters of two classes (first * 8 + second).  A
+    pre-token is letters, digits or marks, with a space in front, or white space; marks that
+    end in a quote can take letters along ('s, 're).  After white space see ``cuts``."""
+    out = np.zeros((8, 8), bool)
+    out[_LETTER:, [_SPACE, _LINE]] = True
+    for kind in (_LETTER, _DIGIT, _MARK):
+        out[kind, [k for k in (_LETTER, _DIGIT, _MARK, _QUOTE) if k != kind]] = True
+    out[_MARK, _QUOTE] = False
+    return out.ravel()
+
+
+_CLASS, _PAIR = _classes(), _pairs()
+#: Lead bytes of U+00C0 to U+024F, letters but for two, and of the white space beyond ASCII.
+_LATIN = np.isin(np.arange(256), range(0xC3, 0xCA))
+_WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_ONE_WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def classes_of(buf: np.ndarray) -> np.ndarray:
+    """The class of each character of UTF-8 bytes, at each of its bytes."""
+    out = _CLASS[buf]
+    lead = np.flatnonzero(_LATIN[buf])
+    second = buf[lead + 1]
+    out[lead] = out[lead + 1] = np.where((buf[lead] == 0xC3) & ((second == 0x97) | (second == 0xB7)), _HIGH, _LETTER)
+    lead = np.flatnonzero(_WIDE[buf])
+    first, second = buf[lead], buf[lead + 1]
+    white = np.select([first == 0xC2, first == 0xE1, first == 0xE2],
+                      [(second == 0x85) | (second == 0xA0), (second == 0x9A) | (second == 0xA0),
+                       (second == 0x80) | (second == 0x81)], second == 0x80)
+    lead = lead[white]
+    third = buf[np.where(buf[lead] == 0xC2, lead, lead + 2)]
+    lead = lead[~((buf[lead] == 0xE2) & (buf[lead + 1] == 0x80)  # dashes and quotation marks
+                  & (((third >= 0x90) & (third < 0xA8)) | (third >= 0xB0)))]
+    long = lead[buf[lead] != 0xC2]
+    out[lead] = out[lead + 1] = out[long + 2] = _OTHER
+    return out
+
+
+def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether a chunk begins at each byte of the texts at ``off``: at a text's start and
+    where, whatever is before and after, a pre-token ends.  A run of white space gives its
+    last character to what follows, unless it is one character that is not a space."""
+    n = len(buf)
+    kind = classes_of(buf)
+    out = np.zeros(n, bool)
+    out[1:] = _PAIR[kind[:-1] << 3 | kind[1:]]
+    begins = np.zeros(n + 1, bool)
+    begins[off] = True
+    line = np.flatnonzero(kind[:-1] == _LINE)
+    line = line[(kind[line + 1] >= _LETTER) & (begins[line] | (kind[line - 1] >= _LETTER))]
+    out[line + 1] = True
+    return out | begins[:n]
+
+
 class ChunkTable:
-    """Ids of text chunks, remembered.  The byte-level pre-tokeniser can join a space only
-    to what follows it, so a text can be cut in front of any single space between two
-    characters that are not white space; the ids of the parts are the ids of the text."""
+    """Ids of text chunks, remembered.  Where the byte-level pre-tokeniser always ends a
+    pre-token, a text can be cut; the ids of the parts are the ids of the text."""
 
     def __init__(self, tokenizer: str, limit: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer, self.limit = Tokenizer.from_file(tokenizer), limit
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.vocabulary = max(vocabulary.values()) + 1
         #: Bytes of text that an id stands for: a character of a byte-level token is a byte.
         self.bytes_of = np.zeros(self.vocabulary, np.int64)
         for token, i in vocabulary.items():
-            self.bytes_of[i] = len(token.encode()) if token in added else len(token)
+            self.bytes_of[i] = len(token.encode()) if token in self.added else len(token)
+        form = json.loads(self.tokenizer.to_str())
+        split = form["pre_tokenizer"] or {}
+        #: Whether the pre-tokeniser is the one that ``cuts`` is made for.
+        self.plain = (split.get("type") == "ByteLevel" and split.get("use_regex", True)
+                      and not split["add_prefix_space"] and not form["normalizer"])
+        text = "".join(map(chr, [*range(0x21), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]))
+        letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text)[0][0]
+        #: The character that the model has for each byte of ``_ONE_WORD`` and white space.
+        self.letter = np.zeros(256, "<u4")
+        self.letter[np.frombuffer(text.encode(), np.uint8)] = [*map(ord, letters)]
         self.clear()
 
     def clear(self) -> None:
@@ -85,19 +164,28 @@ class ChunkTable:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of chunks that are one word each: one pre-token, which the model takes as it is."""
+        spelled = self.letter[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        tokenize = self.tokenizer.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in spelled.split(chr(self.letter[10]))]
+
     def _add(self, new: set[str]) -> None:
-        """Chunks that begin with one space and end with another character are encoded as
-        one text, each being cut off in front of its space, and told apart by bytes."""
-        joins = [c for c in new if c[1:] == c.strip() and len(c) > 1 and c[0] == " "]
-        alone = list(new.difference(joins))
+        """Of chunks that are not one word, those that begin with one space and end with
+        another character are encoded as one text, each being cut off in front of its space,
+        and told apart by bytes."""
+        words = [c for c in new if _ONE_WORD.fullmatch(c)] if self.plain else []
+        rest = new.difference(words)
+        joins = [c for c in rest if c[1:] == c.strip() and len(c) > 1 and c[0] == " "]
+        alone = list(rest.difference(joins))
         if joins:
             ids = np.array(self.encode(["".join(joins)])[0], np.uint32)
             ends = np.cumsum(np.fromiter(map(len, map(str.encode, joins)), np.int64, len(joins)))
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             self._put(joins, ids, ends)
-        if alone:
-            got = self.encode(alone)
-            self._put(alone, np.array([i for g in got for i in g], np.uint32), np.cumsum([len(g) for g in got]))
+        for chunks, got in ((words, words and self.words(words)), (alone, alone and self.encode(alone))):
+            if chunks:
+                self._put(chunks, np.fromiter(chain.from_iterable(got), np.uint32), np.cumsum([*map(len, got)]))
 
     def _put(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         self.row.update(zip(chunks, range(len(self.row), len(self.row) + len(chunks))))
@@ -157,40 +245,34 @@ def cut_at_spaces(text: str) -> list[str]:
     return out
 
 
-def encode_documents(texts: list[str], chunks: ChunkTable) -> tuple[np.ndarray, np.ndarray]:
+def encode_documents(texts: list[str] | pa.Array, chunks: ChunkTable) -> tuple[np.ndarray, np.ndarray]:
     """All ids (without end ids) and the number of ids of each document.
 
-    Texts whose white space is single are cut and told apart by Arrow, so that only distinct
-    parts become Python strings; the others are cut one by one."""
-    simple = [i for i, t in enumerate(texts) if t and not _SPACES.search(t)]
-    whole = set(simple)
-    other = [i for i, t in enumerate(texts) if t and i not in whole]
-    cut = [cut_at_spaces(texts[i]) for i in other]
-    parts = pc.split_pattern(pa.array([texts[i] for i in simple], pa.large_string()), " ")
-    offsets = parts.offsets.to_numpy()
-    spelled = parts.flatten().dictionary_encode()
-    place, words = spelled.indices.to_numpy(), spelled.dictionary.to_pylist()
-    head = np.zeros(len(place), bool)
-    head[offsets[:-1]] = True
-    used = np.zeros(len(words), bool)
-    used[place[~head]] = True
-    later = [" " + w for w, u in zip(words, used.tolist()) if u]
-    heads = [words[i] for i in place[head].tolist()]
-    rows = chunks.rows([*later, *heads, *(c for own in cut for c in own)])
-    row_of = np.zeros(len(words), np.int64)
-    row_of[used] = rows[:len(later)]
-    rest = rows[len(later) + len(heads):]
-    count = np.zeros(len(texts), np.int64)
-    count[simple], count[other] = np.diff(offsets), [len(c) for c in cut]
-    first = np.cumsum(count) - count
-    flat = np.zeros(int(count.sum()), np.int64)
-    flat[np.repeat(first[simple] - offsets[:-1], count[simple]) + np.arange(len(place))] = row_of[place]
-    flat[first[simple]] = rows[len(later):len(later) + len(heads)]
-    own = count[other]
-    flat[np.repeat(first[other] - (np.cumsum(own) - own), own) + np.arange(len(rest))] = rest
-    ids, n = chunks.ids_of(flat)
+    Texts are cut on their bytes and the chunks told apart by Arrow, so that only distinct
+    ones become Python strings; texts that may hold an added token are cut at spaces."""
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    buf, off = text_buffer(column)
+    if not len(buf):
+        return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+    if chunks.plain:
+        begins = cuts(buf, off)
+        odd = np.zeros(len(column), bool)
+        for token in chunks.added:
+            odd |= pc.match_substring(column, token).fill_null(False).to_numpy(zero_copy_only=False)
+    else:
+        begins, odd = np.zeros(len(buf), bool), np.ones(len(column), bool)
+    for i in np.flatnonzero(odd & (np.diff(off) > 0)).tolist():
+        ends = np.cumsum([len(c.encode()) for c in cut_at_spaces(column[i].as_py())])
+        begins[off[i]:off[i + 1]] = False
+        begins[off[i]] = True
+        begins[off[i] + ends[:-1]] = True
+    starts = np.flatnonzero(begins)
+    spelled = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(buf))),
+                                               pa.py_buffer(buf)).dictionary_encode()
+    rows = chunks.rows(spelled.dictionary.to_pylist())
+    ids, n = chunks.ids_of(rows[spelled.indices.to_numpy()])
     total = np.concatenate([[0], np.cumsum(n)])
-    return ids, total[first + count] - total[first]
+    return ids, np.diff(total[np.searchsorted(starts, off)])
 
 
 class _Store:
@@ -242,8 +324,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, uri: str, sequence: int =
         def tokens():
             for batch in batches:
                 for part in text_slices(batch, "text", TEXT_BYTES):
-                    texts = part.column("text").fill_null("").to_pylist()
-                    ids, n = encode_documents(texts, chunks)
+                    ids, n = encode_documents(part.column("text"), chunks)
                     index.append((part.column("doc_id"), n + 1))
                     yield np.insert(ids, np.cumsum(n), end_id).astype(np_kind)
 

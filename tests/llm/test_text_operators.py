@@ -1,6 +1,7 @@
 """Operators on texts against the libraries and brute force on the small table."""
 
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -117,6 +118,30 @@ def test_chunks_equal_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
+def test_chunks_of_random_characters_equal_whole_texts():
+    import pyarrow as pa
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(3)
+    tok, chunks = Tokenizer.from_file(path), token_files.ChunkTable(path, limit=500)
+    signs = [*"aZéß×÷’”—.,'<| \t\n\r\x0b\x1c\x1f\0\x7f\x85\xa0\u1680\u180e\u2003\u2028\u200b\u202f\u205f\u3000、漢か🙂\u0301²½٣Жω9",
+             " ", "\n", "'s", "'re", " 'll", "  ", "\n ", "<|endoftext|>"]
+    for _ in range(20):
+        texts = [None, *("".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(300))]
+        for column in (pa.array(texts), pa.array(texts, pa.large_string()).slice(7)):
+            ids, n = token_files.encode_documents(column, chunks)
+            for own, text in zip(np.split(ids, np.cumsum(n)[:-1]), column.to_pylist(), strict=True):
+                assert own.tolist() == tok.encode(text or "", add_special_tokens=False).ids
+
+
+def test_a_word_is_encoded_once_whatever_is_beside_it():
+    chunks = token_files.ChunkTable(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["".join(w) for w in itertools.product("aeé", "rst", "ioü", "nmx")]
+    marks = [".", ",", "!", ";", ":", "?", ")", "...", ".\n", ",\n", "'s", "'ll"]
+    token_files.encode_documents([" ".join(w + m for w in words) for m in marks], chunks)
+    assert len(chunks.row) <= 2 * len(words) + 2 * len(marks) + 1
+    alone = [w for w in chunks.row if w.removeprefix(" ").isalpha()]
+    assert chunks.words(alone) == chunks.encode(alone)
+
+
 def test_matching_statistics_against_brute_force():
     rng = np.random.default_rng(5)
     for window in (3, 5, 8):
