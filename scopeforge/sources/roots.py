@@ -2,20 +2,28 @@
 dependency folders, one inside another or not.
 
 Roots are configuration: their list is read by the driver, which asks the file system which
-of them are there.  Files are listed by one ``binaryFile`` read over the outermost roots;
-each belongs to the longest root above it and takes that root's flags and prune list.
+of them are there.  Files are listed over the outermost roots; each belongs to the longest
+root above it and takes that root's flags and prune list.
+
+Folders of a mounted file system (``file:``) are walked, and their files read, by the tasks
+themselves, many folders and files a task; the listing is a table that the driver does not
+hold.  Other stores are listed and read by the ``binaryFile`` source.
 """
 
 from __future__ import annotations
 
 import logging
+import os
+from collections.abc import Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_key, relative_path
 from ..operators.skew import broadcast_if_small
-from ..session import path_exists, qualified
+from ..session import materialize, path_exists, qualified
 from .files import (OTHER_PRUNE, SOURCE_GLOB, WORKSPACE_PRUNE, dependency_roots, included_roots, lockfile_entries)
 
 LOG = logging.getLogger(__name__)
@@ -25,6 +33,10 @@ SOURCES = ["workspace", "included", "dependencies"]
 FLAGS = "root string, interface_only boolean, user_space boolean"
 LISTING = ("path string, mtime timestamp, length long, root string, source string, interface_only boolean, "
            "user_space boolean, rel_path string, file_path string")
+#: Folders that a task of the walk begins with, and those that it lists before it hands the rest on.
+TASK_FOLDERS, TASK_LISTED = 5_000, 10_000
+#: Bytes of files that a task reads, each with what opening it costs, and bytes of a batch of them.
+TASK_BYTES, OPEN_BYTES, BATCH_BYTES = 32 << 20, 4 << 10, 16 << 20
 
 
 def lockfile_roots(spark: SparkSession, workspace: str, home: str, stdlib_root: str | None,
@@ -84,7 +96,7 @@ def list_files(spark: SparkSession, roots: DataFrame, workspace: str, glob: str
         outer = present_roots(spark, scan)[1]
     if not outer:
         return spark.createDataFrame([], LISTING).withColumn("file_id", file_key("file_path") if key is None else key)
-    files = _binary(spark, outer, glob).select("path", F.col("modificationTime").alias("mtime"), "length")
+    files = _listed(spark, outer, glob)
     parts = F.split("path", "/", -1)
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     held, _ = broadcast_if_small(here)  # configuration rows, with their paths
@@ -105,18 +117,106 @@ def list_files(spark: SparkSession, roots: DataFrame, workspace: str, glob: str
             .withColumn("file_id", file_key("file_path") if key is None else key))
 
 
+def mounted(paths: list[str]) -> bool:
+    """Whether all (qualified) paths are of a file system that tasks can open by name."""
+    return all(p.startswith("file:/") for p in paths)
+
+
+def local_name(path: str) -> str:
+    """The name of a ``file:`` path in the operating system."""
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def _listed(spark: SparkSession, outer: list[str], glob: str) -> DataFrame:
+    """(path, mtime, length) of the files below ``outer`` whose name matches ``glob``."""
+    if not mounted(outer):
+        return _binary(spark, outer, glob).select("path", F.col("modificationTime").alias("mtime"), "length")
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    return _walked(spark, outer).filter(F.substring_index("path", "/", -1).rlike(f"^(?s:{name})$")).select(
+        "path", F.timestamp_millis("mtime").alias("mtime"), "length")
+
+
+def _walked(spark: SparkSession, outer: list[str], most: int = TASK_LISTED) -> DataFrame:
+    """(path, mtime in milliseconds, length) of all files below folders of a mounted file system.
+
+    A task lists what is below its folders up to ``most`` folders; those that are left
+    are dealt out again, so one deep or wide folder is not the work of one task."""
+    todo, found = spark.createDataFrame([(p,) for p in outer], "path string").coalesce(1), None
+    while True:
+        seen = materialize(todo.mapInArrow(partial(_list_folders, most), "path string, mtime long, length long"), "walked")
+        files, rest = seen.filter("length IS NOT NULL"), seen.filter("length IS NULL").select("path")
+        found = files if found is None else found.unionByName(files)
+        n = rest.count()
+        if not n:
+            return found
+        todo = rest.repartition(-(-n // TASK_FOLDERS), "path")
+
+
+def _list_folders(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files below the folders, as the file source lists them: names that begin with ``_`` (unless
+    they hold ``=``) or ``.`` are hidden, and what goes meanwhile is not there.  Folders beyond
+    ``most`` come back without a length."""
+    todo, rows, listed = [p for b in batches for p in b.column(0).to_pylist()][::-1], [], 0
+    while todo and listed < most:
+        folder, listed = todo.pop(), listed + 1
+        try:
+            entries = list(os.scandir(local_name(folder)))
+        except FileNotFoundError:
+            continue
+        for e in entries:
+            if e.name.startswith(".") or e.name.endswith("._COPYING_") or (e.name.startswith("_") and "=" not in e.name):
+                continue
+            try:
+                e.name.encode()
+                if e.is_dir():
+                    todo.append(f"{folder}/{e.name}")
+                else:
+                    at = e.stat()
+                    rows.append((f"{folder}/{e.name}", at.st_mtime_ns // 1_000_000, at.st_size))
+            except (FileNotFoundError, UnicodeEncodeError):
+                continue
+        if len(rows) >= 10_000:
+            yield _listing_batch(rows)
+            rows = []
+    yield _listing_batch(rows + [(p, None, None) for p in todo])
+
+
+def _listing_batch(rows: list[tuple]) -> pa.RecordBatch:
+    path, mtime, length = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(mtime, pa.int64()), pa.array(length, pa.int64())],
+                                      ["path", "mtime", "length"])
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the ``content`` of their ``path``."""
+    for batch in batches:
+        contents, size, begin = [], 0, 0
+        for i, path in enumerate(batch.column("path").to_pylist()):
+            with open(local_name(path), "rb") as f:
+                contents.append(f.read())
+            size += len(contents[-1])
+            if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                part = batch.slice(begin, i + 1 - begin)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(contents, pa.binary())], [*part.schema.names, "content"])
+                contents, size, begin = [], 0, i + 1
+
+
 def _binary(spark: SparkSession, paths: list[str], glob: str) -> DataFrame:
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
             .option("pathGlobFilter", glob).load(paths))
 
 
 def read_contents(spark: SparkSession, roots: DataFrame, chosen: DataFrame, glob: str = SOURCE_GLOB) -> DataFrame:
-    """``chosen`` rows of a listing with their ``content``.  Files older than all of them are
-    not opened: the source checks the pushed modification time before it reads."""
+    """``chosen`` rows of a listing with their ``content``; no other file is opened, or, where the
+    ``binaryFile`` source reads them, none that is older than all of them."""
     _, outer = present_roots(spark, roots)
-    oldest = chosen.agg(F.min("mtime")).first()[0]
+    oldest, n, size = chosen.agg(F.min("mtime"), F.count(F.lit(1)), F.sum("length")).first()
     if not outer or oldest is None:
         return chosen.withColumn("content", F.lit(None).cast("binary"))
+    if mounted(outer):
+        tasks = max(min(n, spark.sparkContext.defaultParallelism), -(-(size + n * OPEN_BYTES) // TASK_BYTES))
+        schema = chosen.withColumn("content", F.lit(b"")).schema
+        return chosen.repartition(tasks, "path").mapInArrow(_read_files, schema)
     files = _binary(spark, outer, glob).filter(F.col("modificationTime") >= F.lit(oldest)).select("path", "content")
     wanted, _ = broadcast_if_small(chosen)
     return files.join(wanted, "path").select(*chosen.columns, "content")
