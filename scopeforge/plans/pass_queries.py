@@ -32,7 +32,7 @@ def _tree(spark, sf_dir) -> str:
 def _run(spark, tree: str, **switches) -> P.Run:
     include = spark.createDataFrame([("shared", None)], "path string, interface_only boolean")
     return P.Run(f"{tree}/app", lambda files: fx.page_symbols(spark, files), fx.page_messages, include, f"{tree}/home",
-                 glob=GLOB, key=fx.page_key(), **switches)
+                 glob=GLOB, key=fx.page_key(), in_place=True, **switches)
 
 
 def q_root_scan(spark, sf_dir):
